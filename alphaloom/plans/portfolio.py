@@ -21,7 +21,7 @@ def flagship(spark, sf_dir):
 
 def legs(spark, sf_dir):
     scale = regime.multiplier(tables.index_prices(spark, sf_dir))
-    return backtest.long_short(panel.scores(spark, sf_dir), tables.bars(spark, sf_dir), 5, "monthly", scale)
+    return backtest.long_short(panel.scores(spark, sf_dir).persist(), tables.bars(spark, sf_dir), 5, "monthly", scale)
 
 
 @query("b01_long_only", sql("date ~ret", "FROM oleg"))
