@@ -65,16 +65,22 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
     gone, scratch = repeated(docs, divisor, min_lines)
     gone = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone")), "lines-gone")
     forget(*scratch)
-    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "gone")
-    out = docs.withColumn("_h", text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("_h") == F.col("g_h")), "left")
+    # names that no column of ``docs`` has
+    free = lambda name: name if name not in docs.columns else free(f"_{name}")
+    g_id, g_h, g, h = (free(f"_line_{x}") for x in ("id", "hash", "gone", "key"))
+    gone = gone.select(F.col("doc_id").alias(g_id), F.col("h").alias(g_h), F.col("gone").alias(g))
+    out = docs.withColumn(h, text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(h) == F.col(g_h)), "left")
     lines = F.split("text", "\n")
-    drop = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
+    drop = F.flatten(F.transform(g, lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
+    counts = {
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
+        "n_removed_lines": F.coalesce(F.aggregate(g, F.lit(0), lambda acc, x: acc + x["n"]), F.lit(0)),
+        "n_removed_chunks": F.coalesce(F.when(F.col(g).isNotNull(), F.size(g)), F.lit(0)),
+    }
     return out.select(
-        *(F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("gone", F.lit(0), lambda acc, g: acc + g["n"]), F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed_chunks"),
+        *(F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in counts),
+        *(v.cast("long").alias(k) for k, v in counts.items()),
     )
 
 

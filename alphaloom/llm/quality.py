@@ -137,7 +137,7 @@ def held_out() -> Column:
 
 def _featured(docs: DataFrame, model: AdditiveModel | None, raw: bool) -> DataFrame:
     """``docs`` (with text) plus ``features`` (raw) or ``score``; the text goes."""
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "features" if raw else "score")]
     extra = T.StructField("features", T.ArrayType(T.FloatType())) if raw else T.StructField("score", T.DoubleType())
     schema = T.StructType([*(docs.schema[c] for c in keep), extra])
 
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
 
 def score(docs: DataFrame, model: AdditiveModel | None) -> DataFrame:
     """Columns of ``docs`` but the text, plus score (double) and predicted (1 from a score of 0.3)."""
+    docs = docs.select(*(c for c in docs.columns if c != "predicted"))
     return _featured(docs, model, raw=False).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
