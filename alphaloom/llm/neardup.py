@@ -6,11 +6,14 @@
    only: one proposal per class and band, however large the bucket.
 3. Proposals whose signatures agree enough are verified on the full shingle sets; the links' components come from
    alternating large-star and small-star.
-4. Buckets that then still hold several components are refined (large ones by a second band) and every class outside
-   a bucket's main component is proposed to every class of another component there, verified in the same way. So each
-   bucket pair that could join two components has been compared, without listing the pairs inside a component.
+4. In buckets that then still hold several components, every class outside the bucket's main component is proposed to a
+   few members of that component, drawn by hash; links found join components further.
+5. What is left outside a main component is compared with every class of another component in its buckets, each pair once,
+   in the first band that it shares, if bands and minima agree often enough; verified in the same way. So no bucket pair
+   that could join two components is skipped, and the pairs inside a component are never listed.
 
-Two texts at the threshold of 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8, less above it.
+Two texts at the threshold of 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8, and are
+dropped at AGREE or MIN_SHARED with about 1e-4; all of these fall quickly above it, and matter only where no other link joins them.
 
 Defined results: null and wordless texts have the empty set and link with nothing; a text of fewer than k words has its
 word sequence as its only shingle; rows without an id get a null component and are not kept; rows that repeat an id are
@@ -30,9 +33,9 @@ from pyspark.sql import types as T
 from alphaloom.llm.common import forget, mix64, shingle_set, table, text_buffer, text_key, written
 from alphaloom.llm.components import components
 
-BANDS, ROWS, SHINGLE, THRESHOLD, SEED, LARGE_BUCKET = 32, 4, 2, 0.8, 20240229, 64
-#: Share of equal minima below which a proposal is dropped: over five standard deviations under the threshold.
-AGREE = 0.6
+BANDS, ROWS, SHINGLE, THRESHOLD, SEED, DRAWN, MIN_SHARED = 32, 4, 2, 0.8, 20240229, 4, 4
+#: Share of equal minima below which a proposal is dropped: four standard deviations under the threshold.
+AGREE = 0.66
 
 
 def _hash_family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -52,21 +55,23 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, lo, hi, sig) of every row: set size, 128 bits that name the set, the signature."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("sig", T.BinaryType())])
+    """(doc_id, n, lo, hi, sig, low) of every row: set size, 128 bits that name the set, the signature and its low bytes."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.BinaryType())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(BANDS * ROWS)
         for batch in batches:
             data, offs = text_buffer(batch.column("text"))
-            n, lo, hi, sigs = [], [], [], []
+            n, lo, hi, sigs, low = [], [], [], [], []
             for i in range(len(offs) - 1):
                 s = shingle_set(data[offs[i] : offs[i + 1]], k)
                 n.append(len(s))
                 lo.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 hi.append(int(mix64(s ^ np.uint64(SEED)).sum().view(np.int64)) if len(s) else 0)
-                sigs.append(signature(s, family).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
+                sig = signature(s, family)
+                sigs.append(sig.tobytes() if len(s) else None)
+                low.append((sig & 255).astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(sign, schema)
 
@@ -76,9 +81,9 @@ def _band(i):
     return F.call_function("substring", F.col("sig"), (i * F.lit(4 * ROWS) + F.lit(1)).cast("int"), F.lit(4 * ROWS))
 
 
-def _bands(*more: str):
-    """Keys of all bands, hashed with the columns ``more``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(*more, i, _band(i)))
+def _bands():
+    """Bucket keys of all bands."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, _band(i)))
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -127,27 +132,30 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD)
     known = rows.filter(F.col("sig").isNotNull())
     classes = written(known.groupBy(*name).agg(F.min("doc_id").alias("cls")), "neardup-classes")
     sigs = known.join(classes.select("cls", *(F.col(c).alias(f"c_{c}") for c in name)), (F.col("doc_id") == F.col("cls")) & (F.col("n") == F.col("c_n")) & (F.col("lo") == F.col("c_lo")))
-    sigs = written(sigs.select("cls", "n", "sig").dropDuplicates(["cls", "n"]), "neardup-sigs")
-
-    members = sigs.select("cls", "n", F.explode(_bands()).alias("key"))
-    heads = members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.max(F.struct("cls", "n")).alias("tail"), F.count("*").alias("size"))
-    heads = heads.filter(F.col("head.cls") != F.col("tail.cls"))
-    members = written(members.join(heads.select("key", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n"), "size"), "key"), "neardup-members")
-    near_n = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * round(100 * threshold)
-    pairs = members.filter((F.col("cls") != F.col("head")) & near_n(F.col("n"), F.col("head_n"))).select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
+    sigs = written(sigs.select("cls", "n", "sig", "low").dropDuplicates(["cls", "n"]), "neardup-sigs")
 
+    members = sigs.select("cls", "n", F.posexplode(_bands()).alias("band", "key"))
+    heads = members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.max("cls").alias("tail"))
+    heads = heads.filter(F.col("head.cls") != F.col("tail")).select("key", "head")
+    members = written(members.join(heads, "key"), "neardup-members")
+    pairs = members.filter((F.col("cls") != F.col("head.cls")) & _near(F.col("n"), F.col("head.n"), round(100 * threshold))).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
     texts = docs.select(F.col("doc_id").alias("cls"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    links = written(_verified(written(_agreeing(pairs, sigs), "neardup-proposed"), texts, k, threshold).distinct(), "neardup-links")
-    comps = written(components(links), "neardup-components")
 
-    placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
-    open_ = written(placed.join(split, "key"), "neardup-open")
-    more = _cross(open_, sigs, near_n)
-    more_links = written(_verified(written(_agreeing(more, sigs), "neardup-cross"), texts, k, threshold).distinct(), "neardup-more")
-    if more_links.limit(1).count():
-        links = links.unionAll(more_links)
-        comps = written(components(links), "neardup-components2")
+    def linked(pairs: DataFrame) -> DataFrame:
+        proposed = written(_agreeing(pairs, sigs), "neardup-proposed")
+        found = written(_verified(proposed, texts, k, threshold).distinct(), "neardup-links")
+        forget(proposed)
+        return found
+
+    links = linked(pairs)
+    comps = written(components(links), "neardup-components")
+    for propose in (_drawn, _rest):
+        open_ = written(_open(members, comps), "neardup-open")
+        more = linked(propose(open_, sigs, round(100 * threshold)))
+        forget(open_)
+        if more.limit(1).count():
+            links = links.unionAll(more)
+            comps = written(components(links), "neardup-components")
 
     degree = links.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionAll(links.select("b", "a")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
@@ -157,21 +165,47 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def _cross(placed: DataFrame, sigs: DataFrame, near_n) -> DataFrame:
-    """Untested proposals (a, b) between components that share a bucket. ``placed``: (key, cls, n, head, size, comp, ...)."""
-    small = placed.filter(F.col("size") <= LARGE_BUCKET).select("key", "cls", "n", "comp", "head")
-    again = placed.filter(F.col("size") > LARGE_BUCKET).join(sigs.select("cls", "sig"), "cls")
-    own = F.array_position(_bands(), F.col("key"))  # this band would give the whole bucket back
-    keys = F.filter(F.zip_with(_bands("key"), F.sequence(F.lit(1), F.lit(BANDS)), lambda key, i: F.when(i != own, key)), lambda key: key.isNotNull())
-    again = again.select("cls", "n", "comp", "head", F.explode(keys).alias("key2"))
-    here = small.unionAll(again.select(F.col("key2").alias("key"), "cls", "n", "comp", "head"))
-    per = here.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("key", F.col("m.comp").alias("main"))
-    here = here.join(main, "key")
-    minor = here.filter(F.col("comp") != F.col("main")).select("key", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    both = minor.join(here.select("key", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), "head"), "key")
-    both = both.filter((F.col("xc") != F.col("yc")) & (F.col("x") != F.col("head")) & (F.col("y") != F.col("head")) & near_n(F.col("xn"), F.col("yn")))
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _near(x, y, per_cent: int):
+    """Whether sets of x and y shingles can reach the threshold at all."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * per_cent
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, band, cls, n, comp, main) of the buckets with several components; ``main`` is the largest there."""
+    placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "band", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    main = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1")
+    return placed.join(main.select("key", F.col("m.comp").alias("main")), "key")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def _drawn(open_: DataFrame, sigs: DataFrame, per_cent: int) -> DataFrame:
+    """Proposals of the classes outside a main component to DRAWN of its members: DRAWN a class and bucket at most."""
+    mine = F.col("comp") == F.col("main")
+    draw = [F.min(F.when(mine, F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), F.col("cls").alias("y"), F.col("n").alias("yn")))).alias(f"d{i}") for i in range(DRAWN)]
+    drawn = open_.groupBy("key").agg(*draw).select("key", F.array(*(f"d{i}" for i in range(DRAWN))).alias("drawn"))
+    both = open_.filter(~mine).join(drawn, "key").select("cls", "n", F.explode("drawn").alias("d"))
+    return both.filter(_near(F.col("n"), F.col("d.yn"), per_cent)).select(*_pair("cls", "d.y")).distinct()
+
+
+def _rest(open_: DataFrame, sigs: DataFrame, per_cent: int) -> DataFrame:
+    """All proposals between components within buckets, each pair in the first band that it shares."""
+    prints = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.hash(_band(i)))
+    here = open_.join(sigs.select("cls", prints.alias("prints"), "low"), "cls")
+    x = here.filter(F.col("comp") != F.col("main")).select("key", "band", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("prints").alias("xp"), F.col("low").alias("xl"))
+    y = here.select("key", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), "main", F.col("prints").alias("yp"), F.col("low").alias("yl"))
+    same = F.zip_with("xp", "yp", lambda a, b: a == b)
+    # a pair of two classes outside the main component would come up twice
+    once = (F.col("yc") == F.col("main")) | (F.col("x") > F.col("y"))
+    good = (F.col("xc") != F.col("yc")) & once & _near(F.col("xn"), F.col("yn"), per_cent) & (F.array_position(same, F.lit(True)) == F.col("band") + 1)
+    # equal low bytes are at least as many as equal minima
+    byte = lambda c, i: F.call_function("substring", F.col(c), i, F.lit(1))
+    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda i: byte("xl", i) == byte("yl", i))) >= AGREE * BANDS * ROWS
+    both = x.join(y, (x["key"] == y["key"]) & good & (F.size(F.filter(same, lambda v: v)) >= MIN_SHARED) & agree)
+    return both.select(*_pair("x", "y")).distinct()
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
