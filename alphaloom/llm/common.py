@@ -31,6 +31,8 @@ def written(df: DataFrame, name: str, *, partitions: int | None = None) -> DataF
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    # lets Spark's cleaner remove the shuffle files of the finished write, which else stay for the whole job
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
     return out
