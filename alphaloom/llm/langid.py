@@ -154,7 +154,10 @@ def held_out():
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGRU | None:
     """Fit the network on at most ``sample_docs`` labelled documents; the sample is the same at any partitioning."""
-    rows = learnable(docs).select(F.xxhash64("doc_id").alias("o"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
+    # ids first, so that no task sends the driver more than ids; then the texts of at most ``sample_docs`` ids
+    ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    rows = learnable(docs).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("o"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
     rows = [r for r in rows.orderBy("o", "lang", "text").limit(sample_docs).collect() if r["text"]]
     labels = sorted({r["lang"] for r in rows})
     if not labels:
@@ -166,7 +169,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGRU | None:
 
 
 def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
-    """``docs`` with lang_pred (string) and score (double)."""
+    """``docs`` with lang_pred (string) and score (double); other columns with these names give way."""
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    docs = docs.select(*keep)
     schema = [*docs.schema.fields]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
