@@ -1,0 +1,345 @@
+"""The training-data operators against brute force on small inputs, with the odd rows that a corpus has."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from alphaloom.llm import components, decontaminate, html, langid, linededup, neardup, packing, quality, sharding, suffixdedup, topk
+from alphaloom.llm.common import text_key
+from tests_llm_brute import brute_components, brute_decontaminate
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, **more):
+    rows = [(i, t, more.get("lang", "en"), f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def odd(spark):
+    """Null ids and texts, empty and long texts, repeated rows, names that clash with the operators' own columns."""
+    rows = [(1, None), (2, ""), (None, "some words here\nand more words here"), (3, "x" * 30_000), (4, "same\nline\nsame\nline"), (4, "same\nline\nsame\nline"), (5, " \n\t "), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], SCHEMA)
+    return d.withColumns({c: F.lit(7) for c in ("h", "n", "key", "score", "kh", "piece", "block", "size", "gone", "row_no", "features")})
+
+
+def letters(rng, n, words="alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+# --- odd rows and empty tables: every operator gives a defined result -------------------------------------------------
+
+
+def test_every_operator_takes_odd_rows(spark):
+    d = odd(spark)
+    assert langid.identify(d.select("doc_id", "text"), None).filter("lang_pred <> 'und'").count() == 0
+    items = spark.createDataFrame([(1, None), (2, ""), (None, "same line same")], "item_id long, text string")
+    dec = decontaminate.decontaminate(d, items).collect()
+    assert len(dec) == 8 and sum(r["contaminated"] for r in dec) == 2  # the repeated row, twice
+    near = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_dedup(d).collect()}
+    assert near[None] == (None, False) and near[4] == (4, True) and near[1] == (1, True)
+    assert sharding.shard(d).count() == 8
+    lines = linededup.line_dedup(d)
+    assert lines.count() == 8 and set(d.columns) <= set(lines.columns)
+    out = suffixdedup.suffix_dedup(d).collect()
+    assert len(out) == 8 and {r["doc_id"]: len(r["kept"]) for r in out}[3] == 0  # one letter 30,000 times
+    assert packing.pack(d, 16).count() == 8
+    assert quality.score(d, None).filter("score = 0.5").count() == 8
+
+
+def test_every_operator_takes_an_empty_table(spark):
+    d = docs(spark, ["x"]).limit(0)
+    assert langid.train(d) is None and langid.identify(d, None).count() == 0
+    assert decontaminate.decontaminate(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert neardup.near_dedup(d).count() == 0 and sharding.shard(d).count() == 0
+    assert linededup.line_dedup(d).count() == 0 and suffixdedup.suffix_dedup(d).count() == 0 and packing.pack(d).count() == 0
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert quality.train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- language identification -----------------------------------------------------------------------------------------
+
+
+def test_network_gradients_are_right():
+    rng = np.random.default_rng(1)
+    net = langid.ByteGRU(["a", "b"], hidden=3)
+    x, y, valid = rng.integers(0, 5, (6, 4)).astype(np.uint8), np.array([0, 1, 1, 0]), np.arange(6)[:, None] < np.array([6, 6, 4, 2])
+    _, g = net.gradients(x, y, valid)
+    for name, at in (("Ef", (1, 2)), ("Eb", (4, 3)), ("Uf", (0, 1)), ("Ub", (5, 2)), ("W", (1, 4)), ("c", (0, 0))):
+        eps, old = 1e-2, net.p[name][at]
+        net.p[name][at] = old + eps
+        up = net.gradients(x, y, valid)[0]
+        net.p[name][at] = old - eps
+        down = net.gradients(x, y, valid)[0]
+        net.p[name][at] = old
+        assert (up - down) / (2 * eps) == pytest.approx(g[name][at], rel=0.05, abs=2e-4)
+
+
+def test_held_out_languages(spark, tiny):
+    d = spark.read.parquet(tiny + "/documents.parquet")
+    out = langid.identify(d.select("doc_id", "text", "lang"), langid.train(d)).withColumn("held_out", langid.held_out()).toPandas()
+    ho = out[out.held_out]
+    assert len(ho) > 20 and (ho.lang == ho.lang_pred).mean() >= 0.9 and out.score.between(0, 1).all()
+
+
+def test_windows_cover_every_byte_once():
+    starts, doc, length = langid.windows(np.array([0, 0, 5, 200, 264]))
+    assert length.sum() == 264 and doc.tolist() == [1] + [2] * 4 + [3] and (np.diff(starts) > 0).all()
+
+
+# --- HTML ------------------------------------------------------------------------------------------------------------
+
+
+def test_article_without_its_surroundings(spark):
+    page = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body><header>Site name</header>
+    <nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site</div><article><h1>Head&amp;line</h1><p>One <b>two</b>&nbsp;three<p>four &lt;five&gt;
+    <aside>Related stuff</aside><form><label>Mail</label><input></form><div id=comments><p>A reader says a lot of words here</p></div></article><div class="sidebar"><p>More from us</p></div><footer>&copy; us</footer></body></html>"""
+    rows = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", "<p>plain 1 &lt 2 text &am"), (5, "u", "<article><p>a<br>b</article>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(rows).collect()}
+    assert got[1] == "Head&line\nOne two three\nfour <five>" and got[2] == "" == got[3] and got[5] == "a b"
+
+
+def test_tree_fits_its_table():
+    rows = np.array([line.split() for line in html.LABELLED.strip().splitlines()], float)
+    assert (html.classify(html.trained(), rows[:, :-1]) == rows[:, -1]).all()
+
+
+def test_pages_of_the_table(spark, tiny):
+    import html as h
+
+    src = spark.read.parquet(tiny + "/pages.parquet").toPandas().set_index("page_id").html
+    for r in html.op2_html_extraction(spark, tiny).collect():
+        inside = re.search(r"<article>(.*)</article>", src[r["page_id"]], re.S)[1]
+        parts = (" ".join(h.unescape(re.sub(r"<[^>]*>", "", s)).split()) for s in re.split(r"</?(?:p|h1)>", inside))
+        assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+# --- decontamination -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_decontamination_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", broadcast)
+    rng = random.Random(5)
+    items = [(i, letters(rng, n)) for i, n in enumerate((30, 13, 12, 5, 2, 1, 0, 20))] + [(99, "É tÉ İX"), (100, None)]
+    texts = [letters(rng, 60) for _ in range(30)] + [letters(rng, 9) + " " + items[0][1].upper() + "! " + letters(rng, 400), items[1][1] * 2, "é té ix", "É-TÉ.İx", None, "", items[7][1].replace(" ", ", ")]
+    got = decontaminate.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: tuple(r[1:6]) for r in got.collect()} == brute_decontaminate(texts, items)
+
+
+# --- near-duplicates -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_dedup_brute_force(spark, k):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice((40, 90, 160)))] for _ in range(12)]
+    texts = []
+    for b in base:
+        for _ in range(12):  # families of edits, some of which fall below the threshold against each other
+            t = list(b)
+            for _ in range(rng.choice((0, 1, 2, 4, 8))):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            texts.append(" ".join(t))
+    texts += ["one", "One", "one two", None, "", "  "]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: tuple(r[1:4]) for r in neardup.near_dedup(docs(spark, texts), k=k).collect()}
+    assert got == brute_components(texts, k)
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (102, 102), (101, 100)]
+    got = dict(components.components(spark.createDataFrame(edges, "x long, y long")).collect())
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+# --- top-k -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [8192, 16])
+def test_top_k_brute_force(spark, block):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.standard_normal((120, 6)) * 2) / 4
+    v[30:70] = v[30]  # a third are one vector
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(200, None), (201, [1.0, None]), (202, [float("nan")]), (250, [float("inf")]), (300, []), (None, [1.0]), (350, [0.5])]
+    q = np.floor(256 * np.vstack([v, [[0.5] + [0.0] * 5]])).astype(int)
+    ids, want = [*range(120), 350], set()
+    for a, i in enumerate(ids):
+        if i % 50 == 0:
+            order = sorted((-int(q[a] @ q[b]), j) for b, j in enumerate(ids) if j != i)[:5]
+            want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(order)}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), roots=4, block=block)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_tree_skips_distances():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((3000, 4))
+    tree, best = topk.MTree(x), [np.inf]
+    computed = tree.nearest(x[5], lambda rows: best.append(min([best[-1], *np.sqrt(((x[rows] - x[5]) ** 2).sum(axis=1))])), lambda: best[-1])
+    assert best[-1] == 0 and computed < 1500
+
+
+# --- sharding --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
+def test_permutation_is_one_to_one(spark, n):
+    got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()]
+    assert sorted(got) == list(range(n)) and (n < 100 or got != sorted(got))
+
+
+def test_shards_follow_the_law_at_any_partitioning(spark, tiny):
+    d = spark.read.parquet(tiny + "/documents.parquet")
+    a, b = (sharding.shard(x).orderBy("doc_id").collect() for x in (d, d.repartition(7)))
+    assert a == b
+    count = Counter(r["shard"] for r in a)
+    assert max(count.values()) - min(count.values()) <= 1 and set(count) == set(range(16))
+    assert all(sorted(r["slot"] for r in a if r["shard"] == s) == list(range(n)) for s, n in count.items())
+
+
+# --- quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_held_out_quality(spark, tiny):
+    d, lab = spark.read.parquet(tiny.replace("0.001", "0.01") + "/documents.parquet"), spark.read.parquet(tiny.replace("0.001", "0.01") + "/labels.parquet")
+    out = quality.score(d.select("doc_id", "text"), quality.train(d, lab)).withColumn("held_out", quality.held_out()).join(lab, "doc_id").toPandas()
+    ho = out[out.held_out]
+    assert len(ho) > 30 and (ho.predicted == ho.quality).mean() >= 0.93 and out.score.between(0, 1).all()
+
+
+def test_scores_are_sums_of_bins():
+    rng = np.random.default_rng(2)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # only a pair tells
+    m = quality.AdditiveModel().fit(x, y, rounds=60)
+    assert ((m.score(x) > 0.5) == y).mean() > 0.9 and m.pairs[0] == (1, 0)
+
+
+# --- line dedup ------------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(9)
+    shared = "\n".join(letters(rng, 6) for _ in range(30))
+    texts = ["\n".join(letters(rng, 5) for _ in range(rng.randrange(20))) for _ in range(20)] + [letters(rng, 3) + "\n" + shared + "\n" + letters(rng, 4) for _ in range(5)] + [None, "", "\n\n\n\n"]
+    seen, want = {}, {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        cuts = [0] + [j for j in range(1, len(lines)) if (h[j - 1] + 31 * (h[j - 2] if j >= 2 else 0)) % 4 == 0] + [len(lines)]
+        keep = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if t is None or b - a < 2 or seen.setdefault("\n".join(lines[a:b]), (i, a)) == (i, a):
+                keep += lines[a:b]
+        want[i] = None if t is None else "\n".join(keep)
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(docs(spark, texts)).collect()}
+    assert got == want and sum(len(t or "") for t in texts) - sum(len(t or "") for t in got.values()) > 2 * len(shared)
+
+
+# --- suffix dedup ----------------------------------------------------------------------------------------------------
+
+
+def brute_spans(texts, m):
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + m] for b in raw for i in range(len(b) - m + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - m + 1):
+            if count[b[i : i + m]] > 1:
+                gone[i : i + m] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], gone[:-1], [False])).astype(int)))
+        out.append(([(int(a), int(z)) for a, z in zip(edge[::2], edge[1::2], strict=True)], bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])))
+    return out
+
+
+@pytest.mark.parametrize(("match", "gram", "bucket"), [(200, 40, 20_000), (200, 40, 2), (30, 8, 20_000)])
+def test_suffix_dedup_brute_force(spark, match, gram, bucket):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdé ") for _ in range(700))
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(900))) for _ in range(12)]
+    for _ in range(12):
+        a, n = rng.randrange(500), rng.choice((150, 199, 200, 201, 260, 700))
+        texts.append("".join(rng.choice("abcd ") for _ in range(rng.randrange(80))) + passage[a : a + n] + "".join(rng.choice("abcd ") for _ in range(rng.randrange(300))))
+    texts += [None, "", "z" * 450, "ab" * 300, texts[0], texts[0], "q" * 199]
+    got = {r["doc_id"]: ([tuple(s) for s in r["spans"]], bytes(r["kept"])) for r in suffixdedup.suffix_dedup(docs(spark, texts), match, gram, bucket).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_spans(texts, match)
+
+
+@pytest.mark.parametrize("n", [2, 12, 13, 200, 600])
+def test_reaches_brute_force(n):
+    rng = random.Random(n)
+    passage, before, after = bytes(rng.choice(b"abcd") for _ in range(400)), [], []
+    for _ in range(n):
+        before.append((bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) + passage[200 - rng.randrange(160) : 200])[::-1])
+        after.append(passage[200 : 200 + rng.randrange(40, 200)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(40))))
+    left, right = suffixdedup.reaches(before, after)
+    for i in range(0, n, max(1, n // 40)):
+        good = [(x, y) for j in range(n) if j != i and (x := suffixdedup.common(before[i], before[j])) + (y := suffixdedup.common(after[i], after[j])) >= 200]
+        assert (left[i], min(200, right[i])) == (max((x for x, _ in good), default=-1), min(200, max((y for _, y in good), default=-1)))
+
+
+def test_deep_shallow_sorts():
+    rng = random.Random(0)
+    base = bytes(rng.choice(b"ab") for _ in range(150))
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(300))) for _ in range(300)] + [base + bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(200)]
+    assert [strings[i] for i in suffixdedup.deep_shallow(strings)] == sorted(strings)
+
+
+def test_long_texts_have_the_anchors_of_short_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 101, 5000).astype(np.uint8)
+    whole = suffixdedup.anchors(data, np.zeros(5000, int), np.full(5000, 5000))[0]
+    parts = []
+    for lo, hi, a, b in suffixdedup._pieces(np.array([0, 5000]), 700, 400):
+        at = suffixdedup.anchors(data[lo:hi], np.zeros(hi - lo, int), np.full(hi - lo, hi - lo))[0] + lo
+        parts += [x for x in at if a <= x < b]
+    assert parts == whole.tolist()
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def brute_best_fit(sizes, sources, clusters, capacity):
+    free, inside, bins, starts = [], [], [], []
+    for n, s, c in zip(sizes, sources, clusters, strict=True):
+        mine = {("s", s)} if s is not None else set()
+        mine |= {("c", c)} if c is not None else set()
+        ok = [(free[b], b) for b in range(len(free)) if free[b] >= n and not inside[b] & mine]
+        b = min(ok)[1] if ok else len(free)
+        if not ok:
+            free.append(capacity)
+            inside.append(set())
+        bins.append(b)
+        starts.append(capacity - free[b])
+        free[b] -= n
+        inside[b] |= mine
+    return bins, starts
+
+
+def test_best_fit_brute_force():
+    rng = random.Random(3)
+    n = 400
+    sizes = sorted((rng.randrange(1, 100) for _ in range(n)), reverse=True)
+    sources = [rng.choice(["a"] * 9 + list("bcdefghij") + [None]) for _ in range(n)]
+    clusters = [rng.choice([1] * 4 + list(range(2, 300)) + [None]) for _ in range(n)]
+    assert packing.best_fit(sizes, sources, clusters, 100) == brute_best_fit(sizes, sources, clusters, 100)
+
+
+def test_bins_hold_their_pieces(spark):
+    rng = random.Random(6)
+    d = docs(spark, [letters(rng, rng.choice((1, 5, 40, 70, 300))) for _ in range(200)] + [None, "", "x"]).withColumn("cluster", text_key())
+    out = packing.pack(d, 64, block=50).join(d.select("doc_id", "source", "cluster", "text"), "doc_id").toPandas()
+    words = out.groupby("doc_id").n_words.sum()
+    assert all(words[i] == max(1, len((t or "").split())) for i, t in out.drop_duplicates("doc_id").set_index("doc_id").text.items())
+    for _, g in out.sort_values("start").groupby(["block", "bin"]):
+        assert g.n_words.sum() <= 64 and g.start.tolist() == [0, *np.cumsum(g.n_words)[:-1]] and g.source.is_unique and g.cluster.is_unique
+    assert (out.groupby("block").size() <= 50).all()
