@@ -13,7 +13,8 @@ bytes before and 200 after:
    200-byte strings instead, a row each, which spreads one bucket over all tasks;
 3. the reaches of all occurrences are joined to their documents, merged and cut out.
 
-Hashes only propose (except that 64-bit hashes stand for equal surroundings); lengths are compared on bytes.
+Hashes only propose, except that 64-bit hashes (128 bits in large buckets) stand for equal surroundings; lengths are
+compared on bytes.
 
 Defined results: null texts count as empty; texts under 200 bytes keep all; rows that repeat an id and text are separate
 places, so both lose what they share; an empty table gives no rows.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.common import _powers, forget, mix64, table, text_buffer, text_key, written
 
-MATCH, GRAM, SHALLOW, BUCKET, PIECE = 200, 40, 96, 20_000, 1 << 20
+MATCH, GRAM, SHALLOW, BUCKET, PIECE, FEW, TILE = 200, 40, 96, 100_000, 1 << 20, 12, 512
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -205,6 +206,18 @@ def _ranked(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order), lcp
 
 
+def _prefixes(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Common prefix length of every two strings, from the sorted order and its neighbours' prefixes."""
+    n = len(order)
+    m = np.zeros((n, n), np.int64)
+    for i in range(n - 1):
+        m[i, i + 1 :] = np.minimum.accumulate(lcp[i + 1 :])
+    m += m.T
+    out = np.empty_like(m)
+    out[np.ix_(order, order)] = m
+    return out
+
+
 def reaches(before: list[bytes], after: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
     """For each place of a bucket, how many bytes before and after it lie in ``match``-byte strings of another place.
 
@@ -212,12 +225,19 @@ def reaches(before: list[bytes], after: list[bytes], match: int = MATCH) -> tupl
     """
     n = len(after)
     left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    if n == 2:
-        x, y = common(*before), common(*after)
-        if x + y >= match:
-            left[:], right[:] = x, y
+    if n <= FEW:  # sorting a handful takes longer than comparing it
+        for i in range(n):
+            for j in range(i):
+                x, y = common(before[i], before[j]), common(after[i], after[j])
+                if x + y >= match:
+                    left[i], left[j], right[i], right[j] = max(left[i], x), max(left[j], x), max(right[i], y), max(right[j], y)
         return left, right
     (o1, l1), (o2, l2) = _ranked(before), _ranked(after)
+    if n <= TILE:  # all common prefixes at once
+        x, y = _prefixes(o1, l1), _prefixes(o2, l2)
+        shared = x + y >= match
+        np.fill_diagonal(shared, False)
+        return np.where(shared, x, -1).max(axis=1), np.where(shared, y, -1).max(axis=1)
     size1, size2 = np.array([len(x) for x in before]), np.array([len(x) for x in after])
     c1, c2 = np.empty(n, np.int64), np.empty(n, np.int64)
     most = int(max(l1.max(), 0))
@@ -279,9 +299,10 @@ def _reach_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _counted_buckets(rows: DataFrame, match: int) -> DataFrame:
     """The same for larger buckets: every ``match``-byte string around a place is a row, and rows are counted."""
     at = rows.filter(F.octet_length("body") >= match).select("kh", "ch", "before", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - match)).alias("s")).filter(F.col("s") <= F.col("before"))
-    at = at.select("kh", "ch", (F.col("before") - F.col("s")).alias("d"), F.sha2(F.call_function("substring", "body", F.col("s") + 1, F.lit(match)), 256).alias("string"))
-    twice = at.groupBy("kh", "d", "string").agg(F.count("*").alias("c")).filter("c > 1")
-    return at.join(twice, ["kh", "d", "string"]).groupBy("kh", "ch").agg(F.max("d").cast("int").alias("left"), (match - F.min("d")).cast("int").alias("right"))
+    at = at.select("kh", "ch", (F.col("before") - F.col("s")).alias("d"), F.call_function("substring", "body", F.col("s") + 1, F.lit(match)).alias("string"))
+    at = at.select("kh", "ch", "d", F.xxhash64("string").alias("s1"), F.xxhash64("string", F.lit(1)).alias("s2"))
+    twice = at.groupBy("kh", "d", "s1", "s2").agg(F.count("*").alias("c")).filter("c > 1")
+    return at.join(twice, ["kh", "d", "s1", "s2"]).groupBy("kh", "ch").agg(F.max("d").cast("int").alias("left"), (match - F.min("d")).cast("int").alias("right"))
 
 
 def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
@@ -303,7 +324,8 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, bucket:
         found = found.unionAll(_counted_buckets(around.join(large, "kh", "left_semi"), match))
     # whole surroundings are shared where they occur twice; else what the bucket gave
     found = distinct.filter("n > 1").select("kh", "ch", F.col("before").cast("int").alias("left"), F.col("after").cast("int").alias("right")).unionAll(found)
-    found = found.groupBy("kh", "ch").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    found = written(found.groupBy("kh", "ch").agg(F.max("left").alias("left"), F.max("right").alias("right")), "suffix-found")
+    forget(distinct, large)
     spans = shared.filter("NOT mixed").select("doc_id", "h", "pos", F.col("before").cast("int").alias("left"), F.col("after").cast("int").alias("right"))
     spans = spans.unionAll(mixed.join(found, ["kh", "ch"]).select("doc_id", "h", "pos", "left", "right"))
     spans = spans.filter(F.col("left") + F.col("right") >= match)
