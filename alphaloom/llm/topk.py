@@ -51,7 +51,7 @@ class MTree:
         p = self.points[rows]
         to_parent = lambda x: np.zeros(len(x)) if parent is None else np.sqrt(((x - parent) ** 2).sum(axis=1))
         if len(rows) <= self.page:
-            return {"leaf": True, "rows": rows, "at": p, "up": to_parent(p)}
+            return {"leaf": True, "rows": rows, "at": p, "norm": (p**2).sum(axis=1), "up": to_parent(p), "radius": 0.0}
         pick = self.rng.choice(len(rows), min(self.page, -(-len(rows) // (self.page // 2))), replace=False)
         pivots = p[pick]
         d = np.maximum(0, (p**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * p @ pivots.T)
@@ -65,29 +65,41 @@ class MTree:
                 radii.append(np.sqrt(((self.points[mine] - pivots[j]) ** 2).sum(axis=1)).max())
                 children.append(self._node(mine, pivots[j]))
                 keep.append(j)
-        return {"leaf": False, "at": pivots[keep], "radius": np.array(radii), "up": to_parent(pivots[keep]), "children": children}
+        pivots = pivots[keep]
+        return {"leaf": False, "at": pivots, "norm": (pivots**2).sum(axis=1), "radius": np.array(radii), "up": to_parent(pivots), "children": children}
 
     def nearest(self, query: np.ndarray, offer, bound) -> int:
-        """Best-first search: calls ``offer(rows)`` with leaf rows that may lie within ``bound()``; returns distances computed."""
-        heap, tick, computed = [(0.0, 0, self.root, None)], 0, 0
+        """Best-first search: calls ``offer(rows)`` with leaf rows that may lie within ``bound()``; returns distances computed.
+
+        Squared distances come from one matrix product a page; ``bound`` must allow for its rounding.
+        """
+        heap, tick, computed, q_norm = [(0.0, 0, self.root, None)], 0, 0, float(query @ query)
         while heap:
             lower, _, node, d_parent = heapq.heappop(heap)
             limit = bound()
             if lower > limit:
                 break
-            reach = 0.0 if node["leaf"] else node["radius"]
-            live = np.arange(len(node["at"])) if d_parent is None else np.flatnonzero(np.abs(d_parent - node["up"]) - reach <= limit)
-            if not len(live):
-                continue
-            d = np.sqrt(((node["at"][live] - query) ** 2).sum(axis=1))
-            computed += len(live)
+            at, norm, live = node["at"], node["norm"], None
+            if d_parent is not None:
+                may = np.abs(node["up"] - d_parent) <= node["radius"] + limit
+                n = int(np.count_nonzero(may))
+                if not n:
+                    continue
+                if n < len(may):
+                    live = np.flatnonzero(may)
+                    at, norm = at[live], norm[live]
+            squared = norm - 2 * (at @ query) + q_norm
+            computed += len(at)
             if node["leaf"]:
-                offer(node["rows"][live[d <= limit]])
+                hit = np.flatnonzero(squared <= limit * limit)
+                if len(hit):
+                    offer(node["rows"][hit if live is None else live[hit]])
                 continue
-            low = np.maximum(0, d - node["radius"][live])
-            for j in np.flatnonzero(low <= limit):
+            d = np.sqrt(np.maximum(0, squared))
+            low = np.maximum(0, d - (node["radius"] if live is None else node["radius"][live]))
+            for j in np.flatnonzero(low <= limit).tolist():
                 tick += 1
-                heapq.heappush(heap, (float(low[j]), tick, node["children"][live[j]], float(d[j])))
+                heapq.heappush(heap, (float(low[j]), tick, node["children"][j if live is None else live[j]], float(d[j])))
         return computed
 
 
