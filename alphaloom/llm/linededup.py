@@ -8,6 +8,11 @@ removed everywhere else. Equal chunk hashes only propose; chunks are grouped by
 Defined results: null text stays null with no lines; an empty text is one empty line; rows that repeat an id and text are
 judged as one document (all keep or all lose the same lines); an empty table gives no rows. Texts are shuffled only for
 chunks whose hash repeats and once to rebuild; grouping has map-side partial sums, so a hot chunk is one row per task.
+
+A chunk boundary hangs on the lines before it, and one-line chunks are kept, so ``line_dedup`` (whose rule the SQL of op8
+fixes) leaves the rims of a repeated run, and short runs. ``run_dedup`` removes runs whole: every two neighbouring lines that
+stand at an earlier place too go, so any run of two or more lines goes at each later place, whatever is around it. Two equal
+lines that overlap their own first place (three equal lines) stay. Each removed line still stands at an earlier place.
 """
 
 from __future__ import annotations
@@ -60,9 +65,42 @@ def repeated(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES
     return gone, [twice, again]
 
 
+def _pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, start, ck, lines): every two neighbouring lines; ``ck`` is a 64-bit proposal key."""
+    d = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key().alias("h"), F.split("text", "\n").alias("lines")).filter(F.size("lines") > 1)
+    keys = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.xxhash64(F.get("lines", i - 1), F.get("lines", i)))
+    return d.select("doc_id", "h", "lines", F.posexplode(keys).alias("start", "ck"))
+
+
+def repeated_runs(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, h, start, n) of every run to remove, and the scratch tables behind it."""
+    place, spot = F.struct("doc_id", "h", "start"), F.xxhash64("doc_id", "h", "start")
+    twice = _pairs(docs).groupBy("ck").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+    twice = written(twice.filter(F.col("lo") != F.col("hi")).select("ck"), "lines-keys")
+    near = F.broadcast if twice.count() <= BROADCAST_CHUNKS else (lambda df: df)
+    again = _pairs(docs).join(near(twice), "ck")
+    again = written(again.select("doc_id", "h", "start", "ck", F.array_join(F.slice("lines", F.col("start") + 1, 2), "\n").alias("body")), "lines-pairs")
+    first = again.groupBy("ck", "body").agg(F.min(place).alias("first"))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    gone = again.join(first, ["ck", "body"]).filter(~here | (F.col("start") > F.col("first.start") + 1)).groupBy("doc_id", "h").agg(F.collect_set("start").alias("s"))
+    lines = F.array_sort(F.array_union("s", F.transform("s", lambda x: x + 1)))
+    # lines of one run have one difference to their number in the list
+    runs = F.transform(lines, lambda x, i: F.struct(x.alias("at"), (x - i).alias("run")))
+    runs = gone.select("doc_id", "h", F.explode(runs).alias("r")).groupBy("doc_id", "h", "r.run").agg(F.min("r.at").alias("start"), F.count("*").cast("int").alias("n"))
+    return runs.select("doc_id", "h", "start", "n"), [twice, again]
+
+
+def run_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated runs of two or more lines, plus n_lines, n_removed_lines and n_removed_chunks (runs)."""
+    return _without(docs, *repeated_runs(docs))
+
+
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with the repeated chunks cut out of ``text``, plus n_lines, n_removed_lines and n_removed_chunks."""
-    gone, scratch = repeated(docs, divisor, min_lines)
+    return _without(docs, *repeated(docs, divisor, min_lines))
+
+
+def _without(docs: DataFrame, gone: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     gone = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone")), "lines-gone")
     forget(*scratch)
     # names that no column of ``docs`` has
