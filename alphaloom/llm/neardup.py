@@ -7,13 +7,13 @@
 3. Proposals whose signatures agree enough are verified on the full shingle sets; the links' components come from
    alternating large-star and small-star.
 4. In buckets that then still hold several components, every class outside the bucket's main component is proposed to a
-   few members of that component, drawn by hash; links found join components further.
+   few members of that component, drawn by hash; links found join components further. Then once more with other draws.
 5. What is left outside a main component is compared with every class of another component in its buckets, each pair once,
-   in the first band that it shares, if bands and minima agree often enough; verified in the same way. So no bucket pair
+   in the first band that it shares, if minima agree often enough; verified in the same way. So no bucket pair
    that could join two components is skipped, and the pairs inside a component are never listed.
 
 Two texts at the threshold of 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8, and are
-dropped at AGREE or MIN_SHARED with about 1e-4; all of these fall quickly above it, and matter only where no other link joins them.
+dropped at AGREE with about 8e-8; both fall quickly above it, and matter only where no other link joins them.
 
 Defined results: null and wordless texts have the empty set and link with nothing; a text of fewer than k words has its
 word sequence as its only shingle; rows without an id get a null component and are not kept; rows that repeat an id are
@@ -23,6 +23,7 @@ one document; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from pyspark.sql import types as T
 from alphaloom.llm.common import forget, mix64, shingle_set, table, text_buffer, text_key, written
 from alphaloom.llm.components import components
 
-BANDS, ROWS, SHINGLE, THRESHOLD, SEED, DRAWN, MIN_SHARED = 32, 4, 2, 0.8, 20240229, 4, 4
-#: Share of equal minima below which a proposal is dropped: four standard deviations under the threshold.
-AGREE = 0.66
+BANDS, ROWS, SHINGLE, THRESHOLD, SEED, DRAWN, ROUNDS = 32, 4, 2, 0.8, 20240229, 4, 2
+#: Share of equal minima below which a proposal is dropped: five and a half standard deviations under the threshold.
+AGREE = 0.60
 
 
 def _hash_family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +55,15 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return best
 
 
+def planes(sig: np.ndarray) -> np.ndarray:
+    """Bits 0 to 7 of the 128 minima: two longs a bit."""
+    bits = (sig & 255).astype(np.uint8)[None, :] >> np.arange(8, dtype=np.uint8)[:, None]
+    return np.packbits(bits & 1, axis=1).view(np.int64).ravel()
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, lo, hi, sig, low) of every row: set size, 128 bits that name the set, the signature and its low bytes."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.BinaryType())])
+    """(doc_id, n, lo, hi, sig, low) of every row: set size, 128 bits that name the set, the signature and the bit planes of its low bytes."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(BANDS * ROWS)
@@ -70,8 +77,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 hi.append(int(mix64(s ^ np.uint64(SEED)).sum().view(np.int64)) if len(s) else 0)
                 sig = signature(s, family)
                 sigs.append(sig.tobytes() if len(s) else None)
-                low.append((sig & 255).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.binary())], names=schema.names)
+                low.append(planes(sig) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(sign, schema)
 
@@ -149,9 +156,9 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD)
 
     links = linked(pairs)
     comps = written(components(links), "neardup-components")
-    for propose in (_drawn, _rest):
+    for turn in range(ROUNDS + 1):
         open_ = written(_open(members, comps), "neardup-open")
-        more = linked(propose(open_, sigs, round(100 * threshold)))
+        more = linked(_drawn(open_, round(100 * threshold), turn) if turn < ROUNDS else _rest(open_, sigs, round(100 * threshold)))
         forget(open_)
         if more.limit(1).count():
             links = links.unionAll(more)
@@ -182,10 +189,10 @@ def _pair(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def _drawn(open_: DataFrame, sigs: DataFrame, per_cent: int) -> DataFrame:
+def _drawn(open_: DataFrame, per_cent: int, turn: int) -> DataFrame:
     """Proposals of the classes outside a main component to DRAWN of its members: DRAWN a class and bucket at most."""
     mine = F.col("comp") == F.col("main")
-    draw = [F.min(F.when(mine, F.struct(F.xxhash64("cls", F.lit(i)).alias("o"), F.col("cls").alias("y"), F.col("n").alias("yn")))).alias(f"d{i}") for i in range(DRAWN)]
+    draw = [F.min(F.when(mine, F.struct(F.xxhash64("cls", F.lit(turn * DRAWN + i)).alias("o"), F.col("cls").alias("y"), F.col("n").alias("yn")))).alias(f"d{i}") for i in range(DRAWN)]
     drawn = open_.groupBy("key").agg(*draw).select("key", F.array(*(f"d{i}" for i in range(DRAWN))).alias("drawn"))
     both = open_.filter(~mine).join(drawn, "key").select("cls", "n", F.explode("drawn").alias("d"))
     return both.filter(_near(F.col("n"), F.col("d.yn"), per_cent)).select(*_pair("cls", "d.y")).distinct()
@@ -200,11 +207,11 @@ def _rest(open_: DataFrame, sigs: DataFrame, per_cent: int) -> DataFrame:
     same = F.zip_with("xp", "yp", lambda a, b: a == b)
     # a pair of two classes outside the main component would come up twice
     once = (F.col("yc") == F.col("main")) | (F.col("x") > F.col("y"))
-    good = (F.col("xc") != F.col("yc")) & once & _near(F.col("xn"), F.col("yn"), per_cent) & (F.array_position(same, F.lit(True)) == F.col("band") + 1)
-    # equal low bytes are at least as many as equal minima
-    byte = lambda c, i: F.call_function("substring", F.col(c), i, F.lit(1))
-    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), lambda i: byte("xl", i) == byte("yl", i))) >= AGREE * BANDS * ROWS
-    both = x.join(y, (x["key"] == y["key"]) & good & (F.size(F.filter(same, lambda v: v)) >= MIN_SHARED) & agree)
+    first = F.array_position(same, F.lit(True)) == F.col("band") + 1
+    # equal low bytes are at least as many as equal minima; a minimum's low bytes differ where any of their bits does
+    differ = [reduce(lambda a, b: a.bitwiseOR(b), (F.col("xl")[i].bitwiseXOR(F.col("yl")[i]) for i in range(half, 16, 2))) for half in (0, 1)]
+    agree = BANDS * ROWS - F.bit_count(differ[0]) - F.bit_count(differ[1]) >= AGREE * BANDS * ROWS
+    both = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & once & _near(F.col("xn"), F.col("yn"), per_cent) & agree & first)
     return both.select(*_pair("x", "y")).distinct()
 
 
