@@ -187,13 +187,36 @@ def r23(spark, sf_dir):
     return micro.vdj_parameters(tables.trade_counts(spark, sf_dir), F.date_format("date", "yyyy-MM"), 15, 1.0)
 
 
+def lag_profile(d, lags=range(-5, 6), least=50):
+    """(lag, n, spearman, pearson, mi) of ret at a date and label at ``lag`` dates later, pooled over tickers.
+
+    ``d``: (date, ticker, label, ret). Dates are those of any ticker; fewer than ``least`` pairs give NULL.
+    """
+    import pandas as pd
+
+    names = [str(k) for k in lags]
+    grid = d.select("date").distinct().crossJoin(d.select("ticker").distinct()).join(d, ["date", "ticker"], "left")
+    shifted = grid.select("ret", *(F.lead("label", k).over(by_ticker()).alias(str(k)) for k in lags))
+    pairs = shifted.unpivot(["ret"], names, "lag", "label").dropna(subset=["ret", "label"])
+
+    def fit(pdf):
+        # repeated values get their noise in a fixed order
+        pdf = pdf.sort_values(["ret", "label"])
+        mi = ic.discrete_mi(pdf["ret"].to_numpy(), pdf["label"].to_numpy()) if len(pdf) >= least else None
+        return pd.DataFrame({"lag": [pdf["lag"].iloc[0]], "n": [len(pdf)], "mi": pd.Series([mi], dtype="float64")})
+
+    mi = pairs.select("lag", F.col("ret").cast("double").alias("ret"), F.col("label").cast("double").alias("label")).groupBy("lag").applyInPandas(fit, "lag string, n long, mi double")
+    enough = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
+    all_lags = d.sparkSession.createDataFrame([(k,) for k in names], "lag string")
+    both = all_lags.join(mi, "lag", "left").join(stats.spearman(pairs, "label", "ret", "lag").select("lag", "spearman", "pearson"), "lag", "left")
+    return both.select("lag", F.coalesce("n", F.lit(0)).alias("n"), enough("spearman"), enough("pearson"), "mi")
+
+
 @query("r06_lag_profile")
 def r06(spark, sf_dir):
     """Correlation and mutual information of labels and daily returns at lags -5 .. 5 on the common date grid."""
-    w = by_ticker()
-    d = labelled(spark, sf_dir).select("date", "ticker", "label", (F.col("close") / F.lag("close").over(w) - 1).alias("ret"))
-    shifted = d.select("date", "ticker", "ret", *(F.lead("label", k).over(w).alias(str(k)) if k >= 0 else F.lag("label", -k).over(w).alias(str(k)) for k in range(-5, 6)))
-    return stats.spearman(shifted.unpivot(["date", "ticker", "ret"], [str(k) for k in range(-5, 6)], "lag", "label"), "label", "ret", "lag")
+    d = labelled(spark, sf_dir).select("date", "ticker", "label", (F.col("close") / F.lag("close").over(by_ticker()) - 1).alias("ret"))
+    return lag_profile(d)
 
 
 @query("r04_label_information")
