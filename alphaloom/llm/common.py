@@ -1,12 +1,12 @@
 """Helpers shared by the training-data operators: scratch tables, row keys and byte-level tokenizing.
 
-Scratch tables go to the folder named by ``spark.checkpoint.dir``; a private temporary folder is used only where the
-session leaves that setting empty (single-machine tests).
+Scratch tables go to the folder named by ``spark.checkpoint.dir``. Where that is unset (single-machine tests), a folder of the
+application on the default file system is set, which executors and driver share.
 """
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for scratch tables and checkpoints."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="alphaloom-")
+        home = sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).toString().rstrip("/")
+        root = f"{home}/tmp/alphaloom-{sc.applicationId}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -31,13 +32,22 @@ def written(df: DataFrame, name: str, *, partitions: int | None = None) -> DataF
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
-    # lets Spark's cleaner remove the shuffle files of the finished write, which else stay for the whole job
-    spark.sparkContext._jvm.System.gc()
+    _sweep(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path  # type: ignore[attr-defined]
     return out
 
 
+_swept = [0.0]
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished writes, which else stay for the whole job."""
+    if time.monotonic() - _swept[0] > 2:  # a sweep takes a tenth of a second: not after every small table
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in tables:
@@ -48,6 +58,11 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, a written table of narrow rows, broadcast if it has at most ``rows`` of them."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; a component is named by its smallest node.
 
     ``edges`` has two columns of ids; direction, repeats and loops do not matter. Every round is written to the shared
@@ -37,15 +37,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     a, b = (F.col(c) for c in edges.columns)
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     seen = _state(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         large = written(_star(now, large=True), "edges-large")
         small = written(_star(large, large=False), "edges-small")
         forget(now, large)
         now, before, seen = small, seen, _state(small)
         if seen == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,29 +1,32 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, alternating stars.
 
 1. Each text becomes its set of k-word shingles (64-bit hashes) and a signature of 128 minima under multiply-shift
-   hashes. Texts with the same set form one class from here on, so exact copies are never paired.
-2. Signatures are cut into 32 bands of 4. Within a band bucket every class is proposed to the bucket's smallest class
-   only: one proposal per class and band, however large the bucket.
-3. Proposals whose signatures agree enough are verified on the full shingle sets; the links' components come from
-   alternating large-star and small-star.
-4. In buckets that then still hold several components, every class outside the bucket's main component is proposed to a
-   few members of that component, drawn by hash; links found join components further. Then once more with other draws.
-5. What is left outside a main component is compared with every class of another component in its buckets, each pair once,
-   in the first band that it shares, if minima agree often enough; verified in the same way. So no bucket pair
-   that could join two components is skipped, and the pairs inside a component are never listed.
-
-Two texts at the threshold of 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8, and are
-dropped at AGREE with about 8e-8; both fall quickly above it, and matter only where no other link joins them.
+   hashes. Texts with the same set form one class, the node of everything that follows, so exact copies are never paired.
+2. Signatures are cut into 32 bands of 4; equal bands are a bucket. The head of a bucket is its class with the most
+   bucket neighbours in all its bands, so the centre of a group of near copies heads most of their buckets.
+3. Every class is compared with the heads of its buckets: signatures first (equal low bytes), then the full shingle sets.
+   The links' components come from alternating large-star and small-star.
+4. Where the classes around a head still belong to several components, every class outside the largest of them is
+   compared with all classes around that head, in the same two steps. Two classes of one bucket are both around its head, so
+   every pair that shares a bucket is either in one component by then or compared.
+
+Comparisons run inside tasks on blocks of bounded size: a block of classes is loaded, another streams past it, and only
+links between components that the block has not joined yet leave the task, so no list of pairs exists at any size of a
+group. A group of near copies costs one comparison a copy in step 3; step 4 costs the copies outside the main component
+times the group, which is the work left where texts truly lie around the threshold.
+
+Two texts at the threshold of 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8, and are dropped at AGREE
+with about 8e-8; both fall quickly above it, and matter only where no other link joins the two.
 
 Defined results: null and wordless texts have the empty set and link with nothing; a text of fewer than k words has its
-word sequence as its only shingle; rows without an id get a null component and are not kept; rows that repeat an id are
-one document; an empty table gives no rows; extra columns are ignored.
+word sequence as its only shingle; rows without an id get a null component and are not kept; rows that repeat an id and a
+text are one document; an id that stands with two different texts names two documents, each in the group of its own text;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alphaloom.llm.common import forget, mix64, shingle_set, table, text_buffer, text_key, written
+from alphaloom.llm.common import bounded, forget, mix64, shingle_set, table, text_buffer, text_key, written
 from alphaloom.llm.components import components
 
-BANDS, ROWS, SHINGLE, THRESHOLD, SEED, DRAWN, ROUNDS = 32, 4, 2, 0.8, 20240229, 4, 2
-#: Share of equal minima below which a proposal is dropped: five and a half standard deviations under the threshold.
+BANDS, ROWS, SHINGLE, THRESHOLD, SEED = 32, 4, 2, 0.8, 20240229
+#: Share of equal minima below which a pair is dropped: five and a half standard deviations under the threshold.
 AGREE = 0.60
+#: Shingles in a block of compared classes (a single class may have more).
+BLOCK = 1 << 20
 
 
 def _hash_family(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -55,168 +60,206 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return best
 
 
-def planes(sig: np.ndarray) -> np.ndarray:
-    """Bits 0 to 7 of the 128 minima: two longs a bit."""
-    bits = (sig & 255).astype(np.uint8)[None, :] >> np.arange(8, dtype=np.uint8)[:, None]
-    return np.packbits(bits & 1, axis=1).view(np.int64).ravel()
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit bucket key of each band."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40)
+    for column in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
+        key = mix64(key + column)
+    return key.view(np.int64)
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, lo, hi, sig, low) of every row: set size, 128 bits that name the set, the signature and the bit planes of its low bytes."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.ArrayType(T.LongType()))])
+    """(doc_id, h, n, lo, hi, keys, low) of every row: text key, set size, 128 bits that name the set, the bucket keys and
+    the low bytes of the signature."""
+    long = T.LongType()
+    named = (("h", long), ("n", long), ("lo", long), ("hi", long), ("keys", T.ArrayType(long)), ("low", T.BinaryType()))
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in named)])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(BANDS * ROWS)
         for batch in batches:
             data, offs = text_buffer(batch.column("text"))
-            n, lo, hi, sigs, low = [], [], [], [], []
+            n, lo, hi, keys, low = [], [], [], [], []
             for i in range(len(offs) - 1):
                 s = shingle_set(data[offs[i] : offs[i + 1]], k)
                 n.append(len(s))
                 lo.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 hi.append(int(mix64(s ^ np.uint64(SEED)).sum().view(np.int64)) if len(s) else 0)
-                sig = signature(s, family)
-                sigs.append(sig.tobytes() if len(s) else None)
-                low.append(planes(sig) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(low, pa.list_(pa.int64()))], names=schema.names)
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(sign, schema)
-
-
-def _band(i):
-    """Bytes of band ``i`` of the signature."""
-    return F.call_function("substring", F.col("sig"), (i * F.lit(4 * ROWS) + F.lit(1)).cast("int"), F.lit(4 * ROWS))
-
-
-def _bands():
-    """Bucket keys of all bands."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, _band(i)))
-
-
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Proposals (a, b) whose signatures agree in a share AGREE of the minima at least."""
-    named = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "sig_a", "sig_b")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE))
-
-    return both.mapInArrow(keep, both.select("a", "b").schema)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs whose full shingle sets reach the Jaccard threshold. ``texts``: (cls, text), a row per class."""
+                sig = signature(s, family) if len(s) else None
+                keys.append(band_keys(sig) if len(s) else None)
+                low.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+            columns = [pa.array(x, pa.int64()) for x in (n, lo, hi)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns, pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=schema.names)
+
+    return docs.select("doc_id", text_key().alias("h"), F.col("text").cast("string").alias("text")).mapInArrow(sign, schema)
+
+
+class Block:
+    """Loaded classes: their signatures, and an index from shingles to the classes that hold them."""
+
+    def __init__(self, comps: list[int], lows: list[bytes], sets: list[np.ndarray], per_cent: int):
+        self.per_cent, self.sets = per_cent, sets
+        self.comps = np.array(comps, np.int64)
+        self.lows = np.frombuffer(b"".join(lows), np.uint8).reshape(len(lows), -1)
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.parent: dict[int, int] = {}
+        self.words = None
+
+    def root(self, comp: int) -> int:
+        while comp in self.parent:
+            comp = self.parent[comp]
+        return comp
+
+    def _index(self) -> None:
+        tokens, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.n)
+        order = np.argsort(tokens, kind="stable")
+        self.words, self.first, self.times = np.unique(tokens[order], return_index=True, return_counts=True)
+        self.owner = owner[order]
+
+    def shared(self, s: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of ``s`` with the ``wanted`` loaded classes."""
+        if len(wanted) <= 4:
+            return np.array([len(np.intersect1d(s, self.sets[i], assume_unique=True)) for i in wanted], np.int64)
+        if self.words is None:
+            self._index()
+        at = np.minimum(np.searchsorted(self.words, s), len(self.words) - 1)
+        at = at[self.words[at] == s]
+        times = self.times[at]
+        spots = np.repeat(self.first[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        return np.bincount(self.owner[spots], minlength=len(self.sets))[wanted]
+
+    def links(self, comp: int, n: int, low: bytes, text: str, k: int) -> Iterator[tuple[int, int]]:
+        """Links of a class to loaded ones of components that this block has not joined with its own yet."""
+        able = (np.minimum(self.n, n) * 100 >= np.maximum(self.n, n) * self.per_cent) & (self.comps != self.root(comp))
+        wanted = np.flatnonzero(able)
+        if len(wanted):
+            wanted = wanted[(self.lows[wanted] == np.frombuffer(low, np.uint8)).mean(axis=1) >= AGREE]
+        if not len(wanted):
+            return
+        c = self.shared(shingle_set(np.frombuffer(text.encode(), np.uint8), k), wanted)
+        for i in wanted[(c > 0) & (100 * c >= self.per_cent * (self.n[wanted] + n - c))]:
+            x, y = int(self.comps[i]), self.root(comp)
+            if x != y:
+                yield x, y
+                self.parent[y] = x
+                self.comps[self.comps == y] = x
+
+
+def _links(loaded: DataFrame, streamed: DataFrame, bodies: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links (a, b) of components between the loaded and the streamed classes of each block (g, i, j).
+
+    Both have (g, i, j, node, comp). ``bodies`` has (node, n, low, text).
+    """
+    rows = loaded.withColumn("streams", F.lit(False)).unionByName(streamed.withColumn("streams", F.lit(True))).join(bodies, "node")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "streams", "node")
     per_cent = round(100 * threshold)
-    ids = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct()
-    texts = texts.join(ids, "cls", "left_semi")
-    named = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, block, held = None, None, []
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            ids = batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            for i, b in enumerate(ids):
-                if last[0] != b:
-                    last = (b, shingle_set(np.frombuffer(tb[i].as_py().encode(), np.uint8), k))
-                s = shingle_set(np.frombuffer(ta[i].as_py().encode(), np.uint8), k)
-                shared = len(np.intersect1d(s, last[1], assume_unique=True))
-                good[i] = shared > 0 and 100 * shared >= per_cent * (len(s) + len(last[1]) - shared)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    return both.mapInArrow(check, both.select("a", "b").schema)
+            found: list[tuple[int, int]] = []
+            lists = (batch.column(c).to_pylist() for c in ("g", "i", "j", "streams", "comp", "n", "low"))
+            for r, (g, i, j, streams, comp, n, low) in enumerate(zip(*lists, strict=True)):
+                if (g, i, j) != unit:
+                    unit, block, held = (g, i, j), None, []
+                text = batch.column("text")[r].as_py()
+                if not streams:
+                    held.append((comp, low, shingle_set(np.frombuffer(text.encode(), np.uint8), k)))
+                    continue
+                if block is None:
+                    block = Block(*(list(x) for x in zip(*held, strict=True)), per_cent)
+                found += block.links(comp, n, low, text, k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in found], pa.int64()) for s in (0, 1)], names=["a", "b"])
+
+    return rows.select("g", "i", "j", "streams", "comp", "n", "low", "text").mapInArrow(compare, "a long, b long")
+
+
+def _tiles(size) -> F.Column:
+    return F.ceil(size / F.lit(BLOCK)).cast("int")
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """(head, node, n): the classes around each head, heads included."""
+    spread = classes.select("node", "n", F.explode("keys").alias("key"))
+    shared = written(spread.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "neardup-buckets")
+    members = written(spread.join(bounded(shared), "key"), "neardup-members")
+    crowd = written(members.groupBy("node").agg(F.sum("c").alias("crowd")), "neardup-crowds")
+    heads = written(members.join(crowd, "node").groupBy("key").agg(F.max(F.struct("crowd", "node")).alias("m")).select("key", F.col("m.node").alias("head")), "neardup-heads")
+    groups = written(members.join(heads, "key").select("head", "node", "n").distinct(), "neardup-groups")
+    forget(shared, members, crowd, heads)
+    return groups
+
+
+def _bodies(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, n, low, text) of every class that shares a bucket."""
+    wanted = written(classes.join(groups.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.h").alias("r_h")), "neardup-wanted")
+    texts = docs.select("doc_id", text_key().alias("h"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(bounded(wanted), (F.col("doc_id") == F.col("r_id")) & (F.col("h") == F.col("r_h"))).groupBy("node").agg(F.first("text").alias("text"))
+    bodies = written(texts.join(classes.select("node", "n", "low"), "node"), "neardup-bodies")
+    forget(wanted)
+    return bodies
+
+
+def _around_heads(groups: DataFrame, bodies: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links of classes with the heads of their buckets."""
+    tiles = written(groups.groupBy("head").agg(_tiles(F.sum("n")).alias("tiles")), "neardup-tiles")
+    place = lambda node, comp, j: [F.col("head").alias("g"), F.lit(0).alias("i"), j.alias("j"), F.col(node).alias("node"), F.col(comp).alias("comp")]
+    loaded = tiles.select("head", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j")).select(*place("head", "head", F.col("j")))
+    streamed = groups.filter("node <> head").join(tiles, "head").select(*place("node", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    links = written(_links(loaded, streamed, bodies, k, threshold), "neardup-links")
+    forget(tiles)
+    return links
+
+
+def _across(groups: DataFrame, comps: DataFrame, bodies: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Links between the components that stand around one head."""
+    placed = written(groups.join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "neardup-placed")
+    per = placed.groupBy("head", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    main = per.groupBy("head").agg(F.max(F.struct("k", "comp", "w")).alias("m"), F.count("*").alias("kinds"), F.sum("w").alias("all")).filter("kinds > 1")
+    main = written(main.select("head", F.col("m.comp").alias("main"), _tiles(F.col("all") - F.col("m.w")).alias("ti"), _tiles(F.col("all")).alias("tj")), "neardup-main")
+    open_ = written(placed.join(main, "head"), "neardup-open")
+    forget(placed, main)
+    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    loaded = open_.filter("comp <> main").select(F.col("head").alias("g"), tile("ti").alias("i"), every("tj").alias("j"), "node", "comp")
+    streamed = open_.select(F.col("head").alias("g"), every("ti").alias("i"), tile("tj").alias("j"), "node", "comp")
+    links = written(_links(loaded, streamed, bodies, k, threshold), "neardup-across")
+    forget(open_)
+    return links
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links, h) of every row; n_links counts verified links of the row's class."""
-    rows = written(signed(docs, k).withColumn("sig", F.when(F.col("doc_id").isNotNull(), F.col("sig"))), "neardup-signed")
+    """(doc_id, n_shingles, component_id, kept, h) of every row; ``h`` is the key of its text."""
+    signs = written(signed(docs, k), "neardup-signed")
     name = ["n", "lo", "hi"]
-    known = rows.filter(F.col("sig").isNotNull())
-    classes = written(known.groupBy(*name).agg(F.min("doc_id").alias("cls")), "neardup-classes")
-    sigs = known.join(classes.select("cls", *(F.col(c).alias(f"c_{c}") for c in name)), (F.col("doc_id") == F.col("cls")) & (F.col("n") == F.col("c_n")) & (F.col("lo") == F.col("c_lo")))
-    sigs = written(sigs.select("cls", "n", "sig", "low").dropDuplicates(["cls", "n"]), "neardup-sigs")
-
-    members = sigs.select("cls", "n", F.posexplode(_bands()).alias("band", "key"))
-    heads = members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.max("cls").alias("tail"))
-    heads = heads.filter(F.col("head.cls") != F.col("tail")).select("key", "head")
-    members = written(members.join(heads, "key"), "neardup-members")
-    pairs = members.filter((F.col("cls") != F.col("head.cls")) & _near(F.col("n"), F.col("head.n"), round(100 * threshold))).select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("cls"), F.col("text").cast("string").alias("text")).filter("text is not null")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        proposed = written(_agreeing(pairs, sigs), "neardup-proposed")
-        found = written(_verified(proposed, texts, k, threshold).distinct(), "neardup-links")
-        forget(proposed)
-        return found
-
-    links = linked(pairs)
+    known = signs.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = known.groupBy(*name).agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low"))
+    # the numbers are fixed by the write: every later step reads the written ones
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-classes")
+    rows = written(signs.select("doc_id", "h", *name), "neardup-rows")
+    forget(signs)
+
+    groups = _groups(classes)
+    bodies = _bodies(docs, classes, groups)
+    links = _around_heads(groups, bodies, k, threshold)
     comps = written(components(links), "neardup-components")
-    for turn in range(ROUNDS + 1):
-        open_ = written(_open(members, comps), "neardup-open")
-        more = linked(_drawn(open_, round(100 * threshold), turn) if turn < ROUNDS else _rest(open_, sigs, round(100 * threshold)))
-        forget(open_)
-        if more.limit(1).count():
-            links = links.unionAll(more)
-            comps = written(components(links), "neardup-components")
-
-    degree = links.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionAll(links.select("b", "a")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
-    named = named.select(*(F.col(c).alias(f"c_{c}") for c in name), F.coalesce("component", "cls").alias("found"), "n_links")
-    out = rows.join(named, (F.col("n") == F.col("c_n")) & (F.col("lo") == F.col("c_lo")) & (F.col("hi") == F.col("c_hi")) & F.col("sig").isNotNull(), "left")
+    more = _across(groups, comps, bodies, k, threshold)
+    forget(links, bodies, groups)
+    joined = written(components(more), "neardup-joined").select(F.col("node").alias("label"), F.col("component").alias("joined"))
+    forget(more)
+
+    named = classes.select("node", *name, F.col("rep.doc_id").alias("least")).join(comps, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    named = written(named.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label")).select("label", "least", *name), "neardup-named")
+    least = written(named.groupBy("label").agg(F.min("least").alias("found")), "neardup-least")
+    named = written(named.join(least, "label").select("found", *(F.col(c).alias(f"c_{c}") for c in name)), "neardup-found")
+    same = [F.col(c) == F.col(f"c_{c}") for c in name]
+    out = rows.join(named, same[0] & same[1] & same[2] & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("found", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
-
-def _near(x, y, per_cent: int):
-    """Whether sets of x and y shingles can reach the threshold at all."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * per_cent
-
-
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, band, cls, n, comp, main) of the buckets with several components; ``main`` is the largest there."""
-    placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "band", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1")
-    return placed.join(main.select("key", F.col("m.comp").alias("main")), "key")
-
-
-def _pair(x: str, y: str) -> list:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-
-def _drawn(open_: DataFrame, per_cent: int, turn: int) -> DataFrame:
-    """Proposals of the classes outside a main component to DRAWN of its members: DRAWN a class and bucket at most."""
-    mine = F.col("comp") == F.col("main")
-    draw = [F.min(F.when(mine, F.struct(F.xxhash64("cls", F.lit(turn * DRAWN + i)).alias("o"), F.col("cls").alias("y"), F.col("n").alias("yn")))).alias(f"d{i}") for i in range(DRAWN)]
-    drawn = open_.groupBy("key").agg(*draw).select("key", F.array(*(f"d{i}" for i in range(DRAWN))).alias("drawn"))
-    both = open_.filter(~mine).join(drawn, "key").select("cls", "n", F.explode("drawn").alias("d"))
-    return both.filter(_near(F.col("n"), F.col("d.yn"), per_cent)).select(*_pair("cls", "d.y")).distinct()
-
-
-def _rest(open_: DataFrame, sigs: DataFrame, per_cent: int) -> DataFrame:
-    """All proposals between components within buckets, each pair in the first band that it shares."""
-    prints = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.hash(_band(i)))
-    here = open_.join(sigs.select("cls", prints.alias("prints"), "low"), "cls")
-    x = here.filter(F.col("comp") != F.col("main")).select("key", "band", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("prints").alias("xp"), F.col("low").alias("xl"))
-    y = here.select("key", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), "main", F.col("prints").alias("yp"), F.col("low").alias("yl"))
-    same = F.zip_with("xp", "yp", lambda a, b: a == b)
-    # a pair of two classes outside the main component would come up twice
-    once = (F.col("yc") == F.col("main")) | (F.col("x") > F.col("y"))
-    first = F.array_position(same, F.lit(True)) == F.col("band") + 1
-    # equal low bytes are at least as many as equal minima; a minimum's low bytes differ where any of their bits does
-    differ = [reduce(lambda a, b: a.bitwiseOR(b), (F.col("xl")[i].bitwiseXOR(F.col("yl")[i]) for i in range(half, 16, 2))) for half in (0, 1)]
-    agree = BANDS * ROWS - F.bit_count(differ[0]) - F.bit_count(differ[1]) >= AGREE * BANDS * ROWS
-    both = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & once & _near(F.col("xn"), F.col("yn"), per_cent) & agree & first)
-    return both.select(*_pair("x", "y")).distinct()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "h")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup(table(spark, sf_dir, "documents")).drop("h")
 
 
 #: Exact links over all pairs that share a shingle; feasible for a small corpus only.

@@ -19,7 +19,7 @@ def test_stages_keep_clean_documents(spark, tiny):
         sizes.append(docs.count())
         if name == "minhash_near_dedup":
             rows = before.orderBy("doc_id").collect()
-            want = brute_components([r["text"] for r in rows], corpus_pipeline.WORDS)
+            want = brute_components([r["text"] for r in rows], neardup.SHINGLE)
             assert sorted(r["doc_id"] for r in docs.collect()) == [rows[i]["doc_id"] for i in want if want[i][2]]
         if name == "benchmark_decontamination":
             rows = before.orderBy("doc_id").collect()
