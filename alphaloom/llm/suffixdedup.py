@@ -6,15 +6,16 @@ anchor, so equal 200-byte strings have their anchors at equal offsets. For an an
 bytes before and 200 after:
 
 1. anchors whose 40 bytes occur once are dropped; where all occurrences have the same surroundings, these are shared whole;
-2. otherwise the distinct surroundings of an anchor string form one bucket of a sparse suffix array. Its suffixes, and its
-   reversed prefixes, are sorted by multikey quicksort to a shallow depth, and groups that are still equal there by blind
-   tries; the orders and their common prefix lengths give the classes that share d bytes before and 200 - d after, and so
-   the reach of the shared strings to both sides. Buckets beyond ``BUCKET`` surroundings are resolved by counting their
-   200-byte strings instead, a row each, which spreads one bucket over all tasks;
+2. otherwise the distinct surroundings of an anchor string form one bucket of a sparse suffix array, whatever their number.
+   Its suffixes, and its reversed prefixes, are sorted by multikey quicksort to a shallow depth, and groups that are still
+   equal there by blind tries; the orders and their common prefix lengths give the classes that share d bytes before and
+   200 - d after, and so the reach of the shared strings to both sides. A task sorts many buckets in one go. Only a bucket
+   beyond ``BUCKET`` surroundings, too large for a task, has its 200-byte strings counted instead, a row each, which
+   spreads it over all tasks;
 3. the reaches of all occurrences are joined to their documents, merged and cut out.
 
-Hashes only propose, except that 64-bit hashes (128 bits in large buckets) stand for equal surroundings; lengths are
-compared on bytes.
+Hashes only propose, except that the two 64-bit hashes of an anchor string and its surroundings stand for equal ones;
+strings are compared on bytes, in large buckets too.
 
 Defined results: null texts count as empty; texts under 200 bytes keep all; rows that repeat an id and text are separate
 places, so both lose what they share; an empty table gives no rows.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.common import _powers, forget, mix64, table, text_buffer, text_key, written
 
-MATCH, GRAM, SHALLOW, BUCKET, PIECE, FEW, TILE = 200, 40, 96, 100_000, 1 << 20, 12, 512
+MATCH, GRAM, SHALLOW, BUCKET, PIECE, SORTED = 200, 40, 96, 100_000, 1 << 20, 20_000
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -168,87 +169,73 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
-    """Order of the strings: multikey quicksort on 8-byte keys to ``shallow``, blind tries below it."""
-    out: list[int] = []
-    stack = [(list(range(len(strings))), 0)]
-    while stack:
-        ids, depth = stack.pop()
-        if len(ids) < 2:
-            out += ids
-            continue
-        if depth >= shallow:
-            trie = BlindTrie(strings, ids[0])
-            for i in ids[1:]:
-                trie.insert(i)
-            out += trie.order()
-            continue
-        keys = [strings[i][depth : depth + 8] for i in ids]
-        pivot = sorted(keys[:: max(1, len(keys) // 5)][:5])[min(2, (len(keys) - 1) // 2)]
-        less = [i for i, x in zip(ids, keys, strict=True) if x < pivot]
-        same = [i for i, x in zip(ids, keys, strict=True) if x == pivot]
-        more = [i for i, x in zip(ids, keys, strict=True) if x > pivot]
-        stack.append((more, depth))
-        if len(pivot) < 8:  # strings that end here are equal
-            stack += [([i], depth) for i in reversed(same)]
-        else:
-            stack.append((same, depth + 8))
-        stack.append((less, depth))
-    return out
-
+def _matrix(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows, padded with zero bytes to a multiple of eight, and their lengths."""
+    size = np.array([len(x) for x in strings], np.int64)
+    width = max(8, -(-int(size.max(initial=0)) // 8) * 8)
+    rows = np.zeros((len(strings), width), np.uint8)
+    rows[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    return rows, size
 
-def _ranked(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the strings and the common prefix of each with the one before it."""
-    order = deep_shallow(strings)
-    lcp = np.zeros(len(order), np.int64)
-    for x in range(1, len(order)):
-        lcp[x] = common(strings[order[x - 1]], strings[order[x]])
-    return np.array(order), lcp
 
+def ranked(bucket: np.ndarray, strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings within their buckets, and the common prefix of each with the one before it (-1: another bucket).
 
-def _prefixes(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """Common prefix length of every two strings, from the sorted order and its neighbours' prefixes."""
-    n = len(order)
-    m = np.zeros((n, n), np.int64)
-    for i in range(n - 1):
-        m[i, i + 1 :] = np.minimum.accumulate(lcp[i + 1 :])
-    m += m.T
-    out = np.empty_like(m)
-    out[np.ix_(order, order)] = m
-    return out
-
-
-def reaches(before: list[bytes], after: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a bucket, how many bytes before and after it lie in ``match``-byte strings of another place.
+    Multikey quicksort on 8-byte keys, all groups of a depth at once, down to ``shallow`` bytes; groups that are still equal
+    there are ordered by blind tries. Padding is safe: a string sorts before its continuations, and lengths break ties.
+    """
+    rows, size = _matrix(strings)
+    keys = rows.view(">u8")
+    order = np.argsort(bucket, kind="stable")
+    group = np.cumsum(np.diff(bucket[order], prepend=bucket[order[:1]]) != 0)
+    for depth in range(min(shallow, rows.shape[1]) // 8):
+        many = np.flatnonzero(np.bincount(group)[group] > 1)  # places of strings that are not alone in their group
+        if not len(many):
+            break
+        key = keys[order[many], depth]
+        moved = np.lexsort((key, group[many]))
+        order[many] = order[many][moved]
+        split = np.zeros(len(order), bool)
+        split[many[1:]] = (key[moved][1:] != key[moved][:-1]) & (group[many][1:] == group[many][:-1])
+        group = np.cumsum(split | (np.diff(group, prepend=group[:1]) != 0))
+    times = np.bincount(group)
+    first = np.cumsum(times) - times
+    for at, n in zip(first[times > 1].tolist(), times[times > 1].tolist(), strict=True):
+        ids = order[at : at + n].tolist()
+        trie = BlindTrie(strings, ids[0])
+        for i in ids[1:]:
+            trie.insert(i)
+        order[at : at + n] = trie.order()
+    lcp = np.full(len(order), -1, np.int64)
+    a, b = order[:-1], order[1:]
+    differ = rows[a] != rows[b]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    lcp[1:] = np.where(bucket[a] == bucket[b], np.minimum(shared, np.minimum(size[a], size[b])), -1)
+    return order, lcp
+
+
+def reaches(bucket: np.ndarray, before: list[bytes], after: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how many bytes before and after it lie in ``match``-byte strings of another place of its bucket.
 
     ``before``: reversed bytes before each place; ``after``: bytes from it on. -1 where there is no such string.
     """
     n = len(after)
     left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    if n <= FEW:  # sorting a handful takes longer than comparing it
-        for i in range(n):
-            for j in range(i):
-                x, y = common(before[i], before[j]), common(after[i], after[j])
-                if x + y >= match:
-                    left[i], left[j], right[i], right[j] = max(left[i], x), max(left[j], x), max(right[i], y), max(right[j], y)
-        return left, right
-    (o1, l1), (o2, l2) = _ranked(before), _ranked(after)
-    if n <= TILE:  # all common prefixes at once
-        x, y = _prefixes(o1, l1), _prefixes(o2, l2)
-        shared = x + y >= match
-        np.fill_diagonal(shared, False)
-        return np.where(shared, x, -1).max(axis=1), np.where(shared, y, -1).max(axis=1)
+    (o1, l1), (o2, l2) = ranked(bucket, before), ranked(bucket, after)
     size1, size2 = np.array([len(x) for x in before]), np.array([len(x) for x in after])
     c1, c2 = np.empty(n, np.int64), np.empty(n, np.int64)
-    most = int(max(l1.max(), 0))
-    for d in range(most, max(0, match - int(l2.max())) - 1, -1):
+    for d in range(int(max(l1.max(), 0)), max(0, match - int(l2.max())) - 1, -1):
+        # classes of places that share d bytes before and match - d after
         c1[o1], c2[o2] = np.cumsum(l1 < d), np.cumsum(l2 < match - d)
         able = np.flatnonzero((size1 >= d) & (size2 >= match - d))
         if len(able) < 2:
             continue
         key = c1[able] * (n + 1) + c2[able]
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        good = able[count[inverse] > 1]
+        turn = np.argsort(key, kind="stable")
+        same = key[turn][1:] == key[turn][:-1]
+        twin = np.zeros(len(able), bool)
+        twin[turn[1:][same]] = twin[turn[:-1][same]] = True
+        good = able[twin]
         left[good] = np.maximum(left[good], d)
         right[good] = np.maximum(right[good], match - d)
     return left, right
@@ -266,51 +253,54 @@ def _surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _sorted_buckets(rows: DataFrame, match: int) -> DataFrame:
-    """(kh, ch, left, right) of the surroundings in buckets that fit a task."""
+    """(kh, ch, left, right) of the surroundings in buckets that fit a task; a sort takes ``SORTED`` strings of whole buckets."""
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket, out = None, [], []
-
-        def close() -> None:
-            if len(bucket) > 1:
-                left, right = reaches([b[: x][::-1] for _, x, b in bucket], [b[x:] for _, x, b in bucket], match)
-                out.extend((key, c[0], int(a), int(b)) for c, a, b in zip(bucket, left, right, strict=True) if a >= 0)
+    def solved(held: list[tuple]) -> pa.RecordBatch:
+        kh, ch, before, body = (list(x) for x in zip(*held, strict=True)) if held else ([], [], [], [])
+        if not held:
+            left = right = np.zeros(0, np.int64)
+        else:
+            left, right = reaches(np.array(kh), [b[:x][::-1] for x, b in zip(before, body, strict=True)], [b[x:] for x, b in zip(before, body, strict=True)], match)
+        hit = np.flatnonzero(left >= 0)
+        columns = [pa.array(np.array(kh, np.int64)[hit]), pa.array(np.array(ch, np.int64)[hit]), pa.array(left[hit].astype(np.int32)), pa.array(right[hit].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["kh", "ch", "left", "right"])
 
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            for kh, ch, before, body in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "before", "body")), strict=True):
-                if kh != key:
-                    close()
-                    key, bucket = kh, []
-                bucket.append((ch, before, body))
-            if len(out) > 10_000:
-                yield _reach_batch(out)
-                out = []
-        close()
-        yield _reach_batch(out)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kh", "ch", "before", "body")), strict=True):
+                if len(held) >= SORTED and row[0] != held[-1][0]:
+                    yield solved(held)
+                    held = []
+                held.append(row)
+        yield solved(held)
 
     return rows.select("kh", "ch", "before", "body").repartition("kh").sortWithinPartitions("kh").mapInArrow(resolve, "kh long, ch long, left int, right int")
 
 
-def _reach_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kh", "ch", "left", "right"])
-
-
 def _counted_buckets(rows: DataFrame, match: int) -> DataFrame:
     """The same for larger buckets: every ``match``-byte string around a place is a row, and rows are counted."""
     at = rows.filter(F.octet_length("body") >= match).select("kh", "ch", "before", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - match)).alias("s")).filter(F.col("s") <= F.col("before"))
     at = at.select("kh", "ch", (F.col("before") - F.col("s")).alias("d"), F.call_function("substring", "body", F.col("s") + 1, F.lit(match)).alias("string"))
-    at = at.select("kh", "ch", "d", F.xxhash64("string").alias("s1"), F.xxhash64("string", F.lit(1)).alias("s2"))
-    twice = at.groupBy("kh", "d", "s1", "s2").agg(F.count("*").alias("c")).filter("c > 1")
-    return at.join(twice, ["kh", "d", "s1", "s2"]).groupBy("kh", "ch").agg(F.max("d").cast("int").alias("left"), (match - F.min("d")).cast("int").alias("right"))
+    at = at.withColumns({"s1": F.xxhash64("string"), "s2": F.xxhash64("string", F.lit(1))})
+    key = ["kh", "d", "s1", "s2"]
+    twice = at.groupBy(*key).agg(F.count("*").alias("c"), F.min("string").alias("lo"), F.max("string").alias("hi")).filter("c > 1")
+    twice = written(twice.select(*key, (F.col("lo") == F.col("hi")).alias("equal")), "suffix-counted")
+    both = at.join(twice, key)
+    # hashes of different strings: these are counted by their bytes
+    torn = both.filter("NOT equal")
+    found = both.filter("equal").select("kh", "ch", "d").unionAll(torn.join(torn.groupBy(*key, "string").count().filter("count > 1").drop("count"), [*key, "string"]).select("kh", "ch", "d"))
+    return found.groupBy("kh", "ch").agg(F.max("d").cast("int").alias("left"), (match - F.min("d")).cast("int").alias("right"))
 
 
 def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: the removed runs and the remaining bytes."""
     places = written(anchor_rows(docs, match, gram), "suffix-anchors")
     twice = places.groupBy("kh").agg(F.count("*").alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).filter("n > 1")
-    shared = written(places.join(twice.select("kh", (F.col("c0") != F.col("c1")).alias("mixed")), "kh"), "suffix-shared")
-    forget(places)
+    # a table of its own, so that the join is one of two scans, whose hot keys Spark can split
+    twice = written(twice.select("kh", (F.col("c0") != F.col("c1")).alias("mixed")), "suffix-twice")
+    shared = written(places.join(twice, "kh"), "suffix-shared")
+    forget(places, twice)
     mixed = shared.filter("mixed")
     distinct = mixed.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos", "before", "after")).alias("p")).select("kh", "ch", "n", "p.*")
     distinct = written(distinct, "suffix-distinct")
@@ -319,8 +309,9 @@ def suffix_dedup(docs: DataFrame, match: int = MATCH, gram: int = GRAM, bucket:
 
     texts = docs.select("doc_id", text_key().alias("h"), F.col("text").cast("string").alias("text"))
     around = _surroundings(texts, distinct)
-    found = _sorted_buckets(around.join(large, "kh", "left_anti"), match)
-    if large.limit(1).count():
+    hot = large.limit(1).count() > 0
+    found = _sorted_buckets(around.join(large, "kh", "left_anti") if hot else around, match)
+    if hot:
         found = found.unionAll(_counted_buckets(around.join(large, "kh", "left_semi"), match))
     # whole surroundings are shared where they occur twice; else what the bucket gave
     found = distinct.filter("n > 1").select("kh", "ch", F.col("before").cast("int").alias("left"), F.col("after").cast("int").alias("right")).unionAll(found)

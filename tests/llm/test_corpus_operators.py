@@ -169,22 +169,36 @@ def test_top_k_brute_force(spark, block):
     v = np.round(rng.standard_normal((120, 6)) * 2) / 4
     v[30:70] = v[30]  # a third are one vector
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(200, None), (201, [1.0, None]), (202, [float("nan")]), (250, [float("inf")]), (300, []), (None, [1.0]), (350, [0.5])]
-    q = np.floor(256 * np.vstack([v, [[0.5] + [0.0] * 5]])).astype(int)
-    ids, want = [*range(120), 350], set()
+    q = np.floor(256 * np.vstack([v, np.zeros((1, 6)), [[0.5] + [0.0] * 5]])).astype(int)
+    ids, want = [*range(120), 300, 350], set()
     for a, i in enumerate(ids):
         if i % 50 == 0:
             order = sorted((-int(q[a] @ q[b]), j) for b, j in enumerate(ids) if j != i)[:5]
             want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(order)}
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), roots=4, block=block)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), roots=4, block=block, asked_in_slice=2)
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_top_k_of_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 5.0]), (2, [2.0, 1.0]), (2, [2.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"] >> 16) for r in got) == [(1, 1, 3), (1, 1, 5), (2, 2, 1), (2, 2, 2)]
+    rows = [(0, [1e8, 3.0]), (1, [1e8, -1e8]), (2, [1.0, 1.0]), (3, [1e300, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    x = 256 * 10**8
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, 256 * x + 256 * 768)] and x * x - 768 * x > 2**63
+
+
 def test_tree_skips_distances():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 4))
-    tree, best = topk.MTree(x), [np.inf]
-    computed = tree.nearest(x[5], lambda rows: best.append(min([best[-1], *np.sqrt(((x[rows] - x[5]) ** 2).sum(axis=1))])), lambda: best[-1])
-    assert best[-1] == 0 and computed < 1500
+    tree, limits = topk.MTree(x, page=64), np.full(2, np.inf)
+
+    def offer(rows, who):
+        for w in who:
+            limits[w] = min(limits[w], np.sqrt(((x[rows] - x[5 + w]) ** 2).sum(axis=1)).min())
+
+    assert tree.search(x[5:7], limits, offer) < 3000 and (limits == 0).all()
 
 
 # --- sharding --------------------------------------------------------------------------------------------------------
@@ -274,14 +288,17 @@ def test_suffix_dedup_brute_force(spark, match, gram, bucket):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, match)
 
 
-@pytest.mark.parametrize("n", [2, 12, 13, 200, 600])
+@pytest.mark.parametrize("n", [2, 13, 200, 600])
 def test_reaches_brute_force(n):
     rng = random.Random(n)
     passage, before, after = bytes(rng.choice(b"abcd") for _ in range(400)), [], []
     for _ in range(n):
         before.append((bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) + passage[200 - rng.randrange(160) : 200])[::-1])
         after.append(passage[200 : 200 + rng.randrange(40, 200)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(40))))
-    left, right = suffixdedup.reaches(before, after)
+    # next to a bucket of other strings and one of a single place
+    other = [bytes(rng.choice(b"xy") for _ in range(60)) for _ in range(3)] + [before[0]]
+    left, right = suffixdedup.reaches(np.array([4] * n + [5] * 3 + [6]), before + other, after + other[:3] + [after[0]])
+    assert (left[n:] == -1).all() and (right[n:] == -1).all()
     for i in range(0, n, max(1, n // 40)):
         good = [(x, y) for j in range(n) if j != i and (x := suffixdedup.common(before[i], before[j])) + (y := suffixdedup.common(after[i], after[j])) >= 200]
         assert (left[i], min(200, right[i])) == (max((x for x, _ in good), default=-1), min(200, max((y for _, y in good), default=-1)))
@@ -290,8 +307,13 @@ def test_reaches_brute_force(n):
 def test_deep_shallow_sorts():
     rng = random.Random(0)
     base = bytes(rng.choice(b"ab") for _ in range(150))
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(300))) for _ in range(300)] + [base + bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(200)]
-    assert [strings[i] for i in suffixdedup.deep_shallow(strings)] == sorted(strings)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(300))) for _ in range(300)] + [base + bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(9))) for _ in range(200)]
+    strings += [b"", b"\0", b"a", b"a\0", b"a\0\0", b"a\0b"]
+    for bucket in (np.zeros(len(strings), int), np.arange(len(strings)) % 3):
+        order, lcp = suffixdedup.ranked(bucket, strings)
+        assert [(bucket[i], strings[i]) for i in order] == sorted(zip(bucket.tolist(), strings))
+        want = [-1] + [suffixdedup.common(strings[a], strings[b]) if bucket[a] == bucket[b] else -1 for a, b in zip(order, order[1:])]
+        assert lcp.tolist() == want
 
 
 def test_long_texts_have_the_anchors_of_short_pieces(monkeypatch):
