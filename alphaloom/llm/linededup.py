@@ -6,8 +6,9 @@ lines that occurs more than once in the corpus is kept at its first place (small
 removed everywhere else. Equal chunk hashes only propose; chunks are grouped by their bytes before anything is removed.
 
 Defined results: null text stays null with no lines; an empty text is one empty line; rows that repeat an id and text are
-judged as one document (all keep or all lose the same lines); an empty table gives no rows. Texts are shuffled only for
-chunks whose hash repeats and once to rebuild; grouping has map-side partial sums, so a hot chunk is one row per task.
+judged as one document (all keep or all lose the same lines); an empty table gives no rows. Texts are hashed once, and
+shuffled only where the table of places is beyond the broadcast bound; a hot chunk is grouped with map-side partial minima
+and joined as two scans, so Spark can split it.
 
 A chunk boundary hangs on the lines before it, and one-line chunks are kept, so ``line_dedup`` (whose rule the SQL of op8
 fixes) leaves the rims of a repeated run, and short runs. ``run_dedup`` removes runs whole: every two neighbouring lines that
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import forget, table, text_key, written
+from alphaloom.llm.common import bounded, forget, table, text_key, written
 
 DIVISOR, MIN_LINES, BROADCAST_CHUNKS = 4, 2, 400_000
 
@@ -43,51 +44,58 @@ def _cut(docs: DataFrame, divisor: int) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
-    """(doc_id, h, start, n, ck, lines): the multi-line chunks; ``ck`` is a 64-bit proposal key."""
+    """(doc_id, h, start, n, ck): the multi-line chunks; ``ck`` is a 64-bit proposal key."""
     d = _cut(docs, divisor)
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines")))
     spans = F.filter(F.zip_with("starts", ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("n"))), lambda x: x["n"] >= min_lines)
-    d = d.select("doc_id", "h", "lines", "hashes", F.explode(spans).alias("c"))
-    return d.select("doc_id", "h", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(F.slice("hashes", F.col("c.start") + 1, F.col("c.n"))).alias("ck"), "lines")
+    d = d.select("doc_id", "h", "hashes", F.explode(spans).alias("c"))
+    return d.select("doc_id", "h", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(F.slice("hashes", F.col("c.start") + 1, F.col("c.n"))).alias("ck"))
+
+
+def _repeats(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, h, start, n, first) of the ``places`` (doc_id, h, start, n, ck) whose lines stand at several places, with the
+    first of these, and the scratch tables behind it. Lines are read once more, for places whose key repeats, and compared by bytes."""
+    place, spot = F.struct("doc_id", "h", "start"), F.xxhash64("doc_id", "h", "start")
+    places = written(places, "lines-places")
+    twice = places.groupBy("ck").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter(F.col("lo") != F.col("hi"))
+    twice = written(twice.select("ck"), "lines-keys")
+    asked = written(places.join(bounded(twice, BROADCAST_CHUNKS), "ck"), "lines-asked")
+    per_doc = asked.groupBy(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h")).agg(F.collect_set(F.struct("start", "n", "ck")).alias("asked"))
+    per_doc = written(per_doc, "lines-asked-of")
+    near = F.broadcast if asked.count() <= BROADCAST_CHUNKS else (lambda df: df)
+    again = docs.select("doc_id", text_key().alias("h"), "text").join(near(per_doc), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")))
+    body = lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["ck"].alias("ck"), F.array_join(F.slice("lines", x["start"] + 1, x["n"]), "\n").alias("body"))
+    again = again.withColumn("lines", F.split("text", "\n")).select("doc_id", "h", F.explode(F.transform("asked", body)).alias("p")).select("doc_id", "h", "p.*")
+    again = written(again, "lines-bodies")
+    # tables of their own, so that the join is one of two scans, whose hot keys Spark can split
+    first = written(again.groupBy("ck", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "lines-first")
+    forget(places, twice, asked, per_doc)
+    return again.join(first, ["ck", "body"]).select("doc_id", "h", "start", "n", "first"), [again, first]
 
 
 def repeated(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, h, start, n) of every chunk to remove, and the scratch tables behind it."""
-    place = F.struct("doc_id", "h", "start")
-    twice = _chunks(docs, divisor, min_lines).groupBy("ck").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    twice = written(twice.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select("ck"), "lines-keys")
-    near = F.broadcast if twice.count() <= BROADCAST_CHUNKS else (lambda df: df)
-    again = _chunks(docs, divisor, min_lines).join(near(twice), "ck")
-    again = again.select("doc_id", "h", "start", "n", "ck", F.array_join(F.slice("lines", F.col("start") + 1, F.col("n")), "\n").alias("body"))
-    again = written(again, "lines-chunks")
-    first = again.groupBy("ck", "body").agg(F.min(place).alias("first"))
-    gone = again.join(first, ["ck", "body"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "h", "start", "n").distinct()
-    return gone, [twice, again]
+    found, scratch = _repeats(docs, _chunks(docs, divisor, min_lines))
+    return found.filter(~F.struct("doc_id", "h", "start").eqNullSafe(F.col("first"))).select("doc_id", "h", "start", "n").distinct(), scratch
 
 
 def _pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, start, ck, lines): every two neighbouring lines; ``ck`` is a 64-bit proposal key."""
+    """(doc_id, h, start, n, ck): every two neighbouring lines; ``ck`` is a 64-bit proposal key."""
     d = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key().alias("h"), F.split("text", "\n").alias("lines")).filter(F.size("lines") > 1)
     keys = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.xxhash64(F.get("lines", i - 1), F.get("lines", i)))
-    return d.select("doc_id", "h", "lines", F.posexplode(keys).alias("start", "ck"))
+    return d.select("doc_id", "h", F.posexplode(keys).alias("start", "ck")).select("doc_id", "h", "start", F.lit(2).alias("n"), "ck")
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, h, start, n) of every run to remove, and the scratch tables behind it."""
-    place, spot = F.struct("doc_id", "h", "start"), F.xxhash64("doc_id", "h", "start")
-    twice = _pairs(docs).groupBy("ck").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
-    twice = written(twice.filter(F.col("lo") != F.col("hi")).select("ck"), "lines-keys")
-    near = F.broadcast if twice.count() <= BROADCAST_CHUNKS else (lambda df: df)
-    again = _pairs(docs).join(near(twice), "ck")
-    again = written(again.select("doc_id", "h", "start", "ck", F.array_join(F.slice("lines", F.col("start") + 1, 2), "\n").alias("body")), "lines-pairs")
-    first = again.groupBy("ck", "body").agg(F.min(place).alias("first"))
+    found, scratch = _repeats(docs, _pairs(docs))
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    gone = again.join(first, ["ck", "body"]).filter(~here | (F.col("start") > F.col("first.start") + 1)).groupBy("doc_id", "h").agg(F.collect_set("start").alias("s"))
+    gone = found.filter(~here | (F.col("start") > F.col("first.start") + 1)).groupBy("doc_id", "h").agg(F.collect_set("start").alias("s"))
     lines = F.array_sort(F.array_union("s", F.transform("s", lambda x: x + 1)))
     # lines of one run have one difference to their number in the list
     runs = F.transform(lines, lambda x, i: F.struct(x.alias("at"), (x - i).alias("run")))
     runs = gone.select("doc_id", "h", F.explode(runs).alias("r")).groupBy("doc_id", "h", "r.run").agg(F.min("r.at").alias("start"), F.count("*").cast("int").alias("n"))
-    return runs.select("doc_id", "h", "start", "n"), [twice, again]
+    return runs.select("doc_id", "h", "start", "n"), scratch
 
 
 def run_dedup(docs: DataFrame) -> DataFrame:
@@ -103,11 +111,12 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
 def _without(docs: DataFrame, gone: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     gone = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone")), "lines-gone")
     forget(*scratch)
+    near = F.broadcast if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_CHUNKS else (lambda df: df)
     # names that no column of ``docs`` has
     free = lambda name: name if name not in docs.columns else free(f"_{name}")
     g_id, g_h, g, h = (free(f"_line_{x}") for x in ("id", "hash", "gone", "key"))
     gone = gone.select(F.col("doc_id").alias(g_id), F.col("h").alias(g_h), F.col("gone").alias(g))
-    out = docs.withColumn(h, text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(h) == F.col(g_h)), "left")
+    out = docs.withColumn(h, text_key()).join(near(gone), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(h) == F.col(g_h)), "left")
     lines = F.split("text", "\n")
     drop = F.flatten(F.transform(g, lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
