@@ -12,7 +12,8 @@ treated as the set of its 4-word shingles:
 
 Defined results: null and empty texts have no words and are clean; null or wordless items have no windows; rows that
 repeat an id and text get the same result each; extra columns are ignored. The benchmark is broadcast only below
-``BROADCAST_TOKENS`` distinct shingles; beyond it the same joins shuffle.
+``BROADCAST_TOKENS`` distinct shingles, ``BROADCAST_WINDOWS`` windows and ``BROADCAST_BYTES`` bytes of these; beyond, the same
+joins shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.common import ascii_lower, forget, table, text_key, written
 
-WINDOW, SHINGLE, BROADCAST_TOKENS = 13, 4, 1_000_000
+WINDOW, SHINGLE, BROADCAST_TOKENS, BROADCAST_WINDOWS, BROADCAST_BYTES = 13, 4, 1_000_000, 200_000, 32 << 20
 #: ASCII characters that end a word, before and after lower-casing A-Z.
 _CUT_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -66,8 +67,7 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, list[DataF
     )
     tokens = written(tokens, "decontam-tokens")
     sizes = sorted(r["q"] for r in tokens.select("q").distinct().collect())  # SHINGLE values at most
-    small = tokens.select("token").distinct().count() <= BROADCAST_TOKENS
-    near = F.broadcast if small else (lambda df: df)
+    near = F.broadcast if tokens.select("token").distinct().count() <= BROADCAST_TOKENS else (lambda df: df)
 
     words = docs.select("doc_id", text_key().alias("h"), _word_hashes(_raw_words(F.col("text"))).alias("hashes"))
     words = words.withColumn("n", F.size("hashes"))
@@ -83,8 +83,10 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, list[DataF
     rarity = found.groupBy("token").agg(F.count("*").alias("times"))
     ranked = tokens.join(rarity, "token", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     prefix = ranked.groupBy("win", "len").agg(F.min(F.struct("times", "off", "token")).alias("p")).filter("p.times > 0")
-    prefix = prefix.select("win", "len", "p.off", "p.token")
-    places = found.join(near(prefix), "token").withColumn("start", F.col("pos") - F.col("off"))
+    prefix = written(prefix.select("win", "len", "p.off", "p.token"), "decontam-prefixes")
+    count, size = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("win")), F.lit(0))).first()
+    small = count <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES
+    places = found.join(F.broadcast(prefix) if small else prefix, "token").withColumn("start", F.col("pos") - F.col("off"))
     places = places.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
     per_doc = places.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "len", "win")).alias("places"))
 
@@ -93,7 +95,7 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> tuple[DataFrame, list[DataF
     d = d.select("doc_id", "h", _words(F.col("text")).alias("words"), "places")
     d = d.select("doc_id", "h", "words", F.explode("places").alias("p")).select("doc_id", "h", "words", "p.*")
     exact = d.filter(F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " ") == F.col("win"))
-    return exact.select("doc_id", "h", "start", "len", "win").distinct(), [tokens, found]
+    return exact.select("doc_id", "h", "start", "len", "win").distinct(), [tokens, found, prefix]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
