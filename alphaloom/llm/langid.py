@@ -1,10 +1,12 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-Texts are read as UTF-8 in windows of 64 bytes (the last one padded), so every byte of every text gets a label. In each
+Texts are read as UTF-8 in windows of ``CORE`` bytes, so every byte of every text gets a label; each direction starts
+``MARGIN`` bytes outside the window, so the states at a window's rim know what lies beyond it. In each
 direction a gated recurrent cell reads the window; its update gate and candidate come from a table row per byte plus a
 recurrent matrix. A softmax over both states labels each position; a document's probabilities are the mean over its
 positions. The network is trained in numpy by backpropagation through time (Adam) on a bounded sample of labelled rows:
-``SAMPLE_DOCS`` documents with the smallest id hashes, ``SAMPLE_CHARS`` characters of each; prediction reads all of it.
+``SAMPLE_DOCS`` documents with the smallest id hashes, and of each the windows, or ``SAMPLE_WINDOWS`` of them at even distances
+over the whole text if there are more; prediction reads all of every text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no labelled rows there is no model
 and every text is ``und``; repeated rows get equal results; an empty table gives no rows. A language that the sample
@@ -13,18 +15,18 @@ does not hold is never predicted.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alphaloom.llm.common import table, text_buffer
 
-LENGTH, HIDDEN, SAMPLE_DOCS, SAMPLE_CHARS, STEPS, BATCH = 64, 8, 1200, 8000, 260, 256
-LETTER = re.compile(r"[^\W\d_]")
+CORE, MARGIN, HIDDEN, SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, BATCH = 96, 16, 8, 1200, 64, 260, 160
+LENGTH = CORE + 2 * MARGIN
 
 
 class ByteGRU:
@@ -112,35 +114,34 @@ class ByteGRU:
                 self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def pooled(self, data: np.ndarray, offs: np.ndarray, block: int = 2048) -> np.ndarray:
+    def pooled(self, data: np.ndarray, offs: np.ndarray, block: int = 1536) -> np.ndarray:
         """Mean probabilities (documents, labels) of the documents data[offs[i]:offs[i+1]]; zeros for empty ones."""
-        starts, doc, length = windows(offs)
+        at, doc = windows(offs)
         total = np.zeros((len(offs) - 1, len(self.labels)))
-        for at in range(0, len(starts), block):
-            s, n = starts[at : at + block], length[at : at + block]
-            x = gathered(data, s, n)
-            p = self.probabilities(x)
-            if (n < LENGTH).any():
-                p *= (np.arange(LENGTH)[:, None] < n)[:, None, :]
-            np.add.at(total, doc[at : at + block], p.sum(axis=0).T)
+        for lo in range(0, len(at), block):
+            x, inside = gathered(data, offs, at[lo : lo + block], doc[lo : lo + block])
+            p = self.probabilities(x)[MARGIN : MARGIN + CORE]
+            if not inside.all():
+                p *= inside[:, None, :]
+            np.add.at(total, doc[lo : lo + block], p.sum(axis=0).T)
         return total / np.maximum(1, np.diff(offs))[:, None]
 
 
-def windows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, document and length of every window."""
+def windows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and document of every window."""
     sizes = np.diff(offs)
-    per = -(-sizes // LENGTH)
+    per = -(-sizes // CORE)
     doc = np.repeat(np.arange(len(sizes)), per)
     number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    starts = offs[:-1][doc] + LENGTH * number
-    return starts, doc, np.minimum(LENGTH, offs[1:][doc] - starts)
+    return offs[:-1][doc] + CORE * number, doc
 
 
-def gathered(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Bytes (positions, windows), 0 beyond a window's length."""
-    step = np.arange(LENGTH)[:, None]
-    x = data[np.minimum(starts + step, max(len(data) - 1, 0))]
-    return np.where(step < length, x, np.uint8(0))
+def gathered(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (LENGTH, windows) with both margins, 0 outside the document; and which of the CORE positions lie inside."""
+    at = starts + np.arange(-MARGIN, CORE + MARGIN)[:, None]
+    inside = (at >= offs[:-1][doc]) & (at < offs[1:][doc])
+    x = data[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else np.zeros(at.shape, np.uint8)
+    return np.where(inside, x, np.uint8(0)), inside[MARGIN : MARGIN + CORE]
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -157,15 +158,30 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteGRU | None:
     # ids first, so that no task sends the driver more than ids; then the texts of at most ``sample_docs`` ids
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = learnable(docs).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("o"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-    rows = [r for r in rows.orderBy("o", "lang", "text").limit(sample_docs).collect() if r["text"]]
+    rows = learnable(docs).join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("o"), F.col("text").cast("string").alias("text"), "lang")
+    kinds = "o long, lang string, size int, windows array<binary>"
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each text, with margins, at most ``SAMPLE_WINDOWS`` of it."""
+        for b in batches:
+            data, offs = text_buffer(b.column("text"))
+            at, doc = windows(offs)
+            taken = []
+            for i in range(len(offs) - 1):
+                mine = np.flatnonzero(doc == i)
+                mine = mine[np.unique(np.linspace(0, len(mine) - 1, min(len(mine), SAMPLE_WINDOWS)).astype(int))] if len(mine) else mine
+                x, inside = gathered(data, offs, at[mine], doc[mine])
+                taken.append([bytes(x[:, j]) + bytes([int(inside[:, j].sum())]) for j in range(len(mine))])
+            yield pa.RecordBatch.from_arrays([b.column("o"), b.column("lang"), pa.array(np.diff(offs), pa.int32()), pa.array(taken, pa.list_(pa.binary()))], names=["o", "lang", "size", "windows"])
+
+    rows = [r for r in rows.mapInArrow(sample, kinds).orderBy("o", "lang", "size", "windows").limit(sample_docs).collect() if r["windows"]]
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
-    data, offs = text_buffer(pa.array([r["text"] for r in rows]))
-    starts, doc, length = windows(offs)
-    y = np.array([labels.index(r["lang"]) for r in rows])[doc]
-    return ByteGRU(labels).fit(gathered(data, starts, length), y, np.arange(LENGTH)[:, None] < length)
+    x = np.frombuffer(b"".join(w for r in rows for w in r["windows"]), np.uint8).reshape(-1, LENGTH + 1).T
+    y = np.repeat([labels.index(r["lang"]) for r in rows], [len(r["windows"]) for r in rows])
+    core = np.arange(LENGTH)[:, None] - MARGIN
+    return ByteGRU(labels).fit(np.ascontiguousarray(x[:LENGTH]), y, (core >= 0) & (core < x[LENGTH]))
 
 
 def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
@@ -177,7 +193,7 @@ def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = text_buffer(b.column("text"))
-            letters = np.array([bool(t and LETTER.search(t)) for t in b.column("text").to_pylist()], bool)
+            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in b.column("text").to_pylist()], bool)
             names, score = np.full(len(letters), "und", object), np.zeros(len(letters))
             if model is not None and letters.any():
                 p = model.pooled(data, offs)
@@ -186,8 +202,6 @@ def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
                 score = np.where(letters, p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=[*b.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(predict, T.StructType([*schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 

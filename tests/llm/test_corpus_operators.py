@@ -88,9 +88,21 @@ def test_held_out_languages(spark, tiny):
     assert len(ho) > 20 and (ho.lang == ho.lang_pred).mean() >= 0.9 and out.score.between(0, 1).all()
 
 
-def test_windows_cover_every_byte_once():
-    starts, doc, length = langid.windows(np.array([0, 0, 5, 200, 264]))
-    assert length.sum() == 264 and doc.tolist() == [1] + [2] * 4 + [3] and (np.diff(starts) > 0).all()
+def test_windows_cover_every_byte_once_and_see_their_margins():
+    offs = np.array([0, 0, 5, 200, 500])
+    data = (np.arange(500) % 250 + 1).astype(np.uint8)
+    at, doc = langid.windows(offs)
+    x, inside = langid.gathered(data, offs, at, doc)
+    core = x[langid.MARGIN : langid.MARGIN + langid.CORE]
+    assert np.array_equal(core.T[inside.T], data) and inside.sum() == 500
+    assert (x[: langid.MARGIN, 2] == data[at[2] - langid.MARGIN : at[2]]).all() and (x[: langid.MARGIN, 1] == 0).all()
+
+
+def test_only_letters_make_a_text(spark):
+    texts = ["½ ² Ⅷ ①", "1234 !?", "a", "日", "ª"]
+    net = langid.ByteGRU(["x", "y"])
+    got = [r["lang_pred"] for r in langid.identify(docs(spark, texts).select("doc_id", "text"), net).orderBy("doc_id").collect()]
+    assert [g == "und" for g in got] == [True, True, False, False, False]
 
 
 # --- HTML ------------------------------------------------------------------------------------------------------------
@@ -126,6 +138,7 @@ def test_pages_of_the_table(spark, tiny):
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_decontamination_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_TOKENS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     rng = random.Random(5)
     items = [(i, letters(rng, n)) for i, n in enumerate((30, 13, 12, 5, 2, 1, 0, 20))] + [(99, "É tÉ İX"), (100, None)]
     texts = [letters(rng, 60) for _ in range(30)] + [letters(rng, 9) + " " + items[0][1].upper() + "! " + letters(rng, 400), items[1][1] * 2, "é té ix", "É-TÉ.İx", None, "", items[7][1].replace(" ", ", ")]
