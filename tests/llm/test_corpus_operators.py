@@ -117,6 +117,36 @@ def test_article_without_its_surroundings(spark):
     assert got[1] == "Head&line\nOne two three\nfour <five>" and got[2] == "" == got[3] and got[5] == "a b"
 
 
+LONG = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<nav><a href=/>Home</a><a>News</a></nav><article><h1>Title here</h1><p>{L}</p><p class='advert'>Buy our new shoes now for less</p><p>{L}</p><p>Short one.</p></article>", "Title here\n{L}\n{L}\nShort one."),
+    ("<main><h1>Title</h1><p>{L}</p><p>{L}</p><p>{L}</p><article class='comment'><p>I liked this text a lot thanks</p></article><div role=article class=comment><p>Me too it was good to read</p></div></main>", "Title\n{L}\n{L}\n{L}"),
+    ("<div class='menu'><a>Home</a> <a>About</a></div><div class='layout has-sidebar'><h1>Big title</h1><p>{L}</p><p>{L}</p><p>End.</p></div><div class='footer'>Copyright us 2020</div>", "Big title\n{L}\n{L}\nEnd."),
+    ("<div class='post content share-count'><h1>Big title</h1><p>{L}</p><p>{L}</p><p>End.</p></div>", "Big title\n{L}\n{L}\nEnd."),
+    ("<article><h1>T</h1><p>{L}</p><p style='display:none'>Secret words here</p><div aria-hidden=true>Also hidden</div><p>{L}</p></article>", "T\n{L}\n{L}"),
+    ("<article><h1>T</h1><p>{L}</p><p><a href=1>one <a href=2>two</p><p>{L}</p><p>{L}</p></article>", "T\n{L}\none two\n{L}\n{L}"),
+    ("<div><a>Home News Sport Weather Shop Mail Help</a></div><div><h1>Real title</h1><p>{L}</p><p>{L}</p></div>", "Real title\n{L}\n{L}"),
+    ("<table><tr><td><a>Home</a></td><td><a>News</a></td></tr><tr><td><div><h2>Head</h2><p>{L}</p><p>{L}</p></div></td></tr><tr><td>Copyright 2020 all rights</td></tr></table>", "Head\n{L}\n{L}"),
+    ("<div id=top>Site name and slogan</div><div><div>Main story headline</div><div>{L}</div><div>{L}</div><div>Two words</div></div><div>Contact us by mail</div>", "Main story headline\n{L}\n{L}\nTwo words"),
+    ("<header><h1>Site</h1></header><div><section><h2>A</h2><p>{L}</p></section><section><h2>B</h2><p>{L}</p><p>{L}</p></section></div><footer>bye</footer>", "A\n{L}\nB\n{L}\n{L}"),
+    ("<p>Five words are right here</p><p>Two words</p>", "Five words are right here\nTwo words"),
+    ("<article><header><h1>Head line</h1><p>By someone today</p></header><p>{L}</p><p>{L}</p></article>", "Head line\nBy someone today\n{L}\n{L}"),
+    ("<article><h1>T</h1><p>{L}</p><p>{L}</p></article><div id=comments><p>{L}</p><p>I liked this text</p></div>", "T\n{L}\n{L}"),
+    ("<article><h1>T</h1><p>{L}</p><form><p>Sign up for our letter</p><input></form><p>{L}</p><div class='related'><h3>More</h3><ul><li><a>one more text</a></li></ul></div></article>", "T\n{L}\n{L}"),
+])
+def test_templates_without_marks_or_with_misleading_ones(page, want):
+    assert html.main_text("<html><body>" + page.format(L=LONG) + "</body></html>") == want.format(L=LONG)
+
+
+def test_very_long_pages_and_odd_columns(spark):
+    page = "<article>" + "".join(f"<p>{LONG} {i}</p>" for i in range(3000)) + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, "x", 5), (1, "u", page, "x", 5)], "page_id long, url string, html string, text string, n_chars int")
+    out = html.extract(rows).collect()
+    assert len(out) == 2 and out[0] == out[1] and out[0]["n_chars"] == len(out[0]["text"]) and out[0]["text"].count("\n") == 2999
+
+
 def test_tree_fits_its_table():
     rows = np.array([line.split() for line in html.LABELLED.strip().splitlines()], float)
     assert (html.classify(html.trained(), rows[:, :-1]) == rows[:, -1]).all()
