@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import ratio
+from alphaloom.operators.align import asof_backward
 from alphaloom.operators.ranking import top_n
 
 YEAR = 252
@@ -72,21 +73,32 @@ def long_short(signals: DataFrame, prices: DataFrame, top: int = 5, rebalance: s
     both = F.col("rebalance") & (F.col("valid") >= 2 * top)
     days = days.withColumns({"long_from": F.max(F.when(F.col("rebalance"), F.col("date"))).over(w), "short_from": F.max(F.when(both, F.col("date"))).over(w)})
     chosen = s.join(days.filter("rebalance").select(*keys, "date"), [*keys, "date"], "left_semi")
-    longs = top_n(chosen, top, "score", *keys, "date")
-    # the lowest names, ties taken from the end of the same order so that no name is on both sides
-    down = Window.partitionBy(*keys, "date").orderBy(F.col("score").asc(), F.col("ticker").desc())
-    shorts = chosen.withColumn("pos", F.row_number().over(down)).filter(F.col("pos") <= top)
-    long = _leg(days, longs, returns, "long_from", *keys)
-    short = _leg(days, shorts, returns, "short_from", *keys)
+    # ties at the low end are taken from the end of the same order, so that no name is on both sides
+    at = Window.partitionBy(*keys, "date")
+    high, low = F.row_number().over(at.orderBy(F.col("score").desc(), "ticker")), F.row_number().over(at.orderBy(F.col("score").asc(), F.col("ticker").desc()))
+    sides = F.array(*(F.struct(F.lit(name).alias("side"), (F.col(pos) <= top).alias("in")) for name, pos in (("long", "_high"), ("short", "_low"))))
+    picks = chosen.withColumns({"_high": high, "_low": low}).select(*keys, F.col("date").alias("_at"), "ticker", F.explode(F.filter(sides, lambda x: x["in"])).alias("p"))
+    picks = picks.select(*keys, "_at", "ticker", F.col("p.side").alias("side"))
+    # holdings of both sides at once, one join to the returns, one aggregate for all legs
+    force = F.explode(F.array(*(F.struct(F.lit(name).alias("side"), F.col(f"{name}_from").alias("_at")) for name in ("long", "short"))))
+    held = days.select(*keys, "date", force.alias("f")).select(*keys, "date", "f.side", "f._at").join(picks, [*keys, "side", "_at"])
+    mean = lambda name: F.avg(F.when(F.col("side") == name, F.col("ret"))).alias(f"_{name}")
+    both = held.join(returns.select(*keys, "date", "ticker", "ret"), [*keys, "date", "ticker"]).groupBy(*keys, "date").agg(mean("long"), mean("short"))
+    d = days.select(*keys, "date").join(both, [*keys, "date"], "left").na.fill(0.0, ["_long", "_short"])
+    size = F.lit(1.0)
     if scale is not None:
-        from alphaloom.operators.align import asof_backward
-
-        short = asof_backward(short.withColumn("_k", F.lit(0)), scale.withColumn("_k", F.lit(0)), "_k", "date", "date", ["multiplier"], skip_null=False).drop("_k")
-        short = short.withColumn("ret", F.col("ret") * F.coalesce("multiplier", F.lit(0.0)))
-    short = short.select(*keys, "date", (F.lit(0.0) - F.col("ret")).alias("ret"))
-    total = long.unionByName(short).groupBy(*keys, "date").agg(F.sum("ret").alias("ret"))
-    leg = lambda df, name: df.select(*keys, "date", F.lit(name).alias("leg"), "ret")
-    return leg(long, "long").unionAll(leg(short, "short")).unionAll(leg(total, "ls"))
+        d = d.join(F.broadcast(carried(scale, days.select("date"), "multiplier")), "date", "left")  # a row for each date
+        size = F.coalesce("multiplier", F.lit(0.0))
+    d = d.withColumn("_short", F.lit(0.0) - F.col("_short") * size)
+    legs = F.array(*(F.struct(F.lit(name).alias("leg"), value.alias("ret")) for name, value in (("long", F.col("_long")), ("short", F.col("_short")), ("ls", F.col("_long") + F.col("_short")))))
+    return d.select(*keys, "date", F.explode(legs).alias("l")).select(*keys, "date", "l.leg", "l.ret")
+
+
+def carried(series: DataFrame, dates: DataFrame, value: str) -> DataFrame:
+    """(date, value) on the distinct ``dates``: the last row of a date series at or before each. One row for each day, whatever
+    the number of keys."""
+    one = lambda df: df.withColumn("_k", F.lit(0))
+    return asof_backward(one(dates.distinct()), one(series.select("date", value)), "_k", "date", "date", [value], skip_null=False).drop("_k")
 
 
 def equity(daily: DataFrame, *keys: str) -> DataFrame:

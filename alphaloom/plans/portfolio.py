@@ -8,6 +8,7 @@ from alphaloom.functions.expr import change
 from alphaloom.operators import backtest, factors, ranking, regime
 from alphaloom.plans import panel
 from alphaloom.queries import query
+from alphaloom.session import staged
 from alphaloom.sources import tables
 from alphaloom.sql import sql
 
@@ -21,12 +22,16 @@ def flagship(spark, sf_dir):
 
 def legs(spark, sf_dir):
     scale = regime.multiplier(tables.index_prices(spark, sf_dir))
-    return backtest.long_short(panel.scores(spark, sf_dir).persist(), tables.bars(spark, sf_dir), 5, "monthly", scale)
+    return backtest.long_short(staged(panel.scores(spark, sf_dir), "scores"), staged(closes(spark, sf_dir), "closes"), 5, "monthly", scale)
+
+
+def closes(spark, sf_dir):
+    return tables.bars(spark, sf_dir).select("date", "ticker", "close")
 
 
 @query("b01_long_only", sql("date ~ret", "FROM oleg"))
 def b01(spark, sf_dir):
-    return backtest.long_only(panel.scores(spark, sf_dir), tables.bars(spark, sf_dir), 5)
+    return backtest.long_only(staged(panel.scores(spark, sf_dir), "scores"), staged(closes(spark, sf_dir), "closes"), 5)
 
 
 @query("b02_long_short", sql("date leg ~ret", "FROM legs"))
@@ -49,8 +54,9 @@ def a07(spark, sf_dir):
 
 @query("a03_leg_beta", sql("leg ~beta", "FROM (SELECT leg, CASE WHEN count(*) > 2 THEN covar_samp(l.ret, mkt) / nullif(var_samp(mkt), 0) END AS beta FROM legs l JOIN (SELECT date, avg(ret) AS mkt FROM rets GROUP BY 1) m USING (date) WHERE mkt IS NOT NULL GROUP BY 1)"))
 def a03(spark, sf_dir):
-    returns = backtest.common_returns(panel.scores(spark, sf_dir), tables.bars(spark, sf_dir))
-    return backtest.beta(legs(spark, sf_dir), returns, "leg")
+    signals, prices = staged(panel.scores(spark, sf_dir), "scores"), staged(closes(spark, sf_dir), "closes")
+    daily = backtest.long_short(signals, prices, 5, "monthly", regime.multiplier(tables.index_prices(spark, sf_dir)))
+    return backtest.beta(daily, backtest.common_returns(signals, prices), "leg")
 
 
 @query("w19_rebalance_days", sql("date #valid rebalance", "FROM (SELECT date, valid, reb AS rebalance FROM breb)"))

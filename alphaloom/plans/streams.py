@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from alphaloom.queries import query
+from alphaloom.session import scratch_root
 from alphaloom.sql import sql
 from alphaloom.streaming import bars
 
@@ -16,14 +16,15 @@ def _replayed(spark, sf_dir, transform, mode="append"):
     """Run ``transform`` over the stream of events until all input is read; returns the table that it wrote."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="alphaloom-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
     out = transform(events)
     out.writeStream.format("parquet").outputMode(mode).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
-@query("x01_ring_features")
+@query("x01_ring_features", sql('key "at" n ~momentum ~volatility', """FROM (SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS "at", CAST(5 AS INT) AS n, arg_max(value, ts) - arg_min(value, ts) AS momentum, stddev_samp(step) AS volatility FROM
+ (SELECT *, CASE WHEN back < 5 THEN value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) END AS step FROM (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS back FROM
+ (SELECT user_id, ts, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2))) WHERE back <= 5 GROUP BY 1 HAVING count(*) = 5)"""))
 def x01(spark, sf_dir):
     return _replayed(spark, sf_dir, lambda e: bars.ring_features(e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), "value"), 5))
 

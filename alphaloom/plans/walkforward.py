@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from alphaloom.operators import align, backtest, factors, ic, regime
 from alphaloom.plans import panel
 from alphaloom.queries import query
+from alphaloom.session import staged, written_out
 from alphaloom.sources import tables
-from alphaloom.sql import FACTORS, FUNDAMENTAL, corr, rank, sql
+from alphaloom.sql import FACTORS, FUNDAMENTAL, sql
 
 ALL = FACTORS + FUNDAMENTAL
 LEAST_TRAIN_DAYS, LEAST_TEST_DAYS = 30, 10
@@ -35,35 +36,47 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds(spark, date(a.year, 1, 1), b)
 
 
-def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selection(spark: SparkSession, sf_dir: str, z: DataFrame | None = None) -> DataFrame:
     """(fold, factor, weight, ...): factors chosen on each fold's training interval; forward prices may lie after it."""
-    z = align.in_folds(panel.z_panel(spark, sf_dir), calendar(spark, sf_dir)).filter("sample = 'train'")
+    z = align.in_folds(panel.z_panel(spark, sf_dir) if z is None else z, calendar(spark, sf_dir)).filter("sample = 'train'")
     fwd = ic.forward_returns(tables.bars(spark, sf_dir), [21]).select("date", "ticker", F.col("ret_21d").alias("fwd"))
     return ic.select_factors(ic.ic_summary(ic.rank_ic(factors.long_form(z, ALL, "fold"), fwd, "fold"), "fold"))
 
 
-def signals(spark: SparkSession, sf_dir: str, by_regime: bool = False) -> DataFrame:
-    """(fold, sample, date, ticker, score) with each fold's own weights; folds with too few days or no factor drop out."""
-    z = align.in_folds(panel.z_panel(spark, sf_dir), calendar(spark, sf_dir)).persist()
+def signals(spark: SparkSession, sf_dir: str, *variants: str) -> DataFrame:
+    """(variant, fold, sample, date, ticker, score) with each fold's own weights; folds with too few days or no factor drop out.
+
+    ``variants``: plain (the selected factors' signs) and regime (regime weights of the selected factors).
+    """
+    panel_ = staged(panel.z_panel(spark, sf_dir), "walk-panel")
+    z = align.in_folds(panel_, calendar(spark, sf_dir))
     days = z.groupBy("fold", "sample").agg(F.count_distinct("date").alias("d"))
     enough = days.groupBy("fold").agg(F.max(F.when(F.col("sample") == "train", F.col("d"))).alias("a"), F.max(F.when(F.col("sample") == "test", F.col("d"))).alias("b"))
     enough = enough.filter((F.col("a") >= LEAST_TRAIN_DAYS) & (F.col("b") >= LEAST_TEST_DAYS)).select("fold")
-    chosen = selection(spark, sf_dir).filter("weight <> 0").select("fold", "factor", "weight").join(enough, "fold", "left_semi")
+    chosen = staged(selection(spark, sf_dir, panel_).filter("weight <> 0").select("fold", "factor", "weight").join(enough, "fold", "left_semi"), "walk-weights")
     long = factors.long_form(z, ALL, "fold", "sample")
-    if by_regime:
-        keyed = chosen.withColumn("sample", F.explode(F.array(F.lit("train"), F.lit("test"))))
-        s = regime.regime_composite(long, regime.bear_scores(tables.index_prices(spark, sf_dir)), keyed, "fold", "sample")
-    else:
-        j = long.join(F.broadcast(chosen), ["fold", "factor"])  # folds x factors rows
-        s = j.groupBy("fold", "sample", "date", "ticker").agg(F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0))).alias("score"))
-    return s.withColumn("score", F.round("score", 9))
-
-
-def walk_forward(spark: SparkSession, sf_dir: str, top: int = 5, by_regime: bool = False, use_multiplier: bool = True) -> DataFrame:
-    """(fold, sample, date, leg, ret) of every fold's training and test run."""
+    out = None
+    for variant in variants:
+        if variant == "regime":
+            keyed = chosen.withColumn("sample", F.explode(F.array(F.lit("train"), F.lit("test"))))
+            s = regime.regime_composite(long, regime.bear_scores(tables.index_prices(spark, sf_dir)), keyed, "fold", "sample")
+        else:
+            j = long.join(F.broadcast(chosen), ["fold", "factor"])  # folds x factors rows
+            s = j.groupBy("fold", "sample", "date", "ticker").agg(F.sum(F.col("weight") * F.coalesce("value", F.lit(0.0))).alias("score"))
+        s = s.select(F.lit(variant).alias("variant"), "fold", "sample", "date", "ticker", F.round("score", 9).alias("score"))
+        out = s if out is None else out.unionAll(s)
+    return out
+
+
+def walk_forward(spark: SparkSession, sf_dir: str, *variants: str, top: int = 5, use_multiplier: bool = True) -> DataFrame:
+    """(variant, fold, sample, date, leg, ret) of every fold's training and test run; variants and folds are keys of one plan.
+
+    Panel, weights, signals and closes are staged: each is computed once, and no plan repeats the trades behind them.
+    """
     scale = regime.multiplier(tables.index_prices(spark, sf_dir)) if use_multiplier else None
-    # read several times below; a panel of dates x tickers is small next to the trades behind it
-    return backtest.long_short(signals(spark, sf_dir, by_regime).persist(), tables.bars(spark, sf_dir), top, "monthly", scale, "fold", "sample")
+    prices = staged(tables.bars(spark, sf_dir).select("date", "ticker", "close"), "walk-closes")
+    found = staged(signals(spark, sf_dir, *(variants or ("plain",))), "walk-signals")
+    return backtest.long_short(found, prices, top, "monthly", scale, "variant", "fold", "sample")
 
 
 def summary(daily: DataFrame) -> DataFrame:
@@ -81,62 +94,62 @@ def stitched(daily: DataFrame) -> DataFrame:
     return backtest.equity(d.select("leg", "date", F.when(first, 0.0).otherwise(F.col("ret")).alias("ret")), "leg")
 
 
-def compared(a: DataFrame, b: DataFrame, close: float = 0.05) -> DataFrame:
-    """(fold, a, b, delta, verdict) of the ls legs' test Sharpe ratios of two runs."""
-    of = lambda d, n: backtest.performance(d.filter("sample = 'test' AND leg = 'ls'"), "fold").select("fold", F.col("sharpe").alias(n))
-    d = of(a, "a").join(of(b, "b"), "fold").withColumn("delta", F.col("b") - F.col("a"))
+def compared(daily: DataFrame, a: str, b: str, close: float = 0.05) -> DataFrame:
+    """(fold, a, b, delta, verdict) of the ls legs' test Sharpe ratios of two variants."""
+    p = backtest.performance(daily.filter("sample = 'test' AND leg = 'ls'"), "variant", "fold")
+    of = lambda v: F.max(F.when(F.col("variant") == v, F.col("sharpe")))
+    d = p.groupBy("fold").agg(of(a).alias("a"), of(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").withColumn("delta", F.col("b") - F.col("a"))
     return d.withColumn("verdict", F.when(F.col("delta") > close, "better").when(F.col("delta") < -close, "worse").otherwise("same"))
 
 
-_SPAN = "(SELECT year(min(l_shipdate)) AS y0, CAST(max(l_shipdate) AS DATE) AS d1 FROM lineitem)"
-_FOLDS = f"""(SELECT CAST(k AS INT) AS fold, make_date(y0 + k, 1, 1) AS train_start, make_date(y0 + k + 1, 12, 31) AS train_end, make_date(y0 + k + 2, 1, 1) AS test_start, make_date(y0 + k + 2, 12, 31) AS test_end
- FROM (SELECT y0, d1, unnest(range(0, 60)) AS k FROM {_SPAN}) WHERE make_date(CAST(y0 + k + 2 AS INT), 12, 31) <= d1)""".replace("make_date(y0 + k,", "make_date(CAST(y0 + k AS INT),").replace("make_date(y0 + k + 1,", "make_date(CAST(y0 + k + 1 AS INT),").replace("make_date(y0 + k + 2,", "make_date(CAST(y0 + k + 2 AS INT),")
-_FIC = f"""(SELECT fold, factor, date, CASE WHEN count(*) >= 3 THEN {corr('rv', 'rf')} END AS ic FROM (SELECT fold, factor, date, {rank('value', 'fold, factor, date')} AS rv, {rank('fwd', 'fold, factor, date')} AS rf
- FROM longz JOIN fwd USING (date, ticker) JOIN {_FOLDS} f ON date BETWEEN train_start AND train_end WHERE value IS NOT NULL AND fwd IS NOT NULL) GROUP BY 1, 2, 3)"""
-_FSEL = f"""(SELECT fold, factor, t_stat, CASE WHEN t_stat IS NULL OR abs(t_stat) < 2 THEN 0 WHEN icir >= 0 THEN 1 ELSE -1 END AS weight FROM (SELECT fold, factor, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(ic) * sqrt(count(ic)) / nullif(stddev_samp(ic), 0) AS t_stat FROM {_FIC} GROUP BY 1, 2))"""
-
-
-@query("b03_folds", sql("fold train_start train_end test_start test_end", f"FROM {_FOLDS}"))
+@query("b03_folds", sql("fold train_start train_end test_start test_end", "FROM folds"))
 def b03(spark, sf_dir):
     return calendar(spark, sf_dir)
 
 
-@query("j06_rows_in_folds", sql("fold sample #n", f"FROM (SELECT fold, 'train' AS sample, count(*) AS n FROM zs JOIN {_FOLDS} f ON date BETWEEN train_start AND train_end GROUP BY 1 UNION ALL SELECT fold, 'test', count(*) FROM zs JOIN {_FOLDS} f ON date BETWEEN test_start AND test_end GROUP BY 1)"))
+@query("j06_rows_in_folds", sql("fold sample #n", "FROM (SELECT fold, sample, count(*) AS n FROM zs JOIN spans ON date BETWEEN a AND b GROUP BY 1, 2)"))
 def j06(spark, sf_dir):
     return align.in_folds(panel.z_panel(spark, sf_dir), calendar(spark, sf_dir)).groupBy("fold", "sample").agg(F.count("*").alias("n"))
 
 
-@query("r28_fold_selection", sql("fold factor ~t_stat weight", f"FROM {_FSEL}"))
+@query("r28_fold_selection", sql("fold factor ~t_stat weight", "FROM fsel"))
 def r28(spark, sf_dir):
     return selection(spark, sf_dir).select("fold", "factor", "t_stat", "weight")
 
 
-@query("b08_selection_matrix", sql("factor #chosen #signs", f"FROM (SELECT factor, sum(abs(weight)) AS chosen, sum(weight) AS signs FROM {_FSEL} GROUP BY 1)"))
+@query("b08_selection_matrix", sql("fold " + " ".join(ALL), "FROM (SELECT fold, " + ", ".join(f"CAST(coalesce(max(CASE WHEN factor = '{f}' THEN weight END), 0) AS INT) AS {f}" for f in ALL) + " FROM fsel GROUP BY 1)"))
 def b08(spark, sf_dir):
-    return selection(spark, sf_dir).groupBy("factor").agg(F.sum(F.abs("weight")).alias("chosen"), F.sum("weight").alias("signs"))
+    """Fold x factor: 1, -1 or 0."""
+    return selection(spark, sf_dir).groupBy("fold").pivot("factor", ALL).agg(F.max("weight")).na.fill(0)
 
 
-@query("r26_regime_weights", sql("date factor weight", "FROM (SELECT date, 'momentum_252d' AS factor, CAST(CASE WHEN bear_score < 2 THEN 1 ELSE 0 END AS INT) AS weight FROM mult)"))
+@query("r26_regime_weights", sql("date factor weight", "FROM (SELECT date, factor, CAST(w AS INT) AS weight FROM mult JOIN regw ON bs = bear_score)"))
 def r26(spark, sf_dir):
-    w = regime.regime_weights(spark).filter("factor = 'momentum_252d'")
-    return regime.bear_scores(tables.index_prices(spark, sf_dir)).join(F.broadcast(w), "bear_score").select("date", "factor", "weight")
+    return regime.bear_scores(tables.index_prices(spark, sf_dir)).join(F.broadcast(regime.regime_weights(spark)), "bear_score").select("date", "factor", "weight")
 
 
-@query("r27_regime_composite")
+@query("r27_regime_composite", sql("fold sample date ticker ~score", "FROM (SELECT * FROM fscore WHERE variant = 'regime')"))
 def r27(spark, sf_dir):
-    return signals(spark, sf_dir, by_regime=True)
+    return signals(spark, sf_dir, "regime").drop("variant")
 
 
-@query("b04_walk_forward")
+@query("b04_walk_forward", sql("fold sample leg #n ~sharpe ^annual_return ^max_drawdown", "FROM (SELECT * FROM fperf WHERE variant = 'plain')"))
 def b04(spark, sf_dir):
-    return backtest.performance(walk_forward(spark, sf_dir), "fold", "sample", "leg")
+    return written_out(backtest.performance(walk_forward(spark, sf_dir), "fold", "sample", "leg"), "annual_return", "max_drawdown")
 
 
-@query("a19_fold_summary")
+@query("a19_fold_summary", sql("leg #folds ~mean_sharpe ~positive ^mean_return ^worst_drawdown", "FROM (SELECT leg, count(*) AS folds, avg(sharpe) AS mean_sharpe, avg(CAST(sharpe > 0 AS DOUBLE)) AS positive, avg(annual_return) AS mean_return, min(max_drawdown) AS worst_drawdown FROM fperf WHERE variant = 'plain' AND sample = 'test' GROUP BY 1)"))
 def a19(spark, sf_dir):
-    return summary(walk_forward(spark, sf_dir))
+    return written_out(summary(walk_forward(spark, sf_dir)), "mean_return", "worst_drawdown")
+
+
+@query("u02_stitched_equity", sql("date leg ^equity ^drawdown", """FROM (SELECT *, (equity - peak) / nullif(peak, 0) AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY leg ORDER BY date) AS peak FROM (SELECT date, leg, product(1 + r) OVER (PARTITION BY leg ORDER BY date) AS equity FROM
+ (SELECT date, leg, CASE WHEN row_number() OVER (PARTITION BY fold, leg ORDER BY date) = 1 THEN 0 ELSE ret END AS r FROM flegs WHERE variant = 'plain' AND sample = 'test'))))"""))
+def u02(spark, sf_dir):
+    return written_out(stitched(walk_forward(spark, sf_dir)).select("date", "leg", "equity", "drawdown"), "equity", "drawdown")
 
 
-@query("b05_regime_comparison")
+@query("b05_regime_comparison", sql("fold ~a ~b ~delta verdict", """FROM (SELECT *, b - a AS delta, CASE WHEN b - a > 0.05 THEN 'better' WHEN b - a < -0.05 THEN 'worse' ELSE 'same' END AS verdict FROM
+ (SELECT fold, max(CASE WHEN variant = 'plain' THEN sharpe END) AS a, max(CASE WHEN variant = 'regime' THEN sharpe END) AS b FROM fperf WHERE sample = 'test' AND leg = 'ls' GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL)"""))
 def b05(spark, sf_dir):
-    return compared(walk_forward(spark, sf_dir), walk_forward(spark, sf_dir, by_regime=True))
+    return compared(walk_forward(spark, sf_dir, "plain", "regime"), "plain", "regime")

@@ -98,6 +98,53 @@ CTES = {
 }
 
 
+_span = lambda a, b, c: f"make_date(CAST(y0 + k + {a} AS INT), {b}, {c})"
+CTES |= {
+    "span0": "SELECT year(min(l_shipdate)) AS y0, CAST(max(l_shipdate) AS DATE) AS d1 FROM lineitem",
+    "folds": f"SELECT CAST(k AS INT) AS fold, {_span(0, 1, 1)} AS train_start, {_span(1, 12, 31)} AS train_end, {_span(2, 1, 1)} AS test_start, {_span(2, 12, 31)} AS test_end FROM (SELECT y0, d1, unnest(range(0, 60)) AS k FROM span0) WHERE {_span(2, 12, 31)} <= d1",
+    "spans": "SELECT fold, 'train' AS sample, train_start AS a, train_end AS b FROM folds UNION ALL SELECT fold, 'test', test_start, test_end FROM folds",
+    "fic": f"""SELECT fold, factor, date, CASE WHEN count(*) >= 3 THEN {corr('rv', 'rf')} END AS ic FROM (SELECT fold, factor, date, {rank('value', 'fold, factor, date')} AS rv, {rank('fwd', 'fold, factor, date')} AS rf
+        FROM longz JOIN fwd USING (date, ticker) JOIN spans ON date BETWEEN a AND b WHERE sample = 'train' AND value IS NOT NULL AND fwd IS NOT NULL) GROUP BY 1, 2, 3""",
+    "fsel": """SELECT fold, factor, t_stat, CASE WHEN t_stat IS NULL OR abs(t_stat) < 2 THEN 0 WHEN icir >= 0 THEN 1 ELSE -1 END AS weight FROM (SELECT fold, factor, avg(ic) / nullif(stddev_samp(ic), 0) AS icir,
+        avg(ic) * sqrt(count(ic)) / nullif(stddev_samp(ic), 0) AS t_stat FROM fic GROUP BY 1, 2)""",
+    "fz": "SELECT fold, sample, zs.* EXCLUDE (close) FROM zs JOIN spans ON date BETWEEN a AND b",
+    "fenough": "SELECT fold FROM (SELECT fold, sample, count(DISTINCT date) AS d FROM fz GROUP BY 1, 2) GROUP BY 1 HAVING max(CASE WHEN sample = 'train' THEN d END) >= 30 AND max(CASE WHEN sample = 'test' THEN d END) >= 10",
+    "fchosen": "SELECT fold, factor, weight FROM fsel WHERE weight <> 0 AND fold IN (SELECT fold FROM fenough)",
+    "regw": "SELECT * FROM (VALUES REGIMES) AS v(bs, factor, w)",
+    "fboth": "SELECT fold, bs, factor, w FROM fchosen JOIN regw USING (factor) WHERE w <> 0",
+    "fw": """SELECT 'plain' AS variant, fold, bs, factor, weight AS w FROM (SELECT *, unnest(range(4)) AS bs FROM fchosen) UNION ALL SELECT 'regime', fold, bs, factor, w FROM fboth
+        UNION ALL SELECT 'regime', fold, bs, factor, weight FROM (SELECT *, unnest(range(4)) AS bs FROM fchosen) WHERE (fold, bs) NOT IN (SELECT (fold, bs) FROM fboth)""",
+    "flong": "SELECT * FROM fz UNPIVOT INCLUDE NULLS (value FOR factor IN (" + ", ".join(FACTORS + FUNDAMENTAL) + "))",
+    "fscore": """SELECT variant, l.fold, sample, l.date, ticker, round(sum(w * coalesce(value, 0)), 9) AS score FROM flong l LEFT JOIN mult m ON l.date = m.date JOIN fw ON fw.fold = l.fold AND fw.factor = l.factor AND fw.bs = coalesce(bear_score, 0)
+        GROUP BY 1, 2, 3, 4, 5""",
+    "fdates": "SELECT variant, fold, sample, date, row_number() OVER (PARTITION BY variant, fold, sample ORDER BY date) AS no FROM (SELECT DISTINCT variant, fold, sample, date FROM fscore WHERE date IN (SELECT date FROM ohlcv))",
+    "frets": "SELECT variant, fold, sample, date, ticker, CASE WHEN lag(no) OVER w = no - 1 THEN close / nullif(lag(close) OVER w, 0) - 1 END AS ret FROM ohlcv JOIN fdates USING (date) WINDOW w AS (PARTITION BY variant, fold, sample, ticker ORDER BY date)",
+    "fdv": "SELECT variant, fold, sample, date, count(score) AS valid FROM fdates LEFT JOIN fscore USING (variant, fold, sample, date) GROUP BY 1, 2, 3, 4",
+    "fruns": "SELECT *, sum(nw) OVER (PARTITION BY variant, fold, sample ORDER BY date) AS run FROM (SELECT *, CASE WHEN month(date) = lag(month(date)) OVER (PARTITION BY variant, fold, sample ORDER BY date) THEN 0 ELSE 1 END AS nw FROM fdv)",
+    "freb": "SELECT *, coalesce(date = min(CASE WHEN valid >= 5 THEN date END) OVER (PARTITION BY variant, fold, sample, run), false) AS reb FROM fruns",
+    "fheld": "SELECT *, max(CASE WHEN reb THEN date END) OVER w AS lf, max(CASE WHEN reb AND valid >= 10 THEN date END) OVER w AS sf FROM freb WINDOW w AS (PARTITION BY variant, fold, sample ORDER BY date)",
+    "fpicks": """SELECT variant, fold, sample, date, ticker, row_number() OVER (PARTITION BY variant, fold, sample, date ORDER BY score DESC NULLS LAST, ticker) AS hi, row_number() OVER (PARTITION BY variant, fold, sample, date ORDER BY score, ticker DESC) AS lo
+        FROM fscore JOIN (SELECT variant, fold, sample, date FROM freb WHERE reb) USING (variant, fold, sample, date)""",
+    "flleg": "SELECT h.variant, h.fold, h.sample, h.date, coalesce(avg(ret), 0) AS ret FROM fheld h LEFT JOIN fpicks p ON (p.variant, p.fold, p.sample, p.date) = (h.variant, h.fold, h.sample, h.lf) AND hi <= 5 LEFT JOIN frets r ON (r.variant, r.fold, r.sample, r.date, r.ticker) = (h.variant, h.fold, h.sample, h.date, p.ticker) GROUP BY 1, 2, 3, 4",
+    "fsleg": "SELECT h.variant, h.fold, h.sample, h.date, coalesce(avg(ret), 0) AS ret FROM fheld h LEFT JOIN fpicks p ON (p.variant, p.fold, p.sample, p.date) = (h.variant, h.fold, h.sample, h.sf) AND lo <= 5 LEFT JOIN frets r ON (r.variant, r.fold, r.sample, r.date, r.ticker) = (h.variant, h.fold, h.sample, h.date, p.ticker) GROUP BY 1, 2, 3, 4",
+    "fsleg2": "SELECT s.variant, s.fold, s.sample, s.date, 0.0 - ret * coalesce(multiplier, 0) AS ret FROM fsleg s ASOF LEFT JOIN mult m ON s.date >= m.date",
+    "flegs": "SELECT *, 'long' AS leg FROM flleg UNION ALL SELECT *, 'short' FROM fsleg2 UNION ALL SELECT variant, fold, sample, date, l.ret + s.ret, 'ls' FROM flleg l JOIN fsleg2 s USING (variant, fold, sample, date)",
+    "feq": """SELECT *, (equity - peak) / nullif(peak, 0) AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY variant, fold, sample, leg ORDER BY date) AS peak FROM (SELECT *, product(1 + ret) OVER (PARTITION BY variant, fold, sample, leg ORDER BY date) AS equity FROM flegs))""",
+    "fperf": """SELECT variant, fold, sample, leg, count(*) AS n, CASE WHEN count(r) = 0 OR stddev_samp(r) = 0 THEN 0 ELSE avg(r) * 252 / (stddev_samp(r) * sqrt(252)) END AS sharpe,
+        CASE WHEN count(*) < 2 THEN 0 WHEN arg_max(equity, date) / arg_min(equity, date) > 0 THEN pow(arg_max(equity, date) / arg_min(equity, date), 252.0 / count(*)) - 1 END AS annual_return, min(drawdown) AS max_drawdown
+        FROM (SELECT *, CASE WHEN ret <> 0 THEN ret END AS r FROM feq) GROUP BY 1, 2, 3, 4""",
+}
+
+
+def _regimes() -> str:
+    from alphaloom.operators.regime import REGIME_WEIGHTS
+
+    return ", ".join(f"({s}, '{f}', {w})" for s in range(4) for f, w in REGIME_WEIGHTS[min(s, 2)].items())
+
+
+CTES["regw"] = CTES["regw"].replace("REGIMES", _regimes())
+
+
 @cache
 def needs(text: str) -> tuple[str, ...]:
     """Names of the shared expressions that ``text`` reads, in an order that defines before use."""
@@ -106,8 +153,10 @@ def needs(text: str) -> tuple[str, ...]:
 
 
 def sql(columns: str, body: str) -> str:
-    """SELECT of ``columns`` (blank-separated; ~name is rounded to 6 digits, #name a BIGINT) over ``body``."""
+    """SELECT of ``columns`` (blank-separated; ~name is rounded to 6 digits, ^name written with 7, #name a BIGINT) over ``body``."""
     def one(c: str) -> str:
+        if c[0] == "^":
+            return f"CASE WHEN {c[1:]} IS NOT NULL THEN printf('%.6e', CAST({c[1:]} + 0.0 AS DOUBLE)) END AS {c[1:]}"
         return f"round({c[1:]}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else f"CAST({c[1:]} AS BIGINT) AS {c[1:]}" if c[0] == "#" else c
 
     names = needs(body)
