@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.common import bounded, forget, table, text_key, written
 
-DIVISOR, MIN_LINES, BROADCAST_CHUNKS = 4, 2, 400_000
+DIVISOR, MIN_LINES, BROADCAST_CHUNKS = 4, 2, 20_000
 
 
 def _line_hashes(lines: Column) -> Column:
