@@ -43,6 +43,33 @@ def t_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def chi2_tail(x: float, df: float) -> float:
+    """Upper tail of the chi-square distribution: the series or the continued fraction of the incomplete gamma function."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        for n in range(1, 1000):
+            term *= x / (a + n)
+            total += term
+            if term < total * 1e-15:
+                break
+        return 1 - front * total
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for n in range(1, 1000):
+        num = -n * (n - a)
+        b += 2
+        d, c = 1 / (num * d + b), b + num / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
     """Digamma for positive arguments: recurrence up to 6, then the asymptotic series."""
     x, out = np.array(x, float), np.zeros(np.shape(x))
@@ -76,3 +103,8 @@ def normal_ppf(p: pd.Series) -> pd.Series:
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic."""
     return _mapped(t_two_sided)(t, df)
+
+
+@F.pandas_udf(DoubleType())
+def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
+    return _mapped(chi2_tail)(x, df)

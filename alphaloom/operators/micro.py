@@ -198,6 +198,13 @@ def vdj_parameters(counts: DataFrame, window: Column, least_days: int = 15, leas
     return d.join(ok.select("symbol", "window"), ["symbol", "window"], "left_semi").groupBy("symbol", "window").applyInPandas(run, VDJ)
 
 
+def vdj_factor(flow: DataFrame, period: str = "annual", least_mean: float = 1.0) -> DataFrame:
+    """(date, ticker, pin): the second model's PIN of each ticker and window of ``flow`` (date, ticker, dbuys, dsells), on its days."""
+    window = F.date_format("date", "yyyy" if period == "annual" else "yyyy-MM")
+    p = vdj_parameters(flow.withColumnRenamed("ticker", "symbol"), window, LEAST_DAYS, least_mean)
+    return flow.withColumn("window", window).join(p.select(F.col("symbol").alias("ticker"), "window", "pin"), ["ticker", "window"]).select("date", "ticker", "pin")
+
+
 def qualified(counts: DataFrame, least_days: int = 15, least_mean: float = 50.0, least_months: int = 24) -> DataFrame:
     """(symbol, months): symbols with enough months of enough days and trades."""
     m = counts.groupBy("symbol", F.trunc("date", "MM").alias("ym")).agg(F.count("*").alias("n"), F.avg(F.col("dbuys") + F.col("dsells")).alias("m"))

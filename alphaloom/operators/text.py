@@ -23,6 +23,23 @@ def chunks(docs: DataFrame, key: str, text: str = "text", size: int = 512, overl
     return d.select(key, "chunk", F.size(part).alias("n_words"), F.array_join(part, " ").alias("chunk_text"))
 
 
+def section_chunks(docs: DataFrame, key: str, text: str = "text", keep: tuple = ("1", "1A", "7", "7A"), size: int = 512, overlap: int = 64) -> DataFrame:
+    """(key, section, chunk, n_words, chunk_text): windows within the kept items of a filing.
+
+    A line that begins with ``ITEM`` and a number opens a section; what stands before the first heading, and items not in
+    ``keep``, are left out; parts of one item are joined.
+    """
+    head = r"(?im)^[ \t]*item[ \t]+(\d+[a-z]?)[.:]?[ \t]*$"
+    t = F.coalesce(F.col(text), F.lit(""))
+    names = F.transform(F.regexp_extract_all(t, F.lit(head), F.lit(1)), lambda x: F.upper(x))
+    parts = F.split(t, head)
+    d = docs.select(key, F.posexplode(F.arrays_zip(names.alias("n"), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))).alias("t"))).alias("at", "s"))
+    d = d.select(key, "at", F.col("s.n").alias("section"), F.col("s.t").alias("t")).filter(F.col("section").isin(*keep))
+    joined = d.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "\n").alias(text))
+    both = chunks(joined.withColumn("_key", F.struct(key, "section")), "_key", text, size, overlap)
+    return both.select(f"_key.{key}", "_key.section", "chunk", "n_words", "chunk_text")
+
+
 def lexicon_scores(rows: DataFrame, text: str, positive: tuple = POSITIVE, negative: tuple = NEGATIVE) -> DataFrame:
     """``rows`` with positive, negative, neutral and compound shares by word counts."""
     words = F.split(F.lower(text), r"[^a-z]+")

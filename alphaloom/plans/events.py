@@ -106,9 +106,12 @@ def w15(spark, sf_dir):
     return ranking.streaks(d, "label").select("date", "ticker", "label", F.col("streak").cast("long").alias("streak"), "streak_bucket")
 
 
-@query("r07_kruskal", sql("#n #k ~h ~eta2", f"""FROM (SELECT n, k, h, (h - k + 1) / (n - k) AS eta2 FROM (SELECT n, k, (12 * q / (n * (n + 1.0)) - 3 * (n + 1.0)) / (1 - ties / (n * 1.0 * n * n - n)) AS h FROM
+KRUSKAL = f"""SELECT * FROM (SELECT n, k, h, (h - k + 1) / (n - k) AS eta2 FROM (SELECT n, k, (12 * q / (n * (n + 1.0)) - 3 * (n + 1.0)) / (1 - ties / (n * 1.0 * n * n - n)) AS h FROM
  (SELECT sum(c) AS n, count(*) AS k, sum(s * s / c) AS q FROM (SELECT label, sum(r) AS s, CAST(count(*) AS DOUBLE) AS c FROM (SELECT label, {rank('ret', 'horizon')} AS r FROM evl WHERE horizon = 5) GROUP BY 1)),
- (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM evl WHERE horizon = 5 GROUP BY ret))))"""))
+ (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM evl WHERE horizon = 5 GROUP BY ret))))"""
+
+
+@query("r07_kruskal", sql("#n #k ~h ~eta2", KRUSKAL.removeprefix("SELECT * ")))
 def r07(spark, sf_dir):
     return stats.kruskal(study(spark, sf_dir).filter("horizon = 5"), "ret", "label")
 
@@ -187,6 +190,13 @@ def r23(spark, sf_dir):
     return micro.vdj_parameters(tables.trade_counts(spark, sf_dir), F.date_format("date", "yyyy-MM"), 15, 1.0)
 
 
+def lag_pairs(d, lags=range(-5, 6)):
+    """(lag, ret, label): ret at a date and label ``lag`` dates later, on the grid of all dates and tickers."""
+    grid = d.select("date").distinct().crossJoin(F.broadcast(d.select("ticker").distinct())).join(d, ["date", "ticker"], "left")  # a row for each date and ticker
+    shifted = grid.select("ret", *(F.lead("label", k).over(by_ticker()).alias(str(k)) for k in lags))
+    return shifted.unpivot(["ret"], [str(k) for k in lags], "lag", "label").dropna(subset=["ret", "label"])
+
+
 def lag_profile(d, lags=range(-5, 6), least=50):
     """(lag, n, spearman, pearson, mi) of ret at a date and label at ``lag`` dates later, pooled over tickers.
 
@@ -195,9 +205,7 @@ def lag_profile(d, lags=range(-5, 6), least=50):
     import pandas as pd
 
     names = [str(k) for k in lags]
-    grid = d.select("date").distinct().crossJoin(d.select("ticker").distinct()).join(d, ["date", "ticker"], "left")
-    shifted = grid.select("ret", *(F.lead("label", k).over(by_ticker()).alias(str(k)) for k in lags))
-    pairs = shifted.unpivot(["ret"], names, "lag", "label").dropna(subset=["ret", "label"])
+    pairs = lag_pairs(d, lags)
 
     def fit(pdf):
         # repeated values get their noise in a fixed order

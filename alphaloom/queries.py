@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, exact: bool = False):
     return add
 
 
-from alphaloom.plans import events, panel, portfolio, streams, walkforward  # noqa: E402, F401  (they register their queries)
+from alphaloom.plans import events, panel, portfolio, streams, studies, walkforward  # noqa: E402, F401  (they register their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
