@@ -6,8 +6,8 @@ lines that occurs more than once in the corpus is kept at its first place (small
 removed everywhere else. Equal chunk hashes only propose; chunks are grouped by their bytes before anything is removed.
 
 Defined results: null text stays null with no lines; an empty text is one empty line; rows that repeat an id and text are
-judged as one document (all keep or all lose the same lines); an empty table gives no rows. Texts are hashed once, and
-shuffled only where the table of places is beyond the broadcast bound; a hot chunk is grouped with map-side partial minima
+judged as one document (all keep or all lose the same lines); an empty table gives no rows. Texts are hashed once and
+shuffled twice, to cut the bodies and to rebuild, at every size alike; a hot chunk is grouped with map-side partial minima
 and joined as two scans, so Spark can split it.
 
 A chunk boundary hangs on the lines before it, and one-line chunks are kept, so ``line_dedup`` (whose rule the SQL of op8
@@ -21,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import bounded, forget, table, text_key, written
+from alphaloom.llm.common import forget, table, text_key, written
 
-DIVISOR, MIN_LINES, BROADCAST_CHUNKS = 4, 2, 20_000
+DIVISOR, MIN_LINES = 4, 2
 
 
 def _line_hashes(lines: Column) -> Column:
@@ -59,18 +59,17 @@ def _repeats(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, list[DataFr
     places = written(places, "lines-places")
     twice = places.groupBy("ck").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter(F.col("lo") != F.col("hi"))
     twice = written(twice.select("ck"), "lines-keys")
-    asked = written(places.join(bounded(twice, BROADCAST_CHUNKS), "ck"), "lines-asked")
+    asked = written(places.join(twice.hint("merge"), "ck"), "lines-asked")
     per_doc = asked.groupBy(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h")).agg(F.collect_set(F.struct("start", "n", "ck")).alias("asked"))
     per_doc = written(per_doc, "lines-asked-of")
-    near = F.broadcast if asked.count() <= BROADCAST_CHUNKS else (lambda df: df)
-    again = docs.select("doc_id", text_key().alias("h"), "text").join(near(per_doc), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")))
+    again = docs.select("doc_id", text_key().alias("h"), "text").join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")))
     body = lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["ck"].alias("ck"), F.array_join(F.slice("lines", x["start"] + 1, x["n"]), "\n").alias("body"))
     again = again.withColumn("lines", F.split("text", "\n")).select("doc_id", "h", F.explode(F.transform("asked", body)).alias("p")).select("doc_id", "h", "p.*")
     again = written(again, "lines-bodies")
     # tables of their own, so that the join is one of two scans, whose hot keys Spark can split
     first = written(again.groupBy("ck", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "lines-first")
     forget(places, twice, asked, per_doc)
-    return again.join(first, ["ck", "body"]).select("doc_id", "h", "start", "n", "first"), [again, first]
+    return again.join(first.hint("merge"), ["ck", "body"]).select("doc_id", "h", "start", "n", "first"), [again, first]
 
 
 def repeated(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> tuple[DataFrame, list[DataFrame]]:
@@ -111,12 +110,11 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LIN
 def _without(docs: DataFrame, gone: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     gone = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone")), "lines-gone")
     forget(*scratch)
-    near = F.broadcast if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_CHUNKS else (lambda df: df)
     # names that no column of ``docs`` has
     free = lambda name: name if name not in docs.columns else free(f"_{name}")
     g_id, g_h, g, h = (free(f"_line_{x}") for x in ("id", "hash", "gone", "key"))
     gone = gone.select(F.col("doc_id").alias(g_id), F.col("h").alias(g_h), F.col("gone").alias(g))
-    out = docs.withColumn(h, text_key()).join(near(gone), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(h) == F.col(g_h)), "left")
+    out = docs.withColumn(h, text_key()).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(h) == F.col(g_h)), "left")
     lines = F.split("text", "\n")
     drop = F.flatten(F.transform(g, lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))

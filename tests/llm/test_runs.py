@@ -39,9 +39,7 @@ def texts_with_runs():
     return runs, texts + [texts[0], texts[5], None, "", "a", "a", "b\nb\nb", "b\nb\nb\nb\nb", "\n\n\n\n", "a\nc\na\nc\na"]
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
-def test_run_dedup_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(linededup, "BROADCAST_CHUNKS", broadcast)
+def test_run_dedup_brute_force(spark):
     _, texts = texts_with_runs()
     out = linededup.run_dedup(docs(spark, texts)).collect()
     want = brute_runs(texts)
