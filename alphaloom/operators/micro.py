@@ -99,42 +99,50 @@ def ekop_factor(flow: DataFrame, period: str = "annual") -> DataFrame:
 POISSON_PSI, POISSON_TRADES = 100.0, 1000
 
 
-def log_bessel(most: int, z: np.ndarray) -> np.ndarray:
-    """ln of the scaled half-integer Bessel functions for t = 1 .. most (row t - 1), by their upward recurrence."""
-    out = np.zeros((max(most, 2), *np.shape(z)))
-    out[1] = np.log1p(z)
-    lz = 2 * np.log(z)
+def log_bessel(most: int, z: float) -> np.ndarray:
+    """ln of the scaled half-integer Bessel functions for t = 1 .. most (at least 2), from the ratios of neighbouring orders."""
+    ratios = [1.0, 1.0 + z]
     for t in range(3, most + 1):
-        out[t - 1] = np.logaddexp(math.log(2 * t - 3) + out[t - 2], lz + out[t - 3])
-    return out
+        ratios.append(2 * t - 3 + z * z / ratios[-1])
+    return np.cumsum(np.log(ratios))
+
+
+def log_factorials(b: np.ndarray, s: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(x + 1) + math.lgamma(y + 1) for x, y in zip(b, s, strict=True)])
+
 
+def log_pig(b: np.ndarray, s: np.ndarray, l1: float, l2: float, psi: float, fact: np.ndarray | None = None) -> np.ndarray:
+    """Log density of counts whose two Poisson rates share an inverse-Gaussian factor of mean 1 and shape psi.
 
-def log_pig(b: np.ndarray, s: np.ndarray, l1: float, l2: float, psi: float) -> np.ndarray:
-    """Log density of counts whose two Poisson rates share an inverse-Gaussian factor of mean 1 and shape psi."""
+    ``fact`` spares a fit the factorials of its days.
+    """
     t = (b + s).astype(int)
     if psi > POISSON_PSI or t.max(initial=0) > POISSON_TRADES:
         return log_poisson(b, l1) + log_poisson(s, l2)
     # E[x**t exp(-x L)] of the factor x, with omega = sqrt(psi (psi + 2 L)): Bessel functions of order t - 1/2
     omega = math.sqrt(psi * (psi + 2 * (l1 + l2)))
-    k = np.concatenate([[0.0], log_bessel(int(t.max(initial=0)), np.float64(omega))])
+    k = np.concatenate([[0.0], log_bessel(int(t.max(initial=0)), omega)])
     lk = np.where(t > 0, k[np.minimum(t, len(k) - 1)] + t * math.log(psi) - (2 * t - 1) * math.log(omega), 0.0)
-    fact = np.array([math.lgamma(x + 1) + math.lgamma(y + 1) for x, y in zip(b, s, strict=True)])
+    fact = log_factorials(b, s) if fact is None else fact
     return b * math.log(l1 + 1e-300) + s * math.log(l2 + 1e-300) - fact + psi - omega + lk
 
 
-def _vdj_parts(b, s, alpha, delta, eps, mu, psi):
-    return np.stack([math.log(1 - alpha) + log_pig(b, s, eps, eps, psi), math.log(alpha * (1 - delta)) + log_pig(b, s, eps + mu, eps, psi), math.log(alpha * delta) + log_pig(b, s, eps, eps + mu, psi)])
+def _vdj_parts(b, s, alpha, delta, eps, mu, psi, fact=None):
+    states = ((1 - alpha, 0, 0), (alpha * (1 - delta), mu, 0), (alpha * delta, 0, mu))
+    return np.stack([math.log(share) + log_pig(b, s, eps + up, eps + down, psi, fact) for share, up, down in states])
 
 
-def nelder_mead(f, x: np.ndarray, step: float = 0.4, steps: int = 160, tolerance: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Minimum of f by the downhill simplex."""
+def nelder_mead(f, x: np.ndarray, step: float = 0.4, steps: int = 1000, tolerance: float = 1e-9) -> tuple[np.ndarray, float, bool]:
+    """Minimum of f by the downhill simplex: the point, the value, and whether the values met ``tolerance`` within ``steps``."""
     n = len(x)
     pts = [np.array(x, float)] + [np.array(x, float) + step * np.eye(n)[i] for i in range(n)]
     val = [f(p) for p in pts]
+    met = False
     for _ in range(steps):
         order = np.argsort(val)
         pts, val = [pts[i] for i in order], [val[i] for i in order]
-        if abs(val[-1] - val[0]) <= tolerance * (1 + abs(val[0])):
+        met = abs(val[-1] - val[0]) <= tolerance * (1 + abs(val[0]))
+        if met:
             break
         mid = np.mean(pts[:-1], axis=0)
         r = mid + (mid - pts[-1])
@@ -154,11 +162,19 @@ def nelder_mead(f, x: np.ndarray, step: float = 0.4, steps: int = 160, tolerance
                 pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
                 val = [val[0]] + [f(p) for p in pts[1:]]
     i = int(np.argmin(val))
-    return pts[i], val[i]
+    return pts[i], val[i], bool(met)
+
+
+#: Logits of alpha and delta, logs of eps and mu over half the mean trades, log of psi: few and many informed days, even and
+#: one-sided news, weak and strong day-to-day scatter.
+STARTS = ((-0.8, 0.0, -0.3, -0.5, 1.5), (0.0, 0.0, -0.1, 0.0, 3.0), (-2.0, 0.0, -0.1, 0.7, 0.5), (-0.4, 1.2, -0.3, 0.2, 2.5), (-0.4, -1.2, -0.3, 0.2, 2.5))
 
 
 def fit_vdj(b: np.ndarray, s: np.ndarray) -> dict | None:
-    """Maximum likelihood over logit and log parameters, from two starts; labels from the posteriors in logs."""
+    """Maximum likelihood over logit and log parameters; labels from the posteriors in logs.
+
+    Five starts run to a coarse tolerance, the best of them to a fine one, from a new simplex; ``converged`` tells whether it got there.
+    """
     b, s = np.asarray(b, float), np.asarray(s, float)
     if len(b) < LEAST_DAYS or not (np.isfinite(b).all() and np.isfinite(s).all()):
         return None
@@ -169,19 +185,21 @@ def fit_vdj(b: np.ndarray, s: np.ndarray) -> dict | None:
         return unlogit(v[0]), unlogit(v[1]), m * math.exp(min(v[2], 3.0)), m * math.exp(min(v[3], 3.0)), math.exp(min(max(v[4], -4.6), 10.0))
 
     def loss(v):
-        w = _vdj_parts(b, s, *params(v))
+        w = _vdj_parts(b, s, *params(v), fact)
         top = w.max(axis=0)
         return -float((top + np.log(np.exp(w - top).sum(axis=0))).sum())
 
-    best = min((nelder_mead(loss, np.array(x)) for x in ((-0.8, 0.0, -0.3, -0.5, 1.5), (0.0, 0.0, -0.1, 0.0, 3.0))), key=lambda r: r[1])
+    fact = log_factorials(b, s)
+    best = min((nelder_mead(loss, np.array(x), tolerance=1e-5) for x in STARTS), key=lambda r: r[1])
+    best = nelder_mead(loss, best[0], step=0.1)
     alpha, delta, eps, mu, psi = params(best[0])
-    none, good, bad = _vdj_parts(b, s, alpha, delta, eps, mu, psi)
+    none, good, bad = _vdj_parts(b, s, alpha, delta, eps, mu, psi, fact)
     label = np.where((good >= bad) & (good >= none), 1, np.where(bad >= none, -1, 0))
     pin = min(max(alpha * mu / (alpha * mu + 2 * eps), 0.0), 1.0)
-    return {"alpha": alpha, "delta": delta, "mu": mu, "eps": eps, "psi": psi, "pin": pin, "nll": best[1], "good": int((label == 1).sum()), "bad": int((label == -1).sum()), "none_": int((label == 0).sum()), "pin_empirical": float((label != 0).mean())}
+    return {"alpha": alpha, "delta": delta, "mu": mu, "eps": eps, "psi": psi, "pin": pin, "nll": best[1], "converged": best[2], "good": int((label == 1).sum()), "bad": int((label == -1).sum()), "none_": int((label == 0).sum()), "pin_empirical": float((label != 0).mean())}
 
 
-VDJ = "symbol string, window string, alpha double, delta double, mu double, eps double, psi double, pin double, nll double, good int, bad int, none_ int, pin_empirical double"
+VDJ = "symbol string, window string, alpha double, delta double, mu double, eps double, psi double, pin double, nll double, converged boolean, good int, bad int, none_ int, pin_empirical double"
 
 
 def vdj_parameters(counts: DataFrame, window: Column, least_days: int = 15, least_mean: float = 50.0) -> DataFrame:
@@ -195,7 +213,10 @@ def vdj_parameters(counts: DataFrame, window: Column, least_days: int = 15, leas
 
     d = counts.dropna(subset=["dbuys", "dsells"]).select("symbol", window.cast("string").alias("window"), "date", "dbuys", "dsells")
     ok = d.groupBy("symbol", "window").agg(F.count("*").alias("n"), F.avg(F.col("dbuys") + F.col("dsells")).alias("m")).filter((F.col("n") >= least_days) & (F.col("m") >= least_mean))
-    return d.join(ok.select("symbol", "window"), ["symbol", "window"], "left_semi").groupBy("symbol", "window").applyInPandas(run, VDJ)
+    d = d.join(ok.select("symbol", "window"), ["symbol", "window"], "left_semi")
+    # a fit is much work on few rows: a number of partitions of its own, which adaptive execution does not join to one
+    spread = 4 * counts.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(spread, "symbol", "window").groupBy("symbol", "window").applyInPandas(run, VDJ)
 
 
 def vdj_factor(flow: DataFrame, period: str = "annual", least_mean: float = 1.0) -> DataFrame:

@@ -36,10 +36,29 @@ def streaks(df: DataFrame, value: str, key: str = "ticker", at: str = "date") ->
     return d.withColumn("streak_bucket", F.when(F.col("streak") >= 5, "5+").otherwise(F.col("streak").cast("string"))).drop("_new", "_run")
 
 
-def smoothed(df: DataFrame, x: str, y: str, window: int, step: int, *ties: str) -> DataFrame:
-    """Means of y over windows of rows in the order of x, every ``step`` rows."""
+def pooled_ranks(counts: DataFrame, value: str, *keys: str, blocks: int = 64) -> DataFrame:
+    """``counts`` (keys, value, t, more), one row per distinct value standing for t rows, with the mean rank ``r`` of these.
+
+    For few keys over very many rows: values fall into blocks between approximate quantiles, each block is ranked for itself
+    and starts after the rows of the blocks before it, so no task sorts a whole key. Keys and values are not NULL.
+    """
+    by = list(keys) or ["_all"]
+    c = counts if keys else counts.withColumn("_all", F.lit(1))
+    edges = c.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / blocks) for i in range(1, blocks))), F.lit(1000)).alias("_edges"))
+    c = c.join(edges if keys else F.broadcast(edges), by)  # one row without keys
+    c = c.withColumn("_block", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    sizes = c.groupBy(*by, "_block").agg(F.sum("t").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))  # at most ``blocks`` rows
+    c = c.join(sizes.select(*by, "_block", F.coalesce(before, F.lit(0)).alias("_before")), [*by, "_block"])
+    within = F.sum("t").over(Window.partitionBy(*by, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("r", F.col("_before") + within - (F.col("t") - 1) / 2.0).drop("_block", "_before", "_all")
+
+
+def smoothed(df: DataFrame, x: str, y: str, window: int | None, step: int, *ties: str) -> DataFrame:
+    """Means of y over windows of rows in the order of x, every ``step`` rows; a window of None is a 15th of the rows, at least 30."""
     order = Window.partitionBy(F.lit(0)).orderBy(x, *ties)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select("*", F.row_number().over(order).alias("row_no"))
+    window = window or max(30, d.count() // 15)
     frame = order.rowsBetween(0, window - 1)
     d = d.select("row_no", F.avg(x).over(frame).alias("x"), F.avg(y).over(frame).alias("y"), F.count("*").over(frame).alias("n"))
     return d.filter((F.col("n") == window) & ((F.col("row_no") - 1) % step == 0)).drop("n")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.functions.expr import correlation, mean_rank, ratio
+from alphaloom.functions.expr import correlation, ratio
+from alphaloom.operators.ranking import pooled_ranks
+from alphaloom.session import staged
 
 
 def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -41,11 +43,14 @@ def paired(df: DataFrame, diff: str, *keys: str) -> DataFrame:
 
 def kruskal(df: DataFrame, value: str, label: str, *keys: str) -> DataFrame:
     """(keys, n, k, h, eta2): Kruskal-Wallis H with tie correction over the label's groups."""
-    d = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull())
-    r = d.select(*keys, label, value, mean_rank(F.col(value), *keys).alias("r"))
-    sums = r.groupBy(*keys, label).agg(F.sum("r").alias("s"), F.count("*").cast("double").alias("c")).groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("q"))
-    ties = r.groupBy(*keys, value).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    j = sums.join(ties, list(keys)) if keys else sums.withColumn("_j", F.lit(1)).join(ties.withColumn("_j", F.lit(1)), "_j")
+    d = df.filter(F.col(value).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, value, label).agg(F.count("*").alias("c"))
+    d = staged(d, "values")  # read for blocks, ranks and sums
+    ranks = pooled_ranks(d.groupBy(*keys, value).agg(F.sum("c").alias("t")), value, *keys)
+    sums = d.join(ranks.select(*keys, value, "r"), [*keys, value]).groupBy(*keys, label).agg(F.sum(F.col("r") * F.col("c")).alias("s"), F.sum("c").cast("double").alias("c"))
+    sums = sums.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("q"))
+    t = F.col("t").cast("double")
+    ties = ranks.groupBy(*keys).agg(F.sum(t * t * t - t).alias("ties"))
+    j = sums.join(ties, list(keys)) if keys else sums.crossJoin(F.broadcast(ties))  # one row each
     n = F.col("n")
     h = ratio(12 * F.col("q") / (n * (n + 1)) - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
     return j.select(*keys, n.cast("long").alias("n"), "k", h.alias("h"), ((h - F.col("k") + 1) / (n - F.col("k"))).alias("eta2"))
@@ -53,9 +58,10 @@ def kruskal(df: DataFrame, value: str, label: str, *keys: str) -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, label: str, a, b, *keys: str) -> DataFrame:
     """(keys, na, nb, u, z): U of group a against b, and its normal deviate with tie and continuity correction."""
-    d = df.filter(F.col(value).isNotNull() & F.col(label).isin(a, b))
-    r = d.select(*keys, label, value, mean_rank(F.col(value), *keys).alias("r"), F.count("*").over(_same(value, *keys)).cast("double").alias("t"))
-    g = r.groupBy(*keys).agg(F.sum((F.col(label) == a).cast("double")).alias("na"), F.sum((F.col(label) == b).cast("double")).alias("nb"), F.sum(F.when(F.col(label) == a, F.col("r"))).alias("ra"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
+    n_of = lambda v: F.count(F.when(F.col(label) == v, 1)).cast("double")
+    d = df.filter(F.col(value).isNotNull() & F.col(label).isin(a, b)).groupBy(*keys, value).agg(F.count("*").alias("t"), n_of(a).alias("ca"), n_of(b).alias("cb"))
+    t, d = F.col("t").cast("double"), staged(d, "values")
+    g = pooled_ranks(d, value, *keys).groupBy(*keys).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum(F.col("r") * F.col("ca")).alias("ra"), F.sum(t * (t * t - 1)).alias("ties"))
     na, nb = F.col("na"), F.col("nb")
     n, u = na + nb, F.col("ra") - na * (na + 1) / 2
     sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -63,15 +69,15 @@ def mann_whitney(df: DataFrame, value: str, label: str, a, b, *keys: str) -> Dat
     return g.filter("na > 0 AND nb > 0").select(*keys, na.cast("long").alias("na"), nb.cast("long").alias("nb"), u.alias("u"), z.alias("z"))
 
 
-def _same(value: str, *keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys, value)
-
-
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """(keys, n, spearman, pearson) over the complete pairs."""
-    d = df.dropna(subset=[x, y]).select(*keys, x, y, mean_rank(F.col(x), *keys).alias("rx"), mean_rank(F.col(y), *keys).alias("ry"))
+    """(keys, n, spearman, pearson) over the complete pairs; for few keys over many rows (``mean_rank`` serves many small keys)."""
+    d = df.dropna(subset=[x, y, *keys]).groupBy(*keys, x, y).agg(F.count("*").alias("c"))
+    d = staged(d, "values")
+    for v, r in ((x, "rx"), (y, "ry")):
+        ranks = pooled_ranks(d.groupBy(*keys, v).agg(F.sum("c").alias("t")), v, *keys)
+        d = d.join(ranks.select(*keys, v, F.col("r").alias(r)), [*keys, v])
+    # ranks of pairs that stand c times, once for each
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("c"))))
     return d.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("spearman"), correlation(F.col(x), F.col(y)).alias("pearson"))
 
 

@@ -49,6 +49,20 @@ def lexicon_scores(rows: DataFrame, text: str, positive: tuple = POSITIVE, negat
     return d.withColumns({"neutral": 1 - F.col("positive") - F.col("negative"), "compound": F.col("positive") - F.col("negative")})
 
 
+def term_scores(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, n_words, positive, negative, neutral, compound) by a table of weighted terms (term, weight), one row a term.
+
+    Shares are sums of the weights of a text's words over its words; a text without words has NULL.
+    """
+    words = F.filter(F.split(F.coalesce(F.lower(text), F.lit("")), r"[^a-z]+"), lambda w: w != "")
+    d = rows.select(key, F.explode_outer(words).alias("term")).groupBy(key, "term").agg(F.count("term").alias("n"))
+    x = F.coalesce(F.col("weight"), F.lit(0.0)) * F.col("n")
+    g = d.join(terms, "term", "left").groupBy(key).agg(F.sum("n").alias("n_words"), F.sum(F.greatest(x, F.lit(0.0))).alias("_p"), F.sum(F.greatest(-x, F.lit(0.0))).alias("_n"))
+    share = lambda c: F.try_divide(F.col(c), F.col("n_words"))
+    g = g.select(key, "n_words", share("_p").alias("positive"), share("_n").alias("negative"))
+    return g.withColumns({"neutral": 1 - F.col("positive") - F.col("negative"), "compound": F.col("positive") - F.col("negative")})
+
+
 def model_scores(rows: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[tuple[float, float, float]]]]) -> DataFrame:
     """The same columns from a model that ``load`` brings up once per task and that scores Arrow batches of texts."""
 
@@ -66,14 +80,23 @@ def label(compound, at: float = 0.3):
     return F.when(compound > at, "positive").when(compound < -at, "negative").otherwise("neutral")
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, similarity, pos): exact brute force; ``queries`` (query_id, q) of at most ``limit`` rows are broadcast."""
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError("too many queries to broadcast: send them in blocks")
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, limit: int = 10_000, slices: int = 64) -> DataFrame:
+    """(query_id, vec_id, similarity, pos): exact brute force of the stated ``queries`` (query_id, q) against all vectors.
+
+    Up to ``limit`` queries are broadcast; more go in blocks, each joined to slices of the vectors, so no task holds all of either.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm")).withColumn("_j", F.lit(1))
-    q = queries.select("query_id", "q", F.sqrt(dot("q", "q")).alias("q_norm")).withColumn("_j", F.lit(1))
+    v = vectors.select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
+    q = queries.select("query_id", "q", F.sqrt(dot("q", "q")).alias("q_norm"))
+    blocks = -(-queries.count() // limit)
+    if blocks <= 1:
+        both = v.crossJoin(F.broadcast(q))
+    else:
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        v = v.withColumn("_slice", part("vec_id", slices)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        q = q.withColumn("_block", part("query_id", blocks)).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        both = v.join(q, ["_block", "_slice"])
     sim = F.try_divide(dot("embedding", "q"), F.col("norm") * F.col("q_norm"))
-    both = v.join(F.broadcast(q), "_j").select("query_id", "vec_id", F.round(sim, 9).alias("similarity"))
+    both = both.select("query_id", "vec_id", F.round(sim, 9).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id")
     return both.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)

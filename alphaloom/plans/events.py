@@ -136,7 +136,7 @@ def r09(spark, sf_dir):
 def r02(spark, sf_dir):
     from alphaloom.plans.panel import w14, z_panel
 
-    return stats.spearman(z_panel(spark, sf_dir).join(w14(spark, sf_dir), ["date", "ticker"]).withColumn("k", F.lit(1)), "volatility_20d", "fwd", "k").drop("k")
+    return stats.spearman(z_panel(spark, sf_dir).join(w14(spark, sf_dir), ["date", "ticker"]), "volatility_20d", "fwd")
 
 
 @query("r11_line_fit", sql("ticker #n ~slope ~intercept ~r", f"FROM (SELECT ticker, count(*) AS n, regr_slope(buys, sells) AS slope, regr_intercept(buys, sells) AS intercept, {corr('sells', 'buys')} AS r FROM flow GROUP BY 1)"))
@@ -237,9 +237,9 @@ def r04(spark, sf_dir):
     return study(spark, sf_dir).filter("horizon = 5").select("ticker", "label", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, mi double, n long")
 
 
-@query("w18_smoother", sql("#row_no ~x ~y", """FROM (SELECT * FROM (SELECT r AS row_no, avg(x) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS x, avg(y) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS y, count(*) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS n
- FROM (SELECT spx_close AS x, vix_close AS y, row_number() OVER (ORDER BY spx_close, date) AS r FROM idx)) WHERE n = 30 AND (row_no - 1) % 5 = 0)"""))
+@query("w18_smoother", sql("#row_no ~x ~y", """FROM (WITH o AS (SELECT spx_close AS x, vix_close AS y, row_number() OVER (ORDER BY spx_close, date) AS r, greatest(30, count(*) OVER () // 15) AS w FROM idx WHERE spx_close IS NOT NULL AND vix_close IS NOT NULL)
+ SELECT a.r AS row_no, avg(b.x) AS x, avg(b.y) AS y FROM o a JOIN o b ON b.r >= a.r AND b.r < a.r + a.w WHERE (a.r - 1) % 5 = 0 GROUP BY a.r, a.w HAVING count(*) = a.w)"""))
 def w18(spark, sf_dir):
-    return ranking.smoothed(tables.index_prices(spark, sf_dir), "spx_close", "vix_close", 30, 5, "date")
+    return ranking.smoothed(tables.index_prices(spark, sf_dir), "spx_close", "vix_close", None, 5, "date")
 
 

@@ -4,6 +4,7 @@ import math
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,26 @@ def test_mixed_poisson_density_sums_to_one():
     assert np.exp(micro.log_pig(grid[:, 0], grid[:, 1], 4.0, 3.0, 1000.0)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_second_model_recovers_its_parameters():
+    rng = np.random.default_rng(8)
+    n, alpha, eps, mu, psi = 400, 0.4, 40.0, 50.0, 12.0
+    kind = rng.choice(3, n, p=[1 - alpha, alpha / 2, alpha / 2])
+    x = rng.wald(1.0, psi, n)
+    b, s = rng.poisson(x * (eps + mu * (kind == 1))), rng.poisson(x * (eps + mu * (kind == 2)))
+    f = micro.fit_vdj(b, s)
+    truth = np.logaddexp.reduce(micro._vdj_parts(b.astype(float), s.astype(float), alpha, 0.5, eps, mu, psi)).sum()
+    assert f["converged"] and -f["nll"] >= truth
+    assert abs(f["alpha"] - alpha) < 0.08 and abs(f["delta"] - 0.5) < 0.12 and abs(f["eps"] - eps) < 5 and abs(f["mu"] - mu) < 8 and abs(math.log(f["psi"] / psi)) < 0.5
+    assert f["pin"] == pytest.approx(alpha * mu / (alpha * mu + 2 * eps), abs=0.05)
+
+
+def test_bessel_ratios_equal_the_recurrence():
+    k = [1.0, 1.0 + 2.5]
+    for t in range(3, 12):
+        k.append((2 * t - 3) * k[-1] + 2.5 * 2.5 * k[-2])
+    assert micro.log_bessel(11, 2.5) == pytest.approx(np.log(k), abs=1e-12)
+
+
 def test_event_label_ties_go_to_good_then_bad(spark):
     d = spark.createDataFrame([(100.0, 0.0), (0.0, 100.0), (20.0, 20.0), (60.0, 60.0)], "b double, s double")
     assert [r[0] for r in d.select(micro.event_label(F.col("b"), F.col("s"), F.lit(0.5), F.lit(0.5), F.lit(20.0), F.lit(20.0))).collect()] == [1, -1, 0, 1]
@@ -166,6 +187,23 @@ def test_rank_tests(spark):
     assert stats.kruskal(d, "x", "label").first()["h"] == pytest.approx(3.178571 / (1 - 24 / 336), abs=1e-4)
 
 
+@pytest.mark.parametrize("blocks", [2, 64])
+def test_pooled_ranks_equal_ranks_in_one_sort(spark, blocks):
+    rng = np.random.default_rng(3)
+    # half of the rows carry one value
+    rows = pd.DataFrame({"g": rng.integers(0, 2, 3000), "x": np.where(rng.random(3000) < 0.5, 7.0, rng.integers(-300, 300, 3000) / 4)})
+    c = spark.createDataFrame(rows).groupBy("g", "x").agg(F.count("*").alias("t"))
+    got = {(r["g"], r["x"]): r["r"] for r in ranking.pooled_ranks(c, "x", "g", blocks=blocks).collect()}
+    want = rows.groupby("g")["x"].rank()
+    assert all(got[(g, x)] == r for g, x, r in zip(rows["g"], rows["x"], want, strict=True))
+    whole = spark.createDataFrame(rows).groupBy("x").agg(F.count("*").alias("t"))
+    got = {r["x"]: r["r"] for r in ranking.pooled_ranks(whole, "x", blocks=blocks).collect()}
+    assert all(got[x] == r for x, r in zip(rows["x"], rows["x"].rank(), strict=True))
+    one = spark.createDataFrame(rows.assign(y=rng.random(3000))).withColumn("y", F.col("y") + F.col("x"))
+    assert stats.spearman(one, "x", "y").first()["spearman"] == pytest.approx(one.toPandas()[["x", "y"]].rank().corr().iloc[0, 1], abs=1e-9)
+    assert stats.spearman(one.filter("false"), "x", "y").first()["n"] == 0
+
+
 def test_chunks_and_similarity(spark):
     d = spark.createDataFrame([(1, " ".join(map(str, range(10)))), (2, None), (3, " \n "), (4, "a b")], "id int, text string")
     got = [(r["id"], r["chunk"], r["chunk_text"]) for r in text.chunks(d, "id", size=4, overlap=1).orderBy("id", "chunk").collect()]
@@ -173,3 +211,21 @@ def test_chunks_and_similarity(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "vec_id int, embedding array<double>")
     q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id int, q array<double>")
     assert [r["vec_id"] for r in text.cosine_top_k(v, q, 3).orderBy("pos").collect()] == [1, 3, 2]
+    many = spark.createDataFrame([(9, [2.0, 0.0]), (8, [0.0, 1.0]), (7, [1.0, 1.0])], "query_id int, q array<double>")
+    found = [sorted(map(tuple, text.cosine_top_k(v, many, 2, limit=n).collect())) for n in (10, 1)]
+    assert found[0] == found[1] and len(found[0]) == 6
+
+
+def test_lexicon_and_model_scores(spark):
+    d = spark.createDataFrame([(1, "Strong growth, weak start"), (2, ""), (3, None)], "id int, t string")
+    got = {r["id"]: (r["positive"], r["negative"], r["compound"]) for r in text.lexicon_scores(d, "t").collect()}
+    assert got[1] == (0.5, 0.25, 0.25) and got[2] == got[3] == (None, None, None)
+    terms = spark.createDataFrame([("strong", 2.0), ("growth", 1.0), ("weak", -0.5)], "term string, weight double")
+    got = {r["id"]: (r["positive"], r["negative"], r["compound"], r["n_words"]) for r in text.term_scores(d, "id", "t", terms).collect()}
+    assert got[1] == (0.75, 0.125, 0.625, 4) and got[2] == got[3] == (None, None, None, 0)
+
+    def load():
+        return lambda texts: [(0.75, 0.25, 0.0) if "growth" in x else (0.0, 0.0, 1.0) for x in texts]
+
+    got = {r["id"]: (r["positive"], r["neutral"], r["compound"]) for r in text.model_scores(d, "t", load).collect()}
+    assert got == {1: (0.75, 0.0, 0.5), 2: (0.0, 1.0, 0.0), 3: (0.0, 1.0, 0.0)}
