@@ -167,7 +167,7 @@ def nelder_mead(f, x: np.ndarray, step: float = 0.4, steps: int = 1000, toleranc
 
 #: Logits of alpha and delta, logs of eps and mu over half the mean trades, log of psi: few and many informed days, even and
 #: one-sided news, weak and strong day-to-day scatter.
-STARTS = ((-0.8, 0.0, -0.3, -0.5, 1.5), (0.0, 0.0, -0.1, 0.0, 3.0), (-2.0, 0.0, -0.1, 0.7, 0.5), (-0.4, 1.2, -0.3, 0.2, 2.5), (-0.4, -1.2, -0.3, 0.2, 2.5))
+VDJ_STARTS = ((-0.8, 0.0, -0.3, -0.5, 1.5), (0.0, 0.0, -0.1, 0.0, 3.0), (-2.0, 0.0, -0.1, 0.7, 0.5), (-0.4, 1.2, -0.3, 0.2, 2.5), (-0.4, -1.2, -0.3, 0.2, 2.5))
 
 
 def fit_vdj(b: np.ndarray, s: np.ndarray) -> dict | None:
@@ -190,7 +190,7 @@ def fit_vdj(b: np.ndarray, s: np.ndarray) -> dict | None:
         return -float((top + np.log(np.exp(w - top).sum(axis=0))).sum())
 
     fact = log_factorials(b, s)
-    best = min((nelder_mead(loss, np.array(x), tolerance=1e-5) for x in STARTS), key=lambda r: r[1])
+    best = min((nelder_mead(loss, np.array(x), tolerance=1e-5) for x in VDJ_STARTS), key=lambda r: r[1])
     best = nelder_mead(loss, best[0], step=0.1)
     alpha, delta, eps, mu, psi = params(best[0])
     none, good, bad = _vdj_parts(b, s, alpha, delta, eps, mu, psi, fact)
