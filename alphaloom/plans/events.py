@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import by_ticker, forward_return, ratio
 from alphaloom.operators import align, factors, ic, micro, ranking, stats, text
-from alphaloom.queries import query
+from alphaloom.registry import query
 from alphaloom.sources import tables
 from alphaloom.sql import corr, rank, sql
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alphaloom.functions.expr import change
 from alphaloom.operators import backtest, factors, ranking, regime
 from alphaloom.plans import panel
-from alphaloom.queries import query
+from alphaloom.registry import query
 from alphaloom.session import staged
 from alphaloom.sources import tables
 from alphaloom.sql import sql

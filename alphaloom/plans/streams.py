@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from alphaloom.queries import query
+from alphaloom.registry import query
 from alphaloom.session import scratch_root
 from alphaloom.sql import sql
 from alphaloom.streaming import bars

@@ -9,7 +9,7 @@ from alphaloom.functions.expr import by_ticker, correlation, forward_return, mea
 from alphaloom.functions.special import chi2_pvalue, normal_cdf, t_pvalue
 from alphaloom.operators import factors, ic, micro, ranking, stats, text
 from alphaloom.plans import events, panel
-from alphaloom.queries import query
+from alphaloom.registry import query
 from alphaloom.sources import tables
 from alphaloom.sql import FACTORS, FUNDAMENTAL, W, corr, rank, sql, z
 

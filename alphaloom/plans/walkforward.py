@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators import align, backtest, factors, ic, regime
 from alphaloom.plans import panel
-from alphaloom.queries import query
+from alphaloom.registry import query
 from alphaloom.session import staged, written_out
 from alphaloom.sources import tables
 from alphaloom.sql import FACTORS, FUNDAMENTAL, sql

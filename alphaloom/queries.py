@@ -1,29 +1,11 @@
-"""Registry of the library's own queries, each over whole tables, and their DuckDB SQL."""
+"""The library's own queries, each over whole tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, exact: bool = False):
-    """Register a query, rounded to six digits unless its values are exact, and its SQL."""
-    from alphaloom.session import rounded
-
-    def add(f):
-        QUERIES[name] = f if exact else lambda spark, sf_dir: rounded(f(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-from alphaloom.plans import events, panel, portfolio, streams, studies, walkforward  # noqa: E402, F401  (they register their queries)
+from alphaloom.plans import events, panel, portfolio, streams, studies, walkforward  # noqa: F401  (they register their queries)
+from alphaloom.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
