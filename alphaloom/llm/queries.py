@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alphaloom.llm import centroids, decontaminate, html, langid, linededup, neardup, packing, periods, quality, sharding, suffixdedup, topk
+from alphaloom.llm import centroids, chat, decontaminate, html, langid, linededup, neardup, packing, periods, quality, sharding, suffixdedup, topk
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_suffix_array_dedup": suffixdedup.op9_suffix_array_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_chat_formatting": chat.op11_chat_formatting,
     "op12_periodic_runs": periods.op12_periodic_runs,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
-ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE, "op5_exact_top_k": topk.ORACLE, "op8_line_dedup": linededup.ORACLE, "op12_periodic_runs": periods.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
+ORACLE_SQL = {"op3_decontamination": decontaminate.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE, "op5_exact_top_k": topk.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_chat_formatting": chat.ORACLE, "op12_periodic_runs": periods.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
