@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import by_ticker, correlation, forward_return, mean_rank, ratio
-from alphaloom.functions.special import digamma
+from alphaloom.operators import information
 
 
 def forward_returns(prices: DataFrame, horizons: list[int]) -> DataFrame:
@@ -44,74 +42,10 @@ def select_factors(summary: DataFrame, threshold: float = 2.0) -> DataFrame:
 # --- mutual information ----------------------------------------------------------------------------------------------
 
 
-def _scaled(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    sd = x.std()
-    x = x / sd if sd > 0 else x
-    return x + 1e-10 * max(1.0, np.abs(x).mean()) * rng.standard_normal(len(x))
-
-
-def _nearest(x: np.ndarray, y: np.ndarray, k: int, block: int = 256) -> np.ndarray:
-    """Chebyshev distance to the k-th nearest other point, for points in the order of x.
-
-    A block looks at a stretch of the order that is widened until the distances found rule out all points beyond it.
-    """
-    n, out = len(x), np.empty(len(x))
-    for at in range(0, n, block):
-        to, wide = min(at + block, n), int(4 * np.sqrt(k * n)) + k
-        while True:
-            lo, hi = max(0, at - wide), min(n, to + wide)
-            d = np.maximum(np.abs(x[at:to, None] - x[lo:hi]), np.abs(y[at:to, None] - y[lo:hi]))
-            d[np.arange(to - at), np.arange(at - lo, to - lo)] = np.inf
-            eps = np.partition(d, k - 1, axis=1)[:, k - 1]
-            left = np.full(to - at, np.inf) if lo == 0 else x[at:to] - x[lo - 1]
-            right = np.full(to - at, np.inf) if hi == n else x[hi] - x[at:to]
-            if (eps <= np.minimum(left, right)).all():
-                break
-            wide *= 2
-        out[at:to] = eps
-    return out
-
-
-def ksg(x: np.ndarray, y: np.ndarray, k: int = 5, seed: int = 42) -> float:
-    """Kraskov's estimator I1 for two continuous samples, in nats, not below 0."""
-    rng, n = np.random.default_rng(seed), len(x)
-    x, y = _scaled(x, rng), _scaled(y, rng)
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    eps, sy = np.nextafter(_nearest(x, y, k), 0), np.sort(y)
-    inside = lambda s, v: np.searchsorted(s, v + eps, "right") - np.searchsorted(s, v - eps, "left")
-    terms = digamma(inside(x, x)) + digamma(inside(sy, y))
-    return max(0.0, float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - terms.mean()))
-
-
-def discrete_mi(x: np.ndarray, label: np.ndarray, k: int = 3, seed: int = 42) -> float:
-    """Ross's estimator for a continuous sample against a label, in nats, not below 0."""
-    x = _scaled(x, np.random.default_rng(seed))
-    order, terms, used = np.sort(x), [], 0
-    for value in np.unique(label):
-        own = np.sort(x[label == value])
-        n = len(own)
-        if n < 2:
-            continue
-        kk = min(k, n - 1)
-        # the k-th nearest of sorted points lies within kk places to either side
-        near = np.sort(np.stack([np.abs(own - np.concatenate([np.full(max(s, 0), np.inf), own[max(-s, 0) : n - max(s, 0)], np.full(max(-s, 0), np.inf)])) for s in range(-kk, kk + 1) if s]), axis=0)[kk - 1]
-        m = np.searchsorted(order, own + near, "right") - np.searchsorted(order, own - near, "left")
-        terms.append(digamma(np.full(n, kk)) - digamma(np.full(n, n)) - digamma(np.maximum(m - 1, 1)))
-        used += n
-    return max(0.0, float(np.concatenate(terms).mean() + digamma(np.array([used]))[0])) if used else 0.0
-
-
 def factor_mi(long: DataFrame, returns: DataFrame, neighbors: int = 5, least: int = 50) -> DataFrame:
-    """(factor, mi, n): mutual information of factor and forward return over the pooled panel, one task per factor."""
-    pairs = long.join(returns.select("date", "ticker", "fwd"), ["date", "ticker"]).dropna(subset=["value", "fwd"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "ticker"])
-        mi = ksg(pdf["value"].to_numpy(), pdf["fwd"].to_numpy(), neighbors) if len(pdf) >= least else None
-        return pd.DataFrame({"factor": [pdf["factor"].iloc[0]], "mi": pd.Series([mi], dtype="float64"), "n": [len(pdf)]})
-
-    return pairs.select("factor", "date", "ticker", "value", "fwd").groupBy("factor").applyInPandas(fit, "factor string, mi double, n long")
+    """(factor, mi, n): mutual information of factor and forward return over the pooled panel, in blocks of rows."""
+    pairs = long.join(returns.select("date", "ticker", "fwd"), ["date", "ticker"])
+    return information.continuous(pairs, ["factor"], "value", "fwd", ["date", "ticker"], neighbors, least)
 
 
 def combined(summary: DataFrame, mi: DataFrame, nonlinear: float = 1.0) -> DataFrame:

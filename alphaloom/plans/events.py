@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import by_ticker, forward_return, ratio
-from alphaloom.operators import align, factors, ic, micro, ranking, stats, text
+from alphaloom.operators import align, factors, information, micro, ranking, stats, text
 from alphaloom.registry import query
+from alphaloom.session import staged
 from alphaloom.sources import tables
 from alphaloom.sql import corr, rank, sql
 
@@ -191,10 +192,10 @@ def r23(spark, sf_dir):
 
 
 def lag_pairs(d, lags=range(-5, 6)):
-    """(lag, ret, label): ret at a date and label ``lag`` dates later, on the grid of all dates and tickers."""
+    """(date, ticker, lag, ret, label): ret at a date and label ``lag`` dates later, on the grid of all dates and tickers."""
     grid = d.select("date").distinct().crossJoin(F.broadcast(d.select("ticker").distinct())).join(d, ["date", "ticker"], "left")  # a row for each date and ticker
-    shifted = grid.select("ret", *(F.lead("label", k).over(by_ticker()).alias(str(k)) for k in lags))
-    return shifted.unpivot(["ret"], [str(k) for k in lags], "lag", "label").dropna(subset=["ret", "label"])
+    shifted = grid.select("date", "ticker", "ret", *(F.lead("label", k).over(by_ticker()).alias(str(k)) for k in lags))
+    return shifted.unpivot(["date", "ticker", "ret"], [str(k) for k in lags], "lag", "label").dropna(subset=["ret", "label"])
 
 
 def lag_profile(d, lags=range(-5, 6), least=50):
@@ -202,18 +203,9 @@ def lag_profile(d, lags=range(-5, 6), least=50):
 
     ``d``: (date, ticker, label, ret). Dates are those of any ticker; fewer than ``least`` pairs give NULL.
     """
-    import pandas as pd
-
     names = [str(k) for k in lags]
-    pairs = lag_pairs(d, lags)
-
-    def fit(pdf):
-        # repeated values get their noise in a fixed order
-        pdf = pdf.sort_values(["ret", "label"])
-        mi = ic.discrete_mi(pdf["ret"].to_numpy(), pdf["label"].to_numpy()) if len(pdf) >= least else None
-        return pd.DataFrame({"lag": [pdf["lag"].iloc[0]], "n": [len(pdf)], "mi": pd.Series([mi], dtype="float64")})
-
-    mi = pairs.select("lag", F.col("ret").cast("double").alias("ret"), F.col("label").cast("double").alias("label")).groupBy("lag").applyInPandas(fit, "lag string, n long, mi double")
+    pairs = staged(lag_pairs(d, lags), "lag-pairs")
+    mi = information.discrete(pairs, ["lag"], "ret", "label", ["date", "ticker"], least=least).select("lag", "n", "mi")
     enough = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
     all_lags = d.sparkSession.createDataFrame([(k,) for k in names], "lag string")
     both = all_lags.join(mi, "lag", "left").join(stats.spearman(pairs, "label", "ret", "lag").select("lag", "spearman", "pearson"), "lag", "left")
@@ -229,12 +221,9 @@ def r06(spark, sf_dir):
 
 @query("r04_label_information")
 def r04(spark, sf_dir):
-    import pandas as pd
-
-    def fit(pdf):
-        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]], "mi": [ic.discrete_mi(pdf["ret"].to_numpy(), pdf["label"].to_numpy())], "n": [len(pdf)]})
-
-    return study(spark, sf_dir).filter("horizon = 5").select("ticker", "label", "ret").groupBy("ticker").applyInPandas(fit, "ticker string, mi double, n long")
+    """Mutual information of five-day returns and labels for each ticker."""
+    d = study(spark, sf_dir).filter("horizon = 5")
+    return information.discrete(d, ["ticker"], "ret", "label", ["date"]).select("ticker", "mi", "n")
 
 
 @query("w18_smoother", sql("#row_no ~x ~y", """FROM (WITH o AS (SELECT spx_close AS x, vix_close AS y, row_number() OVER (ORDER BY spx_close, date) AS r, greatest(30, count(*) OVER () // 15) AS w FROM idx WHERE spx_close IS NOT NULL AND vix_close IS NOT NULL)

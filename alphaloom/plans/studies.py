@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import by_ticker, correlation, forward_return, mean_rank, ratio
 from alphaloom.functions.special import chi2_pvalue, normal_cdf, t_pvalue
-from alphaloom.operators import factors, ic, micro, ranking, stats, text
+from alphaloom.operators import factors, ic, information, micro, ranking, stats, text
 from alphaloom.plans import events, panel
 from alphaloom.registry import query
 from alphaloom.sources import tables
@@ -177,24 +177,12 @@ def nonlinearity(mi, pearson):
     return mi / F.greatest(F.abs(pearson), F.lit(1e-6))
 
 
-def permutation_test(pairs: DataFrame, rounds: int = 1000, least: int = 10) -> DataFrame:
-    """(n, mi, shuffled_mean, shuffled_95, p, percentile): mutual information of ret and label against ``rounds`` shuffles.
+def permutation_test(pairs: DataFrame, rounds: int = 1000, least: int = 10, ids: tuple = ()) -> DataFrame:
+    """(n, mi, shuffled_mean, shuffled_95, p, percentile): mutual information of ret and label against ``rounds`` shuffles of the labels.
 
-    Round numbers are keys: each group holds one copy of the pairs, which dates and tickers bound, and number 0 is not shuffled.
+    Tasks evaluate their rows of every round, so the shuffle does not grow with the rounds. ``ids``: columns that name a row.
     """
-    import numpy as np
-    import pandas as pd
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ret", "label"])
-        label = pdf["label"].to_numpy()
-        if key[0]:
-            label = np.random.default_rng(key[0]).permutation(label)
-        mi = ic.discrete_mi(pdf["ret"].to_numpy(), label) if len(pdf) >= least else None
-        return pd.DataFrame({"round": [key[0]], "n": [len(pdf)], "mi": pd.Series([mi], dtype="float64")})
-
-    d = pairs.dropna(subset=["ret", "label"]).select(F.col("ret").cast("double").alias("ret"), F.col("label").cast("double").alias("label"))
-    each = d.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).groupBy("round").applyInPandas(fit, "round int, n long, mi double")
+    each = information.discrete(pairs, [], "ret", "label", list(ids), rounds=rounds, least=least)
     real = F.max(F.when(F.col("round") == 0, F.col("mi"))).over(Window.partitionBy(F.lit(0)))  # rounds + 1 rows
     other = F.when(F.col("round") > 0, F.col("mi"))
     g = each.withColumn("real", real).agg(F.max("n").alias("n"), F.max("real").alias("mi"), F.avg(other).alias("shuffled_mean"), F.percentile(other, F.lit(0.95)).alias("shuffled_95"), F.avg((other >= F.col("real")).cast("double")).alias("p"))
@@ -203,7 +191,7 @@ def permutation_test(pairs: DataFrame, rounds: int = 1000, least: int = 10) -> D
 
 @query("r05_permutation_test")
 def r05(spark, sf_dir):
-    return permutation_test(label_sentiment(spark, sf_dir))
+    return permutation_test(label_sentiment(spark, sf_dir), ids=("date", "ticker"))
 
 
 @query("r_p_values")

@@ -165,15 +165,6 @@ def test_event_label_ties_go_to_good_then_bad(spark):
     assert [r[0] for r in d.select(micro.event_label(F.col("b"), F.col("s"), F.lit(0.5), F.lit(0.5), F.lit(20.0), F.lit(20.0))).collect()] == [1, -1, 0, 1]
 
 
-def test_mutual_information():
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal(2000)
-    y = 0.8 * x + 0.6 * rng.standard_normal(2000)
-    assert ic.ksg(x, y) == pytest.approx(-0.5 * math.log(1 - 0.64), abs=0.06)
-    assert ic.ksg(x, rng.standard_normal(2000)) < 0.05
-    assert ic.discrete_mi(x, (x > 0).astype(int)) == pytest.approx(math.log(2), abs=0.1)
-
-
 def test_special_functions():
     assert special.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
     assert special.t_two_sided(0.0, 5) == pytest.approx(1)
