@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Starting points (alpha, delta, share of the mean that is informed).
-STARTS = ((0.3, 0.5, 0.5), (0.5, 0.5, 0.3), (0.2, 0.3, 1.0), (0.2, 0.7, 1.0), (0.7, 0.4, 0.2))
+#: Starting points (alpha, delta, share of the mean that is informed): quarters of alpha with balanced news, the rarer the news the
+#: stronger; then one-sided news, a quarter to either side.
+STARTS = ((0.25, 0.5, 0.75), (0.5, 0.5, 0.5), (0.75, 0.5, 0.25), (0.25, 0.25, 0.75), (0.25, 0.75, 0.75))
 LEAST_DAYS = 5
 
 

@@ -181,7 +181,7 @@ def s19(spark, sf_dir):
     return text.cosine_top_k(v, q, 5).select("query_id", "vec_id", "pos")
 
 
-@query("r16_ekop_factor")
+@query("r16_ekop_factor", sql("date ticker period ~pin event_label", "FROM ekop"))
 def r16(spark, sf_dir):
     return micro.ekop_factor(factors.buy_sell_volume(tables.bars(spark, sf_dir)), "both")
 

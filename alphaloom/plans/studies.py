@@ -254,18 +254,26 @@ def a20_sentiment(spark, sf_dir):
     return d.select("date", "ticker", factors.composite(None, [*ALL, "news_sentiment", "filing_sentiment"]).alias("score"))
 
 
-@query("j01_full_panel")
+_FULL = f"(SELECT z.*, e.pin, e.event_label FROM {_SENTZ} z LEFT JOIN (SELECT * FROM ekop WHERE period = 'annual') e USING (date, ticker))"
+_FULL_NAMES = [*FACTORS, *FUNDAMENTAL, "pin", "event_label", "news_sentiment", "filing_sentiment"]
+_FULL_LONG = "(" + " UNION ALL ".join(f"SELECT date, ticker, '{f}' AS factor, CAST({f} AS DOUBLE) AS value FROM fullp" for f in _FULL_NAMES) + ")"
+_FULL_SUM = f"""(WITH fullp AS MATERIALIZED (SELECT * FROM {_FULL}), rk AS (SELECT factor, date, {rank('value', 'factor, date')} AS rv, {rank('fwd', 'factor, date')} AS rf FROM {_FULL_LONG} JOIN fwd USING (date, ticker) WHERE value IS NOT NULL AND fwd IS NOT NULL),
+ one AS (SELECT factor, date, CASE WHEN count(*) >= 3 THEN {corr('rv', 'rf')} END AS ic FROM rk GROUP BY 1, 2)
+ SELECT factor, count(ic) AS n, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(CASE WHEN ic IS NOT NULL THEN CAST(ic > 1e-12 AS DOUBLE) END) AS positive, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(ic) * sqrt(count(ic)) / nullif(stddev_samp(ic), 0) AS t_stat FROM one GROUP BY 1)"""
+
+
+@query("j01_full_panel", sql("date ticker " + " ".join(f"~{f}" for f in [*FACTORS, *FUNDAMENTAL, "pin"]) + " event_label ~news_sentiment ~filing_sentiment", f"FROM {_FULL}"))
 def j01(spark, sf_dir):
     return full_panel(spark, sf_dir).select("date", "ticker", *ALL, "pin", "event_label", "news_sentiment", "filing_sentiment")
 
 
-@query("a20_full_composite")
+@query("a20_full_composite", sql("date ticker ~score", f"FROM (SELECT date, ticker, coalesce(momentum_252d, 0) + coalesce(volatility_20d, 0) - coalesce(volume_zscore_20d, 0) - coalesce(amihud_20d, 0) + coalesce(pb_ratio, 0) - coalesce(pin, 0) + coalesce(news_sentiment, 0) + coalesce(filing_sentiment, 0) AS score FROM {_FULL})"))
 def a20_full(spark, sf_dir):
     d = full_panel(spark, sf_dir)
     return d.select("date", "ticker", factors.composite(None, [*ALL, "pin", "news_sentiment", "filing_sentiment"]).alias("score"))
 
 
-@query("a08_full_ic_summary")
+@query("a08_full_ic_summary", sql("factor n ~mean_ic ~std_ic ~positive ~icir ~t_stat", f"FROM {_FULL_SUM}"))
 def a08_full(spark, sf_dir):
     """IC summary of all factors, PIN, the event label and sentiment included."""
     fwd = ic.forward_returns(tables.bars(spark, sf_dir), [21]).select("date", "ticker", F.col("ret_21d").alias("fwd"))

@@ -136,20 +136,45 @@ CTES |= {
 }
 
 
+_EM = "ticker, period, win, st, n, mean, step"
+CTES |= {
+    # order-flow fits: EM from every start, a step per recursion, finished fits drop out
+    "emdays": """SELECT ticker, period, CASE period WHEN 'annual' THEN strftime(date, '%Y') ELSE strftime(date, '%Y-%m') END AS win, date, buys AS b, sells AS s FROM flow CROSS JOIN (VALUES ('annual'), ('monthly')) AS v(period) WHERE buys IS NOT NULL AND sells IS NOT NULL""",
+    "emkeys": "SELECT ticker, period, win, count(*) AS n, greatest(avg(b + s) / 2, 1e-6) AS mean FROM emdays GROUP BY ALL HAVING count(*) >= 5",
+    "em": f"""SELECT ticker, period, win, st, n, mean, 0 AS step, alpha, delta, greatest(mean * share, 1e-6) AS mu, greatest(mean * (1 - 0.4 * share), 1e-6) AS eps, CAST('-infinity' AS DOUBLE) AS total, false AS done FROM emkeys CROSS JOIN (VALUES STARTS) AS v(st, alpha, delta, share)
+ UNION ALL SELECT ticker, period, win, st, n, mean, step + 1, a2, d2, CASE WHEN news > 1e-12 THEN greatest((CASE WHEN rate < e2 THEN mean ELSE rate END) - (CASE WHEN rate < e2 THEN mean ELSE e2 END), 1e-6) ELSE mu END, CASE WHEN news > 1e-12 THEN CASE WHEN rate < e2 THEN mean ELSE e2 END ELSE eps END,
+ total, total - last <= 1e-9 * (1 + abs(total)) OR step >= 499 FROM (SELECT *, least(greatest(news / n, 1e-6), 1 - 1e-6) AS a2, least(greatest(CASE WHEN news > 0 THEN srb / news ELSE delta END, 1e-6), 1 - 1e-6) AS d2, srate / nullif(news, 0) AS rate, greatest(seps / (2 * s0 + news), 1e-6) AS e2 FROM
+ (SELECT {_EM}, alpha, delta, mu, eps, last, sum(lk) AS total, sum(exp(wg - lk) + exp(wb - lk)) AS news, sum(exp(wb - lk)) AS srb, sum(exp(w0 - lk)) AS s0, sum(exp(wg - lk) * b + exp(wb - lk) * s) AS srate, sum(exp(w0 - lk) * (b + s) + exp(wg - lk) * s + exp(wb - lk) * b) AS seps FROM
+ (SELECT *, greatest(w0, wg, wb) + ln(exp(w0 - greatest(w0, wg, wb)) + exp(wg - greatest(w0, wg, wb)) + exp(wb - greatest(w0, wg, wb))) AS lk FROM
+ (SELECT {_EM}, alpha, delta, mu, eps, total AS last, b, s, ln(1 - alpha) + (b + s) * ln(eps) - 2 * eps AS w0, ln(alpha * (1 - delta)) + b * ln(mu + eps) + s * ln(eps) - 2 * eps - mu AS wg, ln(alpha * delta) + b * ln(eps) + s * ln(mu + eps) - 2 * eps - mu AS wb
+ FROM em JOIN emdays USING (ticker, period, win) WHERE NOT done)) GROUP BY {_EM}, alpha, delta, mu, eps, last))""",
+    "emfit": """SELECT * FROM (SELECT *, max(total) OVER (PARTITION BY ticker, period, win) AS best FROM em WHERE done) WHERE total >= best - 1e-9 * (1 + abs(best)) QUALIFY row_number() OVER (PARTITION BY ticker, period, win ORDER BY st) = 1""",
+    "ekop": """SELECT date, ticker, period, pin, CASE WHEN good >= bad AND good >= 0 THEN 1 WHEN bad >= 0 THEN -1 ELSE 0 END AS event_label FROM (SELECT date, ticker, period, alpha * mu / (alpha * mu + 2 * eps) AS pin,
+ ln(alpha * (1 - delta) / (1 - alpha)) + b * ln(1 + mu / eps) - mu AS good, ln(alpha * delta / (1 - alpha)) + s * ln(1 + mu / eps) - mu AS bad FROM emdays JOIN emfit USING (ticker, period, win))""",
+}
+
+
 def _regimes() -> str:
     from alphaloom.operators.regime import REGIME_WEIGHTS
 
     return ", ".join(f"({s}, '{f}', {w})" for s in range(4) for f, w in REGIME_WEIGHTS[min(s, 2)].items())
 
 
+def _starts() -> str:
+    from alphaloom.operators.micro import STARTS
+
+    return ", ".join(f"({i}, {float(a)}::DOUBLE, {float(d)}::DOUBLE, {float(share)}::DOUBLE)" for i, (a, d, share) in enumerate(STARTS))
+
+
 CTES["regw"] = CTES["regw"].replace("REGIMES", _regimes())
+CTES["em"] = CTES["em"].replace("STARTS", _starts())
 
 
 @cache
 def needs(text: str) -> tuple[str, ...]:
     """Names of the shared expressions that ``text`` reads, in an order that defines before use."""
     used = {x for x in re.findall(r"(?:FROM|JOIN|UNPIVOT)\s+(\w+)", text) if x in CTES}
-    return tuple(n for n in CTES if n in used.union(*(needs(CTES[x]) for x in used)))
+    return tuple(n for n in CTES if n in used.union(*(needs(CTES[x].replace("FROM em JOIN", "FROM prior JOIN")) for x in used)))  # em reads itself
 
 
 def sql(columns: str, body: str) -> str:
@@ -160,5 +185,5 @@ def sql(columns: str, body: str) -> str:
         return f"round({c[1:]}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else f"CAST({c[1:]} AS BIGINT) AS {c[1:]}" if c[0] == "#" else c
 
     names = needs(body)
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" if names else ""
+    head = ("WITH RECURSIVE " if "em" in names else "WITH ") + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" if names else ""
     return f"{head}SELECT {', '.join(map(one, columns.split()))} {body}"
