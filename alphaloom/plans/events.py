@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import functions as F
 
 from alphaloom.functions.expr import by_ticker, forward_return, ratio
-from alphaloom.operators import align, factors, information, micro, ranking, stats, text
+from alphaloom.operators import align, factors, information, micro, ranking, stats, text, vectorindex
 from alphaloom.registry import query
-from alphaloom.session import staged
+from alphaloom.session import scratch_root, staged
 from alphaloom.sources import tables
 from alphaloom.sql import corr, rank, sql
 
@@ -172,15 +173,29 @@ def s17(spark, sf_dir):
     return text.lexicon_scores(tables.read(spark, sf_dir, "documents"), "text").select("doc_id", "positive", "negative", "neutral", "compound")
 
 
-@query("s19_similar_vectors", sql("#query_id #vec_id pos", """FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS INT) AS pos FROM (SELECT q.label AS query_id, e.vec_id,
+_SIMILAR = sql("#query_id #vec_id pos", """FROM (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, vec_id) AS INT) AS pos FROM (SELECT q.label AS query_id, e.vec_id,
  round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / nullif(sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))), 0), 9) AS similarity
- FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) q)) WHERE pos <= 5"""))
+ FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) q)) WHERE pos <= 5""")
+
+
+@query("s19_similar_vectors", _SIMILAR)
 def s19(spark, sf_dir):
     v = tables.read(spark, sf_dir, "embeddings")
     q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").cast("long").alias("query_id"), "q")
     return text.cosine_top_k(v, q, 5).select("query_id", "vec_id", "pos")
 
 
+@query("s19_index_search", _SIMILAR)
+def s19_index(spark, sf_dir):
+    """The same through the persisted index: built from most vectors, the rest upserted, lists cut by their bounds."""
+    v = tables.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path, late = f"{scratch_root(spark)}/index-{uuid.uuid4().hex}", F.col("vec_id") % 10 == 7
+    vectorindex.build(v.filter(~late), path)
+    vectorindex.upsert(v.filter(late), path)
+    q = tables.read(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").cast("long").alias("query_id"), "q")
+    return vectorindex.search(spark, path, q, 5)[0].select("query_id", "vec_id", "pos")
+
+
 @query("r16_ekop_factor", sql("date ticker period ~pin event_label", "FROM ekop"))
 def r16(spark, sf_dir):
     return micro.ekop_factor(factors.buy_sell_volume(tables.bars(spark, sf_dir)), "both")
