@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.operators import align, backtest, factors, ic, regime
-from alphaloom.plans import panel
+from alphaloom.plans import model, panel
 from alphaloom.registry import query
-from alphaloom.session import staged, written_out
+from alphaloom.session import scratch_root, staged, written_out
 from alphaloom.sources import tables
 from alphaloom.sql import FACTORS, FUNDAMENTAL, sql
 
@@ -153,3 +154,13 @@ def u02(spark, sf_dir):
  (SELECT fold, max(CASE WHEN variant = 'plain' THEN sharpe END) AS a, max(CASE WHEN variant = 'regime' THEN sharpe END) AS b FROM fperf WHERE sample = 'test' AND leg = 'ls' GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL)"""))
 def b05(spark, sf_dir):
     return compared(walk_forward(spark, sf_dir, "plain", "regime"), "plain", "regime")
+
+
+@query("b06_model_signals", sql("fold date ticker ~score", "FROM (SELECT z.fold, z.date, ticker, round(sum(s.weight * coalesce(value, 0)), 9) AS score FROM flong z JOIN fsel s ON s.fold = z.fold AND s.factor = z.factor AND s.weight <> 0 WHERE sample = 'test' GROUP BY 1, 2, 3)"))
+def b06(spark, sf_dir):
+    """Signals of a model that is fitted on every fold's training rows, saved, loaded and applied to its test rows."""
+    z = align.in_folds(staged(panel.z_panel(spark, sf_dir), "model-panel"), calendar(spark, sf_dir))
+    fwd = ic.forward_returns(tables.bars(spark, sf_dir), [21]).select("date", "ticker", F.col("ret_21d").alias("fwd"))
+    path = f"{scratch_root(spark)}/model-{uuid.uuid4().hex}"
+    model.SelectedFactors(ALL, fwd).fit(z.filter("sample = 'train'")).save(path)
+    return model.WeightedFactors.load(spark, path, ALL).transform(z.filter("sample = 'test'"))
