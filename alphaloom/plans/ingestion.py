@@ -36,7 +36,7 @@ def s01_feed(spark, sf_dir):
     path = _new(spark, "feed")
     tables.bars(spark, sf_dir).repartitionByRange("date").write.parquet(path)
     feed.register(spark, push=True)
-    return spark.read.format("bar_feed").option("path", path).load().filter(F.col("ticker").isin("Brand#11", "Brand#21", "Brand#33") & (F.col("date") >= F.lit("1996-01-01").cast("date")))
+    return spark.read.format("bar_feed").option("path", path).option("push", "true").load().filter(F.col("ticker").isin("Brand#11", "Brand#21", "Brand#33") & (F.col("date") >= F.lit("1996-01-01").cast("date")))
 
 
 @query("s23_feed_replay", sql("date ticker close volume", "FROM ohlcv"), exact=True)

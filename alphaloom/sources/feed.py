@@ -1,8 +1,8 @@
 """A data source of its own for bars: a batch reader with pushed filters and a feed that replays new dates as a stream.
 
 ``spark.read.format("bar_feed").option("path", folder)`` and ``spark.readStream.format("bar_feed")`` read Parquet files of bars. A
-partition is a file; options ``start``, ``end`` and ``tickers`` (comma-separated) and, where ``register`` allows it, pushed filters on dates
-and tickers skip files by their statistics and rows inside them. Spark 4.1 keeps the filters that a DataFrame's first query pushed, also for
+partition is a file; options ``start``, ``end`` and ``tickers`` (comma-separated) and, with the option ``push`` and a session that
+``register`` set up for it, filters on dates and tickers skip files by their statistics and rows inside them. Spark 4.1 keeps the filters that a DataFrame's first query pushed, also for
 its later queries without any: with pushed filters, load anew for every query. The stream's offset is the last
 date that was handed out: a batch holds the bars of all later dates that have arrived since, so a restart neither skips nor repeats one.
 A bar that arrives for a date already handed out is late and is not read. Bars without a date are never part of the stream.
@@ -66,15 +66,6 @@ class BarReader(DataSourceReader):
     def __init__(self, path: str, terms: list[tuple[str, str, Any]] | None = None):
         self.path, self.terms = path, list(terms or [])
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        names = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
-        for f in filters:
-            column = getattr(f, "attribute", ())
-            if type(f) in names and len(column) == 1 and column[0] in ("date", "ticker"):
-                self.terms.append((column[0], names[type(f)], list(f.value) if isinstance(f, In) else f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[BarFile]:
         out, days = [], [(op, v) for c, op, v in self.terms if c == "date" and op != "in"]
         for f in _files(self.path):
@@ -88,6 +79,19 @@ class BarReader(DataSourceReader):
         return read_file(partition)
 
 
+class PushingBarReader(BarReader):
+    """Takes filters over as well."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        names = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", In: "in"}
+        for f in filters:
+            column = getattr(f, "attribute", ())
+            if type(f) in names and len(column) == 1 and column[0] in ("date", "ticker"):
+                self.terms.append((column[0], names[type(f)], list(f.value) if isinstance(f, In) else f.value))
+            else:
+                yield f
+
+
 class BarStream(DataSourceStreamReader):
     def __init__(self, path: str):
         self.path = path
@@ -126,14 +130,15 @@ class BarFeed(DataSource):
                 terms.append(("date", op, dt.date.fromisoformat(given[name])))
         if "tickers" in given:
             terms.append(("ticker", "in", given["tickers"].split(",")))
-        return BarReader(given["path"], terms)
+        kind = PushingBarReader if given.get("push") == "true" else BarReader
+        return kind(given["path"], terms)
 
     def streamReader(self, schema) -> BarStream:
         return BarStream(self.options["path"])
 
 
 def register(spark: SparkSession, push: bool = False) -> None:
-    """Make ``bar_feed`` known to the session; ``push``: the session's Python sources get filters, with the caution above."""
+    """Make ``bar_feed`` known to the session; ``push``: its Python sources may get filters."""
     spark.dataSource.register(BarFeed)
     if push:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -26,7 +26,7 @@ def test_feed_pushes_filters_and_skips_files(spark, tmp_path):
     path = str(tmp_path / "bars")
     for part in (range(0, 10), range(10, 20), range(20, 30)):
         some_bars(spark, part).coalesce(1).write.mode("append").parquet(path)
-    reader = feed.BarReader(path)
+    reader = feed.PushingBarReader(path)
     cut = dt.date(2024, 1, 21)
     left = list(reader.pushFilters([feed.EqualTo(("ticker",), "A"), feed.GreaterThanOrEqual(("date",), cut), feed.EqualTo(("close",), 3.0)]))
     assert [type(f) for f in left] == [feed.EqualTo] and left[0].attribute == ("close",)  # Spark filters what the reader does not
@@ -34,11 +34,11 @@ def test_feed_pushes_filters_and_skips_files(spark, tmp_path):
     assert len(parts) == 1  # of three files
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 10
     feed.register(spark, push=True)
-    d = lambda: spark.read.format("bar_feed").option("path", path)
+    d = lambda push="true": spark.read.format("bar_feed").option("path", path).option("push", push)
     assert d().load().filter((F.col("ticker") == "A") & (F.col("date") >= F.lit(cut)) & (F.col("close") > 25)).count() == 4
     assert d().load().count() == 60 and d().load().filter(F.col("ticker").isin("B", "C")).count() == 30
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
-    some = d().option("start", "2024-01-09").option("end", "2024-01-12").option("tickers", "A,C").load()
+    some = d("false").option("start", "2024-01-09").option("end", "2024-01-12").option("tickers", "A,C").load()
     assert some.count() == 4 and some.filter("close > 9").count() == 2 and some.count() == 4
 
 
