@@ -2,10 +2,12 @@
 
 A page becomes a flat list of text blocks. Each block has its word count and link density, those of its neighbours, whether
 it is a heading or a paragraph, and whether it lies inside the container that holds most of the page's running text. That
-container is found from words and links alone: from the page down, the child with four fifths of the unlinked words, as long as it
+container is found from words and links: from the page down, the child with four fifths of the unlinked words, as long as it
 has several blocks; ``article`` and ``main`` end the way down. Elements that are no article by their meaning (menus, footers, forms) and class
 names are two further features; both count only between the block and that container, so a name on or around the article
-says nothing about its blocks. A small CART tree, trained on the labelled table below, keeps or drops each block. Kept blocks are joined in
+says nothing about its blocks. A named container is judged as a whole: one that holds four fifths of the main container's words and leaves no
+running text beside it is the article itself, whatever its name; any other, such as a sidebar or a list of comments, lends its name to all of its blocks, long ones too, and
+does not compete for the main container with a sibling of running text. A small CART tree, trained on the labelled table below, keeps or drops each block. Kept blocks are joined in
 page order by line feeds.
 
 Defined results: null or empty pages give an empty text; broken markup is read as browsers do (unclosed tags stay open, a
@@ -42,6 +44,8 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Share of the unlinked words below an element that one child must hold for the way to the main container to go on; the
 #: second holds for an article or main element.
 MOST, HALF = 0.8, 0.5
+#: Unlinked words that make an element without a name running text.
+RUNNING = 25
 
 #: Labelled blocks. Columns: inside, element, name, kind (2 heading, 1 paragraph, 0 other), words, link density, words before,
 #: link density before, words after, link density after, content.
@@ -90,10 +94,12 @@ LABELLED = """
 1  0 -1 0  15 0.40  12 0.50  10 0.60 0
 1  0 -1 0   2 0.50   0 0.00   3 1.00 0
 1  0 -1 1  55 0.00  40 0.00  20 0.00 0
-1  0 -1 1 110 0.00  90 0.00 120 0.00 1
-1  0 -1 1 150 0.05  70 0.00  80 0.10 1
-1  0 -1 0 200 0.00  75 0.00  90 0.00 1
-1  0 -1 1  95 0.00  85 0.00   8 0.00 1
+1  0 -1 1 110 0.00  90 0.00 120 0.00 0
+1  0 -1 1 150 0.05  70 0.00  80 0.10 0
+1  0 -1 0 200 0.00  75 0.00  90 0.00 0
+0  0 -1 1  95 0.00  85 0.00   8 0.00 0
+0  0 -1 1 140 0.00 120 0.00 130 0.00 0
+0 -1  0 1 120 0.00  90 0.00  80 0.00 0
 0  0  0 1  60 0.00  50 0.00  45 0.00 1
 0  0  0 1  80 0.05   8 0.00  40 0.00 1
 0  0  0 1 120 0.10  30 0.00   5 1.00 1
@@ -141,12 +147,12 @@ LABELLED = """
 class Element:
     """An open or closed element: its parent and what it says of its text."""
 
-    __slots__ = ("tag", "parent", "element", "name", "hidden", "blocks", "weight", "children", "told")
+    __slots__ = ("tag", "parent", "element", "name", "hidden", "blocks", "weight", "plain", "children", "told")
 
     def __init__(self, tag: str, parent: Element | None, attrs: dict):
         self.tag, self.parent = tag, parent
         self.children: list[Element] = []
-        self.blocks, self.weight = 0, 0.0
+        self.blocks, self.weight, self.plain = 0, 0.0, 0
         role = (attrs.get("role") or "").strip().lower()
         self.told = tag in ("article", "main", "section") or bool(parent and parent.told)
         self.element = ROLES.get(role, -1 if tag in BOILER or (tag == "header" and not self.told) else 0)
@@ -178,6 +184,7 @@ class Page(HTMLParser):
             at = self.open[-1]
             while at:
                 at.blocks += 1
+                at.plain += len(words) - linked
                 at.weight += (len(words) - linked) * (1 if at.element == 0 else 0.25)
                 at = at.parent
         self.parts = []
@@ -235,8 +242,12 @@ def blocks(html: str) -> tuple[list[tuple[Element, str, int, int]], Element]:
     page.flush()
     at = page.root
     while at.tag not in ("article", "main"):
-        next_ = max(at.children, key=lambda x: x.weight, default=None)
-        if next_ is None or next_.tag in LEAVES or next_.element or next_.blocks < 2 or next_.weight < (HALF if next_.tag in ("article", "main") else MOST) * at.weight:
+        ways = at.children
+        if any(not x.name and not x.element and x.plain >= RUNNING for x in ways):
+            ways = [x for x in ways if not x.name]
+        next_ = max(ways, key=lambda x: x.weight, default=None)
+        total = at.weight - sum(x.weight for x in at.children) + sum(x.weight for x in ways)
+        if next_ is None or next_.tag in LEAVES or next_.element or next_.blocks < 2 or next_.weight < (HALF if next_.tag in ("article", "main") else MOST) * total:
             break
         at = next_
     return page.blocks, at
@@ -246,16 +257,25 @@ def features(found: list[tuple[Element, str, int, int]], main: Element) -> np.nd
     """The columns of the labelled table for each block."""
     own = np.array([(words, links / words) for _, _, words, links in found], float).reshape(-1, 2)
     around = np.vstack([np.zeros(2), own, np.zeros(2)])
-    where = []
+    where, above, up = [], set(), main
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
     for at, *_ in found:
         element = name = kind = 0
+        chain = []
         while at is not None and at is not main:
-            element, name = min(element, at.element), min(name, at.name)
-            if kind == 0 and at.tag in HEADINGS:
+            chain.append(at)
+            at = at.parent
+        for x in chain:
+            element = min(element, x.element)
+            # a container around the main one, or beside which it has no running text, is no part beside the article
+            if id(x) not in above and not (at is main and x.plain >= MOST * main.plain and main.plain - x.plain < RUNNING):
+                name = min(name, x.name)
+            if kind == 0 and x.tag in HEADINGS:
                 kind = 2
-            elif kind == 0 and at.tag == "p":
+            elif kind == 0 and x.tag == "p":
                 kind = 1
-            at = at.parent
         where.append((at is main, element, name, kind))
     return np.column_stack([np.array(where, float).reshape(-1, 4), own, around[:-2], around[2:]])
 

@@ -120,6 +120,25 @@ def test_article_without_its_surroundings(spark):
 LONG = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco"
 
 
+LONGER = " ".join([LONG] * 5)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><h1>T</h1><p>{L}</p><p>{L}</p><div class='comments'><p>{C}</p><p>{C}</p></div></article>", "T\n{L}\n{L}"),
+    ("<div class=page><div id=content><h1>T</h1><p>{L}</p><p>{L}</p></div><section id='comments'><p>{C}</p><p>{C}</p><p>{C}</p></section></div>", "T\n{L}\n{L}"),
+    ("<div><h2>T</h2><p>{L}</p><div class='advertisement'><p>{C}</p></div><p>{L}</p><p>{L}</p></div>", "T\n{L}\n{L}\n{L}"),
+    ("<div class=wrap><div id='content'><p>{L}</p><p>{L}</p></div><div class='sidebar'><p>{C}</p></div></div>", "{L}\n{L}"),
+    ("<div class='page-with-sidebar'><div class='text'><p>{L}</p><p>{L}</p><p>Short one</p></div></div>", "{L}\n{L}\nShort one"),
+    ("<div><div class='sponsored'><p>{C}</p></div><div><h1>T</h1><div>{L}</div><div>{L}</div></div><div class='cookie-notice'><p>{C}</p><button>OK</button></div></div>", "T\n{L}\n{L}"),
+    ("<main><h1>T</h1><p>{L}</p><p>{L}</p><ol class='comment-list'><li><p>{C}</p></li><li><p>{C}</p></li></ol></main>", "T\n{L}\n{L}"),
+    ("<table><tr><td class='nav-menu'><p>{C}</p></td><td><h1>T</h1><p>{L}</p><p>{L}</p></td></tr></table>", "T\n{L}\n{L}"),
+    ("<div id='post'><h1>T</h1><p>{L}</p><p>{L}</p></div><div id='disqus'><div><p>{C}</p></div><div><p>{C}</p></div></div>", "T\n{L}\n{L}"),
+    ("<div class='header-banner main-wrap'><h1>T</h1><p>{L}</p><p>{L}</p><div class='related'><p>{L}</p></div></div>", "T\n{L}\n{L}"),
+])
+def test_long_parts_beside_the_article(page, want):
+    assert html.main_text("<html><body>" + page.format(L=LONG, C=LONGER) + "</body></html>") == want.format(L=LONG)
+
+
 @pytest.mark.parametrize(("page", "want"), [
     ("<nav><a href=/>Home</a><a>News</a></nav><article><h1>Title here</h1><p>{L}</p><p class='advert'>Buy our new shoes now for less</p><p>{L}</p><p>Short one.</p></article>", "Title here\n{L}\n{L}\nShort one."),
     ("<main><h1>Title</h1><p>{L}</p><p>{L}</p><p>{L}</p><article class='comment'><p>I liked this text a lot thanks</p></article><div role=article class=comment><p>Me too it was good to read</p></div></main>", "Title\n{L}\n{L}\n{L}"),
