@@ -38,8 +38,9 @@ def asof_forward(events: DataFrame, days: DataFrame, by: str, at: str, out: str)
 
 def bounded_fill(values: DataFrame, days: DataFrame, limit: int, cols: list[str], lag: int = 1) -> DataFrame:
     """Forward fill over the grid (trading days and value dates) x tickers by ``limit`` rows at most, then trading days, lagged."""
-    all_days = days.select("date").union(values.select("date")).distinct()
-    grid = all_days.withColumn("_j", F.lit(1)).join(values.select("ticker").distinct().withColumn("_j", F.lit(1)), "_j").drop("_j")
+    # one row with the calendar, which the days of the data's years bound
+    calendar = days.select("date").union(values.select("date")).agg(F.collect_set("date").alias("_days"))
+    grid = values.select("ticker").distinct().crossJoin(F.broadcast(calendar)).select(F.explode("_days").alias("date"), "ticker")
     w = Window.partitionBy("ticker").orderBy("date")
     full = grid.join(values, ["date", "ticker"], "left")
     full = full.withColumns({c: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0)) for c in cols})

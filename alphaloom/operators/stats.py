@@ -76,9 +76,15 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     for v, r in ((x, "rx"), (y, "ry")):
         ranks = pooled_ranks(d.groupBy(*keys, v).agg(F.sum("c").alias("t")), v, *keys)
         d = d.join(ranks.select(*keys, v, F.col("r").alias(r)), [*keys, v])
-    # ranks of pairs that stand c times, once for each
-    d = d.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("c"))))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("spearman"), correlation(F.col(x), F.col(y)).alias("pearson"))
+    # a pair stands for c rows: weighted moments around the means
+    c, by = F.col("c").cast("double"), list(keys)
+    mean = lambda v: (F.sum(c * F.col(v)) / F.sum(c)).alias(f"_m_{v}")
+    means = d.groupBy(*by).agg(F.sum("c").alias("n"), *(mean(v) for v in ("rx", "ry", x, y)))
+    d = d.join(means, by) if by else d.crossJoin(F.broadcast(means))  # one row
+    off = lambda v: F.col(v) - F.col(f"_m_{v}")
+    both = lambda a, b: F.sum(c * off(a) * off(b))
+    r = lambda a, b: ratio(both(a, b), F.sqrt(both(a, a)) * F.sqrt(both(b, b)))
+    return d.groupBy(*by).agg(F.max("n").alias("n"), r("rx", "ry").alias("spearman"), r(x, y).alias("pearson"))
 
 
 def line_fit(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:

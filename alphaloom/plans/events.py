@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import functions as F
 
@@ -17,8 +18,29 @@ HORIZONS = (1, 3, 5, 10, 20)
 FIXED = (0.4, 0.4, 10.0, 20.0)  # alpha, delta, mu, eps
 
 
+#: Where the studies below take their labels from; None: the fixed parameters.
+_LABELS: ContextVar = ContextVar("labels", default=None)
+
+
+def fitted(study_):
+    """The query ``study_`` on labels of yearly fits instead of fixed parameters."""
+
+    def run(spark, sf_dir):
+        flow = factors.buy_sell_volume(tables.bars(spark, sf_dir))
+        fit = micro.ekop_factor(flow, "annual").select("date", "ticker", F.col("event_label").alias("label"))
+        mark = _LABELS.set(staged(flow.join(fit, ["date", "ticker"]), "fitted-labels"))
+        try:
+            return study_(spark, sf_dir)
+        finally:
+            _LABELS.reset(mark)
+
+    return run
+
+
 def labelled(spark, sf_dir):
-    """(date, ticker, label, close): labels at fixed parameters."""
+    """(date, ticker, label, close): labels at fixed parameters, or those that ``fitted`` has set."""
+    if _LABELS.get() is not None:
+        return _LABELS.get()
     d = factors.buy_sell_volume(tables.bars(spark, sf_dir))
     return d.withColumn("label", micro.event_label(F.col("buys"), F.col("sells"), *map(F.lit, FIXED)))
 

@@ -9,9 +9,9 @@ from alphaloom.functions.expr import by_ticker, correlation, forward_return, mea
 from alphaloom.functions.special import chi2_pvalue, normal_cdf, t_pvalue
 from alphaloom.operators import factors, ic, information, micro, ranking, stats, text
 from alphaloom.plans import events, panel
-from alphaloom.registry import query
+from alphaloom.registry import ORACLE_SQL, QUERIES, query
 from alphaloom.sources import tables
-from alphaloom.sql import FACTORS, FUNDAMENTAL, W, corr, rank, sql, z
+from alphaloom.sql import FACTORS, FUNDAMENTAL, W, corr, on_fitted_labels, rank, sql, z
 
 ALL = FACTORS + FUNDAMENTAL
 PAIRS = ((1, -1, "good_bad"), (1, 0, "good_none"), (0, -1, "none_bad"))
@@ -203,7 +203,9 @@ def p_values(spark, sf_dir):
     kw = stats.kruskal(s, "ret", "label").withColumnRenamed("k", "groups").select(F.lit("kruskal"), "h", chi2_pvalue("h", (F.col("groups") - 1).cast("double")), "eta2")
     mw = stats.mann_whitney(s, "ret", "label", 1, -1).select(F.lit("mann_whitney"), "u", (2 * (1 - normal_cdf(F.abs("z")))), (F.abs("z") / F.sqrt(F.col("na") + F.col("nb"))))
     sp = stats.spearman(s, "label", "ret").select(F.lit("spearman"), "spearman", t_pvalue(ratio(F.col("spearman") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("spearman") * F.col("spearman"))), (F.col("n") - 2).cast("double")), F.col("spearman"))
-    return welch.unionAll(one).unionAll(kw).unionAll(mw).unionAll(sp).withColumn("stars", stars(F.col("p")))
+    t = lambda r: ratio(r * F.sqrt(F.col("n") - 2), F.sqrt(1 - r * r))
+    line = stats.line_fit(s.withColumn("label", F.col("label").cast("double")), "label", "ret").select(F.lit("line_fit"), "slope", t_pvalue(t(F.col("r")), (F.col("n") - 2).cast("double")), F.col("r"))
+    return welch.unionAll(one).unionAll(kw).unionAll(mw).unionAll(sp).unionAll(line).withColumn("stars", stars(F.col("p")))
 
 
 def stars(p):
@@ -363,3 +365,9 @@ def x02(spark, sf_dir):
     first = s.groupBy(F.trunc("date", "MM").alias("ym")).agg(F.min("date").alias("date")).select("date")
     top = ranking.top_n(s.join(F.broadcast(first), "date", "left_semi"), 5, "score", "date")  # a row for each month
     return top.select("date", "ticker", (1.0 / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
+
+
+# --- the event studies on fitted labels --------------------------------------------------------------------------------
+
+for _name in ("b07_event_study", "a10_label_returns", "a11_spread", "a12_label_counts", "a14_two_layer", "a15_sign_consistency", "a16_risk_adjusted", "a21_event_paths", "w15_streaks", "r07_kruskal", "r08_mann_whitney", "r09_welch"):
+    query(f"{_name}_fitted", on_fitted_labels(ORACLE_SQL[_name]), exact=True)(events.fitted(QUERIES[_name]))

@@ -187,3 +187,11 @@ def sql(columns: str, body: str) -> str:
     names = needs(body)
     head = ("WITH RECURSIVE " if "em" in names else "WITH ") + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" if names else ""
     return f"{head}SELECT {', '.join(map(one, columns.split()))} {body}"
+
+
+def on_fitted_labels(text: str) -> str:
+    """A composed query with ``lab`` taken from the yearly fits."""
+    fits = ",\n".join(f"{n} AS ({CTES[n]})" for n in ("emdays", "emkeys", "em", "emfit", "ekop"))
+    text = text.replace(f"lab0 AS ({CTES['lab0']})", fits, 1)
+    text = text.replace(f"lab AS ({CTES['lab']})", "lab AS (SELECT f.*, event_label AS label FROM flow f JOIN (SELECT date, ticker, event_label FROM ekop WHERE period = 'annual') USING (date, ticker))", 1)
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
