@@ -5,7 +5,7 @@ within their bucket), a Feistel network over Z_a x Z_b permutes the numbers, and
 result is a row number again. ``shard = p mod shards`` and ``slot = p div shards`` then follow from the permuted
 number alone: shard sizes differ by one row at most and slots have no gaps (law ``rows``).
 
-Defined results: null ids sort first, a null text has size 1 and the checksum of the empty text, an empty table gives
+Defined results: ids keep their type; null ids sort first, a null text has size 1 and the checksum of the empty text, an empty table gives
 no rows; repeated rows get numbers of their own. Only id, size and checksum are shuffled, never the texts.
 """
 
@@ -84,7 +84,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """Return doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of ``docs``."""
     text = F.col("text").cast("string")
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )

@@ -52,6 +52,12 @@ def test_every_operator_takes_odd_rows(spark):
     assert quality.score(d, None).filter("score = 0.5").count() == 8
 
 
+def test_sharding_keeps_the_type_of_ids(spark):
+    d = spark.createDataFrame([("a-1", "x"), ("b", None), (None, "x"), ("a-1", "x")], "doc_id string, text string")
+    out = sharding.shard(d, 2).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["None", "a-1", "a-1", "b"] and sorted((r["shard"], r["slot"]) for r in out) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
 def test_every_operator_takes_an_empty_table(spark):
     d = docs(spark, ["x"]).limit(0)
     assert langid.train(d) is None and langid.identify(d, None).count() == 0
