@@ -94,11 +94,6 @@ def normal_cdf(x: pd.Series) -> pd.Series:
     return _mapped(_NORMAL.cdf)(x)
 
 
-@F.pandas_udf(DoubleType())
-def normal_ppf(p: pd.Series) -> pd.Series:
-    return _mapped(lambda v: _NORMAL.inv_cdf(min(max(v, 1e-16), 1 - 1e-16)))(p)
-
-
 @F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic."""

@@ -40,6 +40,36 @@ def fundamental_ratios(statements: DataFrame) -> DataFrame:
     )
 
 
+#: Names of statement items, the first that a ticker reports counts; fixed values.
+STATEMENT_LABELS = {
+    "net_income": ("Net Income", "NetIncome"),
+    "equity": ("Stockholders Equity", "Total Stockholder Equity", "Common Stock Equity", "Total Equity Gross Minority Interest"),
+    "assets": ("Total Assets",),
+    "shares": ("Ordinary Shares Number", "Share Issued"),
+    "reported_eps": ("Basic EPS", "Diluted EPS"),
+}
+
+
+def statement_ratios(facts: DataFrame) -> DataFrame:
+    """(ticker, known, eps, bvps, roe, roa) from statement lines (ticker, fiscal_date, label, value).
+
+    Of the names of an item the first one with any value counts for all dates of a ticker. A ticker that reports earnings per share has these
+    and no others; else net income is divided by shares. A ratio needs both parts on one fiscal date; missing values and NaN are no values.
+    """
+    names = [(item, label, i) for item, labels in STATEMENT_LABELS.items() for i, label in enumerate(labels)]
+    d = facts.filter(F.col("value").isNotNull() & ~F.isnan("value")).join(F.broadcast(facts.sparkSession.createDataFrame(names, "item string, label string, place int")), "label")  # eleven names
+    first = d.groupBy("ticker", "item").agg(F.min("place").alias("place"))
+    d = d.join(first, ["ticker", "item", "place"])
+    wide = d.groupBy("ticker", "fiscal_date").pivot("item", list(STATEMENT_LABELS)).agg(F.max("value"))
+    reports = first.filter("item = 'reported_eps'").select("ticker", F.lit(True).alias("_reports"))
+    c = F.col
+    out = wide.join(reports, "ticker", "left").select(
+        "ticker", F.date_add("fiscal_date", FILING_LAG_DAYS).alias("known"), F.when(c("_reports"), c("reported_eps")).otherwise(ratio(c("net_income"), c("shares"))).alias("eps"),
+        ratio(c("equity"), c("shares")).alias("bvps"), ratio(c("net_income"), c("equity")).alias("roe"), ratio(c("net_income"), c("assets")).alias("roa"),
+    )
+    return out.filter("eps IS NOT NULL OR bvps IS NOT NULL OR roe IS NOT NULL OR roa IS NOT NULL")
+
+
 def fundamental(panel: DataFrame, facts: DataFrame) -> DataFrame:
     """``panel`` with pe_ratio, pb_ratio, roe, roa as known on each date; a loss has no PE."""
     p = asof_backward(panel, facts, "ticker", "date", "known", ["eps", "bvps", "roe", "roa"])

@@ -221,10 +221,26 @@ def vdj_parameters(counts: DataFrame, window: Column, least_days: int = 15, leas
 
 
 def vdj_factor(flow: DataFrame, period: str = "annual", least_mean: float = 1.0) -> DataFrame:
-    """(date, ticker, pin): the second model's PIN of each ticker and window of ``flow`` (date, ticker, dbuys, dsells), on its days."""
-    window = F.date_format("date", "yyyy" if period == "annual" else "yyyy-MM")
-    p = vdj_parameters(flow.withColumnRenamed("ticker", "symbol"), window, LEAST_DAYS, least_mean)
-    return flow.withColumn("window", window).join(p.select(F.col("symbol").alias("ticker"), "window", "pin"), ["ticker", "window"]).select("date", "ticker", "pin")
+    """(date, ticker, period, pin, event_label) of the second model on the days of ``flow`` (date, ticker, dbuys, dsells).
+
+    ``period``: annual, monthly or both. Days are labelled by the largest posterior in logs under their window's fit, ties good, bad, none.
+    """
+    kinds = {"annual": F.date_format("date", "yyyy"), "monthly": F.date_format("date", "yyyy-MM")}
+    schema = "date date, ticker string, period string, pin double, event_label int"
+    out = None
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        none, good, bad = _vdj_parts(pdf["dbuys"].to_numpy(float), pdf["dsells"].to_numpy(float), r["alpha"], r["delta"], r["eps"], r["mu"], r["psi"])
+        pdf["event_label"] = np.where((good >= bad) & (good >= none), 1, np.where(bad >= none, -1, 0)).astype("int32")
+        return pdf[["date", "ticker", "period", "pin", "event_label"]]
+
+    for kind in kinds if period == "both" else [period]:
+        p = vdj_parameters(flow.withColumnRenamed("ticker", "symbol"), kinds[kind], LEAST_DAYS, least_mean).withColumnRenamed("symbol", "ticker").drop("converged", "good", "bad", "none_", "pin_empirical", "nll")
+        d = flow.dropna(subset=["dbuys", "dsells"]).withColumn("window", kinds[kind]).join(p, ["ticker", "window"]).withColumn("period", F.lit(kind))
+        d = d.groupBy("ticker", "window").applyInPandas(label, schema)  # a window's days, a year at most
+        out = d if out is None else out.unionAll(d)
+    return out
 
 
 def qualified(counts: DataFrame, least_days: int = 15, least_mean: float = 50.0, least_months: int = 24) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alphaloom.operators import information
+from alphaloom.session import staged
+
 
 def top_n(df: DataFrame, n: int, by: str, *keys: str, tie: str = "ticker", bottom: bool = False) -> DataFrame:
     """The n largest (or smallest) rows per key; missing values last, ties by ``tie``."""
@@ -55,13 +58,24 @@ def pooled_ranks(counts: DataFrame, value: str, *keys: str, blocks: int = 64) ->
 
 
 def smoothed(df: DataFrame, x: str, y: str, window: int | None, step: int, *ties: str) -> DataFrame:
-    """Means of y over windows of rows in the order of x, every ``step`` rows; a window of None is a 15th of the rows, at least 30."""
-    order = Window.partitionBy(F.lit(0)).orderBy(x, *ties)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select("*", F.row_number().over(order).alias("row_no"))
-    window = window or max(30, d.count() // 15)
-    frame = order.rowsBetween(0, window - 1)
-    d = d.select("row_no", F.avg(x).over(frame).alias("x"), F.avg(y).over(frame).alias("y"), F.count("*").over(frame).alias("n"))
-    return d.filter((F.col("n") == window) & ((F.col("row_no") - 1) % step == 0)).drop("n")
+    """Means of y over windows of rows in the order of x, every ``step`` rows; a window of None is a 15th of the rows, at least 30.
+
+    Running sums over blocks of the order: a window's mean is the difference of two of them, so no task sorts all rows.
+    """
+    d = staged(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"), *(c for c in ties if c not in (x, y))), "smoother-rows")
+    rows, order = d.count(), ["_x", *(c for c in ties if c not in (x, y))]
+    window = window or max(30, rows // 15)
+    d = information.ordered(d, [], order, "smoother", information.BLOCK, rows)
+    parts = {"no": F.lit(1), "sx": F.col("_x").cast("double"), "sy": F.col("_y").cast("double")}
+    upto = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    sums = d.groupBy("_block").agg(*(F.sum(v).alias(c) for c, v in parts.items())).select("_block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}0") for c in parts))
+    d = d.select("_block", *(F.sum(v).over(upto).alias(c) for c, v in parts.items())).join(sums, "_block")
+    d = staged(d.select(*((F.col(c) + F.col(f"_{c}0")).alias(c) for c in parts)), "smoother-sums")
+    at = lambda shift, name: d.select((F.col("no") + shift).alias("row_no"), F.col("sx").alias(f"{name}x"), F.col("sy").alias(f"{name}y"))
+    out = at(1 - window, "h").filter((F.col("row_no") >= 1) & ((F.col("row_no") - 1) % step == 0)).join(at(1, "l"), "row_no", "left")
+    mean = lambda c: ((F.col(f"h{c}") - F.coalesce(f"l{c}", F.lit(0.0))) / window).alias(c)
+    return out.select("row_no", mean("x"), mean("y"))
 
 
 def sentiment_bucket(x: Column) -> Column:

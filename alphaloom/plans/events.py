@@ -149,6 +149,29 @@ def r08(spark, sf_dir):
     return stats.mann_whitney(study(spark, sf_dir).filter("horizon = 5"), "ret", "label", 1, -1)
 
 
+_PAIRS = (("good_bad", 1, -1), ("good_none", 1, 0), ("bad_none", -1, 0))
+
+
+def _mw_pair(name: str, a: int, b: int) -> str:
+    rows = _MW.replace("label IN (1, -1)", f"label IN ({a}, {b})")
+    return f"""SELECT pair, na, nb, u, z, diff, abs(z) / sqrt(na + nb) AS r FROM (SELECT '{name}' AS pair, na, nb, u, diff, (abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1)))) * sign(u - na * nb / 2) AS z FROM
+ (SELECT na, nb, ties, diff, ra - na * (na + 1) / 2 AS u FROM (SELECT CAST(count(*) FILTER (label = {a}) AS DOUBLE) AS na, CAST(count(*) FILTER (label = {b}) AS DOUBLE) AS nb, sum(r) FILTER (label = {a}) AS ra, sum(t * t - 1) AS ties FROM {rows}),
+ (SELECT avg(ret) FILTER (label = {a}) - avg(ret) FILTER (label = {b}) AS diff FROM evl WHERE horizon = 5)))"""
+
+
+@query("r08_label_pairs", sql("pair #na #nb ~u ~z ~diff ~r", "FROM (" + " UNION ALL ".join(_mw_pair(*p) for p in _PAIRS) + ")"))
+def r08_pairs(spark, sf_dir):
+    """Rank tests of all three pairs of labels at five days, with the difference of means and the effect size."""
+    s, out = study(spark, sf_dir).filter("horizon = 5"), None
+    s = staged(s, "pair-rows")
+    for name, a, b in _PAIRS:
+        means = s.agg((F.avg(F.when(F.col("label") == a, F.col("ret"))) - F.avg(F.when(F.col("label") == b, F.col("ret")))).alias("diff"))
+        one = stats.mann_whitney(s, "ret", "label", a, b).crossJoin(F.broadcast(means))  # one row each
+        one = one.select(F.lit(name).alias("pair"), "na", "nb", "u", "z", "diff", (F.abs("z") / F.sqrt(F.col("na") + F.col("nb"))).alias("r"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("r09_welch", sql("horizon #na #nb ~diff ~t_stat ~dof ~cohen_d", """FROM (SELECT horizon, na, nb, ma - mb AS diff, (ma - mb) / sqrt(va / na + vb / nb) AS t_stat, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS dof,
  (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS cohen_d FROM (SELECT horizon, count(*) FILTER (label = 1) AS na, count(*) FILTER (label = -1) AS nb, avg(ret) FILTER (label = 1) AS ma, avg(ret) FILTER (label = -1) AS mb,
  var_samp(ret) FILTER (label = 1) AS va, var_samp(ret) FILTER (label = -1) AS vb FROM evl GROUP BY 1))"""))

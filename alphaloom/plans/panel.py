@@ -52,6 +52,13 @@ def s03(spark, sf_dir):
     return factors.fundamental_ratios(tables.statements(spark, sf_dir))
 
 
+@query("s03_statement_labels", sql("ticker known ~eps ~bvps ~roe ~roa", """FROM (WITH f AS (SELECT *, CAST(substr(ticker, 7) AS INT) AS n, year(fiscal_date) % 2 = 1 AS odd FROM stm)
+ SELECT ticker, fiscal_date + 60 AS known, CASE WHEN n % 7 = 0 AND bool_or(odd AND ni IS NOT NULL) OVER (PARTITION BY ticker) THEN CASE WHEN odd THEN ni / 1000 END ELSE ni / nullif(shares, 0) END AS eps, equity / nullif(shares, 0) AS bvps, ni / nullif(equity, 0) AS roe, ni / nullif(assets, 0) AS roa FROM f)"""))
+def s03_labels(spark, sf_dir):
+    """Ratios from statement lines under the names that each ticker uses; reported earnings per share come first."""
+    return factors.statement_ratios(tables.statement_facts(spark, sf_dir))
+
+
 @query("s05_sentiment_daily", sql("ticker date doc_type ~compound", "FROM (SELECT ticker, date, doc_type, avg(compound) AS compound FROM sen GROUP BY 1, 2, 3)"))
 def s05(spark, sf_dir):
     return factors.sentiment_daily(tables.sentiment(spark, sf_dir))

@@ -10,8 +10,9 @@ from alphaloom.functions.special import chi2_pvalue, normal_cdf, t_pvalue
 from alphaloom.operators import factors, ic, information, micro, ranking, stats, text
 from alphaloom.plans import events, panel
 from alphaloom.registry import ORACLE_SQL, QUERIES, query
+from alphaloom.session import staged
 from alphaloom.sources import tables
-from alphaloom.sql import FACTORS, FUNDAMENTAL, W, corr, on_fitted_labels, rank, sql, z
+from alphaloom.sql import FACTORS, FUNDAMENTAL, W, corr, live_fit_sql, on_fitted_labels, rank, sql, z
 
 ALL = FACTORS + FUNDAMENTAL
 PAIRS = ((1, -1, "good_bad"), (1, 0, "good_none"), (0, -1, "none_bad"))
@@ -286,10 +287,16 @@ def a08_full(spark, sf_dir):
 
 @query("r21_vdj_factor")
 def r21(spark, sf_dir):
-    """PIN of the second model for each ticker and year of order lines."""
+    """PIN and day labels of the second model for each ticker and year of order lines."""
     return micro.vdj_factor(tables.line_counts(spark, sf_dir).withColumnRenamed("symbol", "ticker"), "annual")
 
 
+@query("r22_vdj_symbols")
+def r22(spark, sf_dir):
+    """The second model on the whole history of every symbol's trade counts."""
+    return micro.vdj_parameters(tables.trade_counts(spark, sf_dir), F.lit("all"), micro.LEAST_DAYS, 1.0)
+
+
 # --- filings by section ----------------------------------------------------------------------------------------------
 
 
@@ -354,6 +361,38 @@ def x03(spark, sf_dir):
     return live_scores(live_factors(tables.bars(spark, sf_dir)), {f: LIVE_WEIGHTS[f] for f in _LIVE_NAMES})
 
 
+def live_pin(bars: DataFrame, days: DataFrame, window: int = 60) -> DataFrame:
+    """(date, ticker, pin) on ``days`` (date): order-flow fits of each ticker's last ``window`` bars up to there.
+
+    NULL, as no row, where there are fewer bars or where buys or sells are below one a day on average.
+    """
+    span = F.col("high") - F.col("low")
+    share = F.least(F.greatest((F.col("close") - F.col("low")) / F.when(span > 0, span).otherwise(1e-10), F.lit(0.0)), F.lit(1.0))
+    flow = bars.select("ticker", "date", F.row_number().over(by_ticker()).alias("no"), (F.col("volume") * share).alias("buys"), (F.col("volume") * (1 - share)).alias("sells"))
+    flow = staged(flow, "live-flow")
+    asked = flow.join(F.broadcast(days), "date", "left_semi").filter(F.col("no") > window)  # a day a month
+    asked = asked.select("ticker", F.col("date").cast("string").alias("window"), F.explode(F.sequence(F.col("no") - window + 1, F.col("no"))).alias("no"))
+    d = staged(asked.join(flow, ["ticker", "no"]), "live-windows")
+    enough = d.groupBy("ticker", "window").agg(F.avg("buys").alias("b"), F.avg("sells").alias("s")).filter("b >= 1 AND s >= 1").select("ticker", "window")
+    fit = micro.ekop_parameters(d.join(enough, ["ticker", "window"], "left_semi"), F.col("window"))
+    return fit.select(F.col("window").cast("date").alias("date"), "ticker", "pin")
+
+
+_ALL_LIVE = f"""(SELECT l.*, p.pb_ratio, p.roe, p.roa, e.pin FROM {_LIVE} l JOIN firsts USING (date) LEFT JOIN full_panel p USING (date, ticker) LEFT JOIN livefit e USING (date, ticker) WHERE bars > 252)"""
+_FIRSTS = "firsts AS MATERIALIZED (SELECT min(date) AS date FROM ohlcv GROUP BY date_trunc('month', date))"
+_LIVE_DAYS = f"""SELECT n.ticker, 'live' AS period, CAST(n.date AS VARCHAR) AS win, f.date, f.b, f.s FROM lf n JOIN firsts USING (date) JOIN lf f ON f.ticker = n.ticker AND f.no > n.no - 60 AND f.no <= n.no WHERE n.no > 60"""
+_LF = f"""lf AS MATERIALIZED (SELECT *, volume * r AS b, volume * (1 - r) AS s FROM (SELECT *, row_number() OVER {W} AS no, least(greatest((close - low) / CASE WHEN high - low > 0 THEN high - low ELSE 1e-10 END, 0), 1) AS r FROM ohlcv))"""
+
+
+@query("x03_full_live_scores", live_fit_sql("date ticker ~score", "FROM (SELECT date, ticker, " + " + ".join(f"{w} * ({_live_z(f)})" for f, w in LIVE_WEIGHTS.items()) + f" AS score FROM {_ALL_LIVE})", [_FIRSTS, _LF], _LIVE_DAYS))
+def x03_full(spark, sf_dir):
+    """Live scores on the first day of every month by all weighted factors, fundamentals and the PIN of the last 60 bars included."""
+    bars = staged(tables.bars(spark, sf_dir), "live-bars")
+    firsts = bars.groupBy(F.trunc("date", "MM").alias("ym")).agg(F.min("date").alias("date")).select("date")
+    d = factors.fundamental(live_factors(bars), factors.fundamental_ratios(tables.statements(spark, sf_dir))).join(F.broadcast(firsts), "date", "left_semi")  # a row for each month
+    return live_scores(d.join(live_pin(bars, firsts), ["date", "ticker"], "left"), LIVE_WEIGHTS)
+
+
 _LS = "(SELECT date, ticker, " + " + ".join(f"{LIVE_WEIGHTS[f]} * ({_live_z(f)})" for f in _LIVE_NAMES) + f" AS score FROM (SELECT * FROM {_LIVE} WHERE bars > 252))"
 
 

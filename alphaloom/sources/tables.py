@@ -43,6 +43,20 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("ticker", F.make_date("y", F.lit(12), F.lit(31)).alias("fiscal_date"), "ni", "equity", "assets", shares.alias("shares"))
 
 
+def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, fiscal_date, label, value): the statements as lines whose names differ from ticker to ticker."""
+    n = F.substring("ticker", 7, 9).cast("int")
+    name = lambda test, a, b: F.when(test, a).otherwise(b)
+    line = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
+    c = F.col
+    lines = [
+        line(name(n % 2 == 1, "NetIncome", "Net Income"), c("ni")), line(name(n % 4 == 1, "Total Stockholder Equity", "Stockholders Equity"), c("equity")), line(F.lit("Total Assets"), c("assets")),
+        line(name(n % 5 == 0, "Share Issued", "Ordinary Shares Number"), c("shares")), line(name(n % 3 == 0, "Common Stock Equity", "Other"), c("equity") / 2),
+        line(name((n % 7 == 0) & (F.year("fiscal_date") % 2 == 1), "Diluted EPS", "Other"), c("ni") / 1000),
+    ]
+    return statements(spark, sf_dir).select("ticker", "fiscal_date", F.explode(F.array(*lines)).alias("x")).select("ticker", "fiscal_date", "x.*")
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, sector); two tickers have none."""
     n = F.substring("p_brand", 7, 9).cast("int")

@@ -195,3 +195,12 @@ def on_fitted_labels(text: str) -> str:
     text = text.replace(f"lab0 AS ({CTES['lab0']})", fits, 1)
     text = text.replace(f"lab AS ({CTES['lab']})", "lab AS (SELECT f.*, event_label AS label FROM flow f JOIN (SELECT date, ticker, event_label FROM ekop WHERE period = 'annual') USING (date, ticker))", 1)
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def live_fit_sql(columns: str, body: str, before: list[str], days: str) -> str:
+    """A query over ``livefit`` (date, ticker, pin): the fits of ``days``, which reads the expressions ``before``."""
+    fits = [f"emdays AS ({days})", f"emkeys AS ({CTES['emkeys']} AND avg(b) >= 1 AND avg(s) >= 1)", *(f"{n} AS ({CTES[n]})" for n in ("em", "emfit")),
+            "livefit AS (SELECT CAST(win AS DATE) AS date, ticker, alpha * mu / (alpha * mu + 2 * eps) AS pin FROM emfit)"]
+    text = sql(columns, body + " WHERE 1 = 1")
+    head, _, rest = text.rpartition("\nSELECT ")
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ",\n".join([*before, *fits]) + "\nSELECT " + rest.removesuffix(" WHERE 1 = 1")

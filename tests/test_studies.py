@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.functions import special
-from alphaloom.operators import information, text
+from alphaloom.operators import factors, information, micro, ranking, text
 from alphaloom.plans import studies
 from brute_information import one_group_label
 
@@ -51,3 +51,44 @@ def test_sections_of_a_filing(spark):
 def test_nonlinearity_has_a_floor(spark):
     r = spark.range(1).select(studies.nonlinearity(F.lit(0.1), F.lit(-0.5)).alias("a"), studies.nonlinearity(F.lit(0.1), F.lit(0.0)).alias("b")).first()
     assert r["a"] == pytest.approx(0.2) and r["b"] == pytest.approx(1e5)
+
+
+def test_statement_labels(spark):
+    import datetime as dt
+
+    d0, d1 = dt.date(2020, 12, 31), dt.date(2021, 12, 31)
+    rows = [
+        ("A", d0, "Net Income", 10.0), ("A", d1, "NetIncome", 99.0), ("A", d1, "Net Income", 20.0), ("A", d0, "Common Stock Equity", 50.0), ("A", d0, "Share Issued", 5.0), ("A", d1, "Share Issued", 0.0),
+        ("A", d0, "Total Assets", float("nan")), ("A", d1, "Total Assets", 100.0), ("A", d1, "Stockholders Equity", None),
+        ("B", d0, "NetIncome", 4.0), ("B", d0, "Ordinary Shares Number", 2.0), ("B", d1, "Diluted EPS", 7.0), ("B", d1, "Something else", 1.0),
+    ]
+    got = {(r["ticker"], r["known"]): (r["eps"], r["bvps"], r["roe"], r["roa"]) for r in factors.statement_ratios(spark.createDataFrame(rows, "ticker string, fiscal_date date, label string, value double")).collect()}
+    k0, k1 = d0 + dt.timedelta(60), d1 + dt.timedelta(60)
+    # a ticker that reports earnings per share has no others; equity by its second name, as the first has no value
+    assert got == {("A", k0): (2.0, 10.0, 0.2, None), ("A", k1): (None, None, None, 0.2), ("B", k1): (7.0, None, None, None)}
+
+
+def test_second_model_labels_days(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(59):
+        kind = (0, 0, 1, -1)[i % 4]
+        rows.append((dt.date(2021, 1, 1) + dt.timedelta(i), "T", float(rng.poisson(20 + 40 * (kind == 1))), float(rng.poisson(20 + 40 * (kind == -1)))))
+    out = micro.vdj_factor(spark.createDataFrame(rows, "date date, ticker string, dbuys double, dsells double"), "both").collect()
+    assert {r["period"] for r in out} == {"annual", "monthly"} and len(out) == 118
+    year = {r["date"]: r["event_label"] for r in out if r["period"] == "annual"}
+    assert np.mean([year[d] == (0, 0, 1, -1)[i % 4] for i, (d, *_) in enumerate(rows)]) > 0.9
+
+
+def test_smoother_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(information, "BLOCK", 37)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 60, 300).astype(float), rng.normal(size=300)
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(900, None, 1.0), (901, 1.0, None)], "i int, x double, y double")
+    order = sorted(range(300), key=lambda i: (x[i], i))
+    for window, w in ((40, 40), (None, 30)):
+        got = {r["row_no"]: (r["x"], r["y"]) for r in ranking.smoothed(d, "x", "y", window, 5, "i").collect()}
+        assert set(got) == set(range(1, 300 - w + 2, 5))
+        assert all(got[r] == pytest.approx((x[order[r - 1 : r - 1 + w]].mean(), y[order[r - 1 : r - 1 + w]].mean()), abs=1e-9) for r in got)
