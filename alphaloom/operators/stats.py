@@ -84,7 +84,7 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     off = lambda v: F.col(v) - F.col(f"_m_{v}")
     both = lambda a, b: F.sum(c * off(a) * off(b))
     r = lambda a, b: ratio(both(a, b), F.sqrt(both(a, a)) * F.sqrt(both(b, b)))
-    return d.groupBy(*by).agg(F.max("n").alias("n"), r("rx", "ry").alias("spearman"), r(x, y).alias("pearson"))
+    return d.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), r("rx", "ry").alias("spearman"), r(x, y).alias("pearson"))
 
 
 def line_fit(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
