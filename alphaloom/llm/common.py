@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators: scratch tables, row keys and byte-level tokenizing.
 
-Scratch tables go to the folder named by ``spark.checkpoint.dir``. Where that is unset (single-machine tests), a folder of the
-application on the default file system is set, which executors and driver share.
+Scratch tables go to the folder named by ``spark.checkpoint.dir``. Where that is unset, a folder of the application on the default file
+system is set, which executors and driver share; on a cluster whose default file system is each machine's own disk that is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         home = sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).toString().rstrip("/")
+        if home.startswith("file:") and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{home}/tmp/alphaloom-{sc.applicationId}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
