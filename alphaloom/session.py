@@ -33,11 +33,16 @@ def written_out(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder on the default file system."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder on the default file system.
+
+    On a cluster whose default file system is each machine's own disk there is no such folder: the setting must name one.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         home = sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).toString().rstrip("/")
+        if home.startswith("file:") and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{home}/tmp/alphaloom-{sc.applicationId}"
     return root.rstrip("/")
 

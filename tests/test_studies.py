@@ -92,3 +92,17 @@ def test_smoother_over_blocks(spark, monkeypatch):
         got = {r["row_no"]: (r["x"], r["y"]) for r in ranking.smoothed(d, "x", "y", window, 5, "i").collect()}
         assert set(got) == set(range(1, 300 - w + 2, 5))
         assert all(got[r] == pytest.approx((x[order[r - 1 : r - 1 + w]].mean(), y[order[r - 1 : r - 1 + w]].mean()), abs=1e-9) for r in got)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from alphaloom.session import scratch_root
+
+    uri = Some(toString=lambda: "file:///")
+    jvm = Some(org=Some(apache=Some(hadoop=Some(fs=Some(FileSystem=Some(getDefaultUri=lambda conf: uri))))))
+    sc = lambda master: Some(master=master, applicationId="app-1", getConf=lambda: Some(get=lambda *a: None), getCheckpointDir=lambda: None, _jvm=jvm, _jsc=Some(hadoopConfiguration=lambda: None))
+    session = lambda master: Some(sparkContext=sc(master), conf=Some(get=lambda *a: None))
+    assert scratch_root(session("local[4]")) == "file:/tmp/alphaloom-app-1" or scratch_root(session("local[4]")).endswith("/tmp/alphaloom-app-1")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(session("spark://head:7077"))
