@@ -1,62 +1,50 @@
 """Line dedup over content-defined line chunks (native expressions only).
 
-A text is cut into lines; a rolling hash over the hashes of the last two lines ends a chunk wherever it is 0 modulo
-``divisor``, so boundaries depend on nearby content only and survive insertions before them. A chunk of two or more
-lines that occurs more than once in the corpus is kept at its first place (smallest doc_id, text key, chunk number) and
-removed everywhere else. Equal chunk hashes only propose; chunks are grouped by their bytes before anything is removed.
+Every two neighbouring lines that stand at an earlier place too (smaller doc_id, text key, line number) are removed, so any run of two
+or more repeated lines goes whole at each later place, whatever is around it. Two equal lines that overlap their own first
+place (three equal lines) stay. Each removed line still stands at an earlier place.
+
+It is found in two steps. A rolling hash over the hashes of a line and the line after it begins a chunk wherever it is 0 modulo
+``divisor``: a boundary hangs on the lines that follow it, so a repeated passage is cut alike wherever it stands. A chunk
+reaches over the first line of the next, and chunks that repeat are removed but for their first place. What is left of a
+repeated passage are its rims, in chunks that reach out of it: the chunks left are opened into their neighbouring lines, which
+are matched in the same way. The result is the same for every ``divisor``; it decides how much the first step folds.
+
+Equal hashes only propose; chunks are grouped by their bytes before anything is removed. At every size alike texts are hashed
+once, and read once more at each step for the chunks whose hash repeats; a hot chunk is grouped with map-side partial minima and
+joined as two scans, so Spark can split it.
 
 Defined results: null text stays null with no lines; an empty text is one empty line; rows that repeat an id and text are
-judged as one document (all keep or all lose the same lines); an empty table gives no rows. Texts are hashed once and
-shuffled twice, to cut the bodies and to rebuild, at every size alike; a hot chunk is grouped with map-side partial minima
-and joined as two scans, so Spark can split it.
-
-A chunk boundary hangs on the lines before it, and one-line chunks are kept, so ``line_dedup`` (whose rule the SQL of op8
-fixes) leaves the rims of a repeated run, and short runs. ``run_dedup`` removes runs whole: every two neighbouring lines that
-stand at an earlier place too go, so any run of two or more lines goes at each later place, whatever is around it. Two equal
-lines that overlap their own first place (three equal lines) stay. Each removed line still stands at an earlier place.
+judged as one document (all keep or all lose the same lines); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import forget, table, text_key, written
 
-DIVISOR, MIN_LINES = 4, 2
-
-
-def _line_hashes(lines: Column) -> Column:
-    """A 32-bit hash of each line, from its MD5, so other engines can repeat it."""
-    return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
-
+DIVISOR = 4
 
-def _starts(hashes: Column, divisor: int) -> Column:
-    """Numbers (from 0) of the lines that begin a chunk: the first, and those after a boundary."""
-    ends = lambda i: (F.get(hashes, i - 1) + F.lit(31) * F.coalesce(F.get(hashes, i - 2), F.lit(0))) % F.lit(divisor) == 0
-    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: (i == 0) | ends(i))
 
-
-def _cut(docs: DataFrame, divisor: int) -> DataFrame:
-    d = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key().alias("h"), F.split("text", "\n").alias("lines"))
-    d = d.withColumn("hashes", _line_hashes(F.col("lines"))).withColumn("starts", _starts(F.col("hashes"), divisor))
-    return d
-
-
-def _chunks(docs: DataFrame, divisor: int, min_lines: int) -> DataFrame:
-    """(doc_id, h, start, n, ck): the multi-line chunks; ``ck`` is a 64-bit proposal key."""
-    d = _cut(docs, divisor)
-    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines")))
-    spans = F.filter(F.zip_with("starts", ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("n"))), lambda x: x["n"] >= min_lines)
-    d = d.select("doc_id", "h", "hashes", F.explode(spans).alias("c"))
-    return d.select("doc_id", "h", F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(F.slice("hashes", F.col("c.start") + 1, F.col("c.n"))).alias("ck"))
+def _chunks(docs: DataFrame, divisor: int) -> DataFrame:
+    """(doc_id, h, start, keys): chunks of two or more lines, with a 64-bit key of every two neighbouring lines; ``start`` is a line number."""
+    d = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key().alias("h"), F.split("text", "\n").alias("lines")).filter(F.size("lines") > 1)
+    d = d.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).drop("lines")
+    low = lambda i: F.get("hashes", i).bitwiseAND(F.lit(0xFFFFFFFF))
+    pairs = F.sequence(F.lit(0), F.size("hashes") - 2)
+    d = d.withColumn("starts", F.filter(pairs, lambda i: (i == 0) | ((low(i) + F.lit(31) * low(i + 1)) % F.lit(divisor) == 0)))
+    d = d.withColumn("keys", F.transform(pairs, lambda i: F.xxhash64(F.get("hashes", i), F.get("hashes", i + 1)))).drop("hashes")
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("keys")))
+    spans = F.zip_with("starts", ends, lambda s, e: F.struct(s.alias("start"), F.slice("keys", s + 1, e - s).alias("keys")))
+    return d.select("doc_id", "h", F.explode(spans).alias("c")).select("doc_id", "h", "c.start", "c.keys")
 
 
 def _repeats(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, h, start, n, first) of the ``places`` (doc_id, h, start, n, ck) whose lines stand at several places, with the
-    first of these, and the scratch tables behind it. Lines are read once more, for places whose key repeats, and compared by bytes."""
+    """(doc_id, h, start, n) of the ``places`` (doc_id, h, start, n, ck; from a written table) whose lines stand at an earlier place
+    too, and the scratch tables behind it. Lines are read once more, for places whose key repeats, and compared by bytes."""
     place, spot = F.struct("doc_id", "h", "start"), F.xxhash64("doc_id", "h", "start")
-    places = written(places, "lines-places")
     twice = places.groupBy("ck").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter(F.col("lo") != F.col("hi"))
     twice = written(twice.select("ck"), "lines-keys")
     asked = written(places.join(twice.hint("merge"), "ck"), "lines-asked")
@@ -68,43 +56,38 @@ def _repeats(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, list[DataFr
     again = written(again, "lines-bodies")
     # tables of their own, so that the join is one of two scans, whose hot keys Spark can split
     first = written(again.groupBy("ck", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "lines-first")
-    forget(places, twice, asked, per_doc)
-    return again.join(first.hint("merge"), ["ck", "body"]).select("doc_id", "h", "start", "n", "first"), [again, first]
-
-
-def repeated(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, h, start, n) of every chunk to remove, and the scratch tables behind it."""
-    found, scratch = _repeats(docs, _chunks(docs, divisor, min_lines))
-    return found.filter(~F.struct("doc_id", "h", "start").eqNullSafe(F.col("first"))).select("doc_id", "h", "start", "n").distinct(), scratch
-
-
-def _pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, start, n, ck): every two neighbouring lines; ``ck`` is a 64-bit proposal key."""
-    d = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key().alias("h"), F.split("text", "\n").alias("lines")).filter(F.size("lines") > 1)
-    keys = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.xxhash64(F.get("lines", i - 1), F.get("lines", i)))
-    return d.select("doc_id", "h", F.posexplode(keys).alias("start", "ck")).select("doc_id", "h", "start", F.lit(2).alias("n"), "ck")
+    forget(twice, asked, per_doc)
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    found = again.join(first.hint("merge"), ["ck", "body"]).filter(~here | (F.col("start") > F.col("first.start") + 1))
+    return found.select("doc_id", "h", "start", "n"), [again, first]
 
 
-def repeated_runs(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def repeated(docs: DataFrame, divisor: int = DIVISOR) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, h, start, n) of every run to remove, and the scratch tables behind it."""
-    found, scratch = _repeats(docs, _pairs(docs))
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    gone = found.filter(~here | (F.col("start") > F.col("first.start") + 1)).groupBy("doc_id", "h").agg(F.collect_set("start").alias("s"))
-    lines = F.array_sort(F.array_union("s", F.transform("s", lambda x: x + 1)))
+    chunks = written(_chunks(docs, divisor), "lines-chunks")
+    whole, scratch = _repeats(docs, chunks.select("doc_id", "h", "start", (F.size("keys") + 1).alias("n"), F.xxhash64("keys").alias("ck")))
+    whole = written(whole.distinct(), "lines-whole")
+    forget(*scratch)
+    gone = whole.select(F.col("doc_id").alias("w_id"), F.col("h").alias("w_h"), F.col("start").alias("w_start"))
+    left = chunks.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h")) & (F.col("start") == F.col("w_start")), "left_anti")
+    left = written(left, "lines-left")
+    forget(chunks)
+    pairs = left.select("doc_id", "h", "start", F.posexplode("keys").alias("at", "ck")).select("doc_id", "h", (F.col("start") + F.col("at")).alias("start"), F.lit(2).alias("n"), "ck")
+    rims, scratch = _repeats(docs, pairs)
+    spans = whole.unionByName(rims).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("s"))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
     # lines of one run have one difference to their number in the list
     runs = F.transform(lines, lambda x, i: F.struct(x.alias("at"), (x - i).alias("run")))
-    runs = gone.select("doc_id", "h", F.explode(runs).alias("r")).groupBy("doc_id", "h", "r.run").agg(F.min("r.at").alias("start"), F.count("*").cast("int").alias("n"))
-    return runs.select("doc_id", "h", "start", "n"), scratch
+    runs = spans.select("doc_id", "h", F.explode(runs).alias("r")).groupBy("doc_id", "h", "r.run").agg(F.min("r.at").alias("start"), F.count("*").cast("int").alias("n"))
+    return runs.select("doc_id", "h", "start", "n"), [whole, left, *scratch]
 
 
-def run_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated runs of two or more lines, plus n_lines, n_removed_lines and n_removed_chunks (runs)."""
-    return _without(docs, *repeated_runs(docs))
+def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """``docs`` with the repeated runs cut out of ``text``, plus n_lines, n_removed_lines and n_removed_chunks (runs)."""
+    return _without(docs, *repeated(docs, divisor))
 
 
-def line_dedup(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with the repeated chunks cut out of ``text``, plus n_lines, n_removed_lines and n_removed_chunks."""
-    return _without(docs, *repeated(docs, divisor, min_lines))
+run_dedup = line_dedup
 
 
 def _without(docs: DataFrame, gone: DataFrame, scratch: list[DataFrame]) -> DataFrame:
@@ -137,12 +120,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rows that repeat an id and text do not occur in the tables that the SQL is checked on.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-hh AS (SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
-st AS (SELECT doc_id, l, list_filter(range(0, len(l)), lambda i: i = 0 OR (h[i] + 31 * CASE WHEN i >= 2 THEN h[i-1] ELSE 0 END) % 4 = 0) AS s FROM hh),
-c AS (SELECT doc_id, l, unnest(s) AS a, unnest(list_concat(s[2:], [CAST(len(l) AS BIGINT)])) AS b FROM st),
-m AS (SELECT doc_id, a, b - a AS n, array_to_string(l[a+1:b], chr(10)) AS body FROM c WHERE b - a >= 2),
-g AS (SELECT doc_id, a, n FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS r FROM m) WHERE r > 1),
-x AS (SELECT doc_id, sum(n) AS lines, count(*) AS chunks, flatten(list(range(a, a + n))) AS gone FROM g GROUP BY doc_id)
+p AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d),
+b AS (SELECT doc_id, i - 1 AS i, l[i] || chr(10) || l[i+1] AS body FROM p),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER w AS first_id, first_value(i) OVER w AS first_i FROM b WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM f WHERE first_id <> doc_id OR i > first_i + 1),
+r AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+x AS (SELECT doc_id, count(*) AS lines, count(DISTINCT run) AS chunks, list(i) AS gone FROM r GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(x.lines, 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(x.chunks, 0) AS BIGINT) AS n_removed_chunks,
  sha256(CASE WHEN x.gone IS NULL THEN coalesce(t.text, '') ELSE array_to_string(list_transform(list_filter(range(0, len(d.l)), lambda i: NOT list_contains(x.gone, i)), lambda i: d.l[i+1]), chr(10)) END) AS kept_sha256
 FROM documents t LEFT JOIN d USING (doc_id) LEFT JOIN x USING (doc_id)

@@ -39,9 +39,10 @@ def texts_with_runs():
     return runs, texts + [texts[0], texts[5], None, "", "a", "a", "b\nb\nb", "b\nb\nb\nb\nb", "\n\n\n\n", "a\nc\na\nc\na"]
 
 
-def test_run_dedup_brute_force(spark):
+@pytest.mark.parametrize("divisor", [1, 4, 1_000_003])
+def test_line_dedup_brute_force(spark, divisor):
     _, texts = texts_with_runs()
-    out = linededup.run_dedup(docs(spark, texts)).collect()
+    out = linededup.line_dedup(docs(spark, texts), divisor).collect()
     want = brute_runs(texts)
     assert {r["doc_id"]: r["text"] for r in out if r["n_removed_lines"] < r["n_lines"]} == {i: t for i, t in enumerate(want) if t or texts[i] == ""}
     assert {r["doc_id"] for r in out if 0 < r["n_lines"] == r["n_removed_lines"]} == {i for i, t in enumerate(want) if texts[i] and not t}
