@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated runs of two or more lines whole; a document that loses all its lines goes."""
-    out = linededup.run_dedup(docs)
+    """Cuts repeated runs of lines whole, as op8 does; a document that loses all its lines goes."""
+    out = linededup.line_dedup(docs)
     out = out.filter((F.col("n_removed_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines"))).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
