@@ -87,9 +87,6 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return _without(docs, *repeated(docs, divisor))
 
 
-run_dedup = line_dedup
-
-
 def _without(docs: DataFrame, gone: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     gone = written(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("gone")), "lines-gone")
     forget(*scratch)
