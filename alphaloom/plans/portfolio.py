@@ -20,9 +20,9 @@ def flagship(spark, sf_dir):
     return backtest.equity(backtest.long_only(signals, bars, 3).withColumn("leg", F.lit("long")), "leg")
 
 
-def legs(spark, sf_dir):
+def legs(spark, sf_dir, scores=None):
     scale = regime.multiplier(tables.index_prices(spark, sf_dir))
-    return backtest.long_short(staged(panel.scores(spark, sf_dir), "scores"), staged(closes(spark, sf_dir), "closes"), 5, "monthly", scale)
+    return backtest.long_short(staged(panel.scores(spark, sf_dir) if scores is None else scores, "scores"), staged(closes(spark, sf_dir), "closes"), 5, "monthly", scale)
 
 
 def closes(spark, sf_dir):

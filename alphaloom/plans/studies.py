@@ -257,7 +257,9 @@ def a20_sentiment(spark, sf_dir):
     return d.select("date", "ticker", factors.composite(None, [*ALL, "news_sentiment", "filing_sentiment"]).alias("score"))
 
 
-_FULL = f"(SELECT z.*, e.pin, e.event_label FROM {_SENTZ} z LEFT JOIN (SELECT * FROM ekop WHERE period = 'annual') e USING (date, ticker))"
+FULL = f"SELECT z.*, e.pin, e.event_label FROM {_SENTZ} z LEFT JOIN (SELECT * FROM ekop WHERE period = 'annual') e USING (date, ticker)"
+_FULL = f"({FULL})"
+FULL_SCORE = "coalesce(momentum_252d, 0) + coalesce(volatility_20d, 0) - coalesce(volume_zscore_20d, 0) - coalesce(amihud_20d, 0) + coalesce(pb_ratio, 0) - coalesce(pin, 0) + coalesce(news_sentiment, 0) + coalesce(filing_sentiment, 0)"
 _FULL_NAMES = [*FACTORS, *FUNDAMENTAL, "pin", "event_label", "news_sentiment", "filing_sentiment"]
 _FULL_LONG = "(" + " UNION ALL ".join(f"SELECT date, ticker, '{f}' AS factor, CAST({f} AS DOUBLE) AS value FROM fullp" for f in _FULL_NAMES) + ")"
 _FULL_SUM = f"""(WITH fullp AS MATERIALIZED (SELECT * FROM {_FULL}), rk AS (SELECT factor, date, {rank('value', 'factor, date')} AS rv, {rank('fwd', 'factor, date')} AS rf FROM {_FULL_LONG} JOIN fwd USING (date, ticker) WHERE value IS NOT NULL AND fwd IS NOT NULL),
@@ -270,7 +272,7 @@ def j01(spark, sf_dir):
     return full_panel(spark, sf_dir).select("date", "ticker", *ALL, "pin", "event_label", "news_sentiment", "filing_sentiment")
 
 
-@query("a20_full_composite", sql("date ticker ~score", f"FROM (SELECT date, ticker, coalesce(momentum_252d, 0) + coalesce(volatility_20d, 0) - coalesce(volume_zscore_20d, 0) - coalesce(amihud_20d, 0) + coalesce(pb_ratio, 0) - coalesce(pin, 0) + coalesce(news_sentiment, 0) + coalesce(filing_sentiment, 0) AS score FROM {_FULL})"))
+@query("a20_full_composite", sql("date ticker ~score", f"FROM (SELECT date, ticker, {FULL_SCORE} AS score FROM {_FULL})"))
 def a20_full(spark, sf_dir):
     d = full_panel(spark, sf_dir)
     return d.select("date", "ticker", factors.composite(None, [*ALL, "pin", "news_sentiment", "filing_sentiment"]).alias("score"))

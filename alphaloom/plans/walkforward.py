@@ -37,25 +37,26 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds(spark, date(a.year, 1, 1), b)
 
 
-def selection(spark: SparkSession, sf_dir: str, z: DataFrame | None = None) -> DataFrame:
-    """(fold, factor, weight, ...): factors chosen on each fold's training interval; forward prices may lie after it."""
+def selection(spark: SparkSession, sf_dir: str, z: DataFrame | None = None, names: list[str] = ALL) -> DataFrame:
+    """(fold, factor, weight, ...): the ``names`` of the panel ``z`` chosen on each fold's training interval; forward prices may lie after it."""
     z = align.in_folds(panel.z_panel(spark, sf_dir) if z is None else z, calendar(spark, sf_dir)).filter("sample = 'train'")
     fwd = ic.forward_returns(tables.bars(spark, sf_dir), [21]).select("date", "ticker", F.col("ret_21d").alias("fwd"))
-    return ic.select_factors(ic.ic_summary(ic.rank_ic(factors.long_form(z, ALL, "fold"), fwd, "fold"), "fold"))
+    return ic.select_factors(ic.ic_summary(ic.rank_ic(factors.long_form(z, names, "fold"), fwd, "fold"), "fold"))
 
 
-def signals(spark: SparkSession, sf_dir: str, *variants: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str, *variants: str, panel_: DataFrame | None = None, names: list[str] = ALL) -> DataFrame:
     """(variant, fold, sample, date, ticker, score) with each fold's own weights; folds with too few days or no factor drop out.
 
-    ``variants``: plain (the selected factors' signs) and regime (regime weights of the selected factors).
+    ``variants``: plain (the selected factors' signs) and regime (regime weights of the selected factors). ``panel_``: a table with the
+    factors ``names``, else the z-scored panel.
     """
-    panel_ = staged(panel.z_panel(spark, sf_dir), "walk-panel")
+    panel_ = staged(panel.z_panel(spark, sf_dir), "walk-panel") if panel_ is None else panel_
     z = align.in_folds(panel_, calendar(spark, sf_dir))
     days = z.groupBy("fold", "sample").agg(F.count_distinct("date").alias("d"))
     enough = days.groupBy("fold").agg(F.max(F.when(F.col("sample") == "train", F.col("d"))).alias("a"), F.max(F.when(F.col("sample") == "test", F.col("d"))).alias("b"))
     enough = enough.filter((F.col("a") >= LEAST_TRAIN_DAYS) & (F.col("b") >= LEAST_TEST_DAYS)).select("fold")
-    chosen = staged(selection(spark, sf_dir, panel_).filter("weight <> 0").select("fold", "factor", "weight").join(enough, "fold", "left_semi"), "walk-weights")
-    long = factors.long_form(z, ALL, "fold", "sample")
+    chosen = staged(selection(spark, sf_dir, panel_, names).filter("weight <> 0").select("fold", "factor", "weight").join(enough, "fold", "left_semi"), "walk-weights")
+    long = factors.long_form(z, names, "fold", "sample")
     out = None
     for variant in variants:
         if variant == "regime":
@@ -69,14 +70,14 @@ def signals(spark: SparkSession, sf_dir: str, *variants: str) -> DataFrame:
     return out
 
 
-def walk_forward(spark: SparkSession, sf_dir: str, *variants: str, top: int = 5, use_multiplier: bool = True) -> DataFrame:
+def walk_forward(spark: SparkSession, sf_dir: str, *variants: str, top: int = 5, use_multiplier: bool = True, panel_: DataFrame | None = None, names: list[str] = ALL) -> DataFrame:
     """(variant, fold, sample, date, leg, ret) of every fold's training and test run; variants and folds are keys of one plan.
 
     Panel, weights, signals and closes are staged: each is computed once, and no plan repeats the trades behind them.
     """
     scale = regime.multiplier(tables.index_prices(spark, sf_dir)) if use_multiplier else None
     prices = staged(tables.bars(spark, sf_dir).select("date", "ticker", "close"), "walk-closes")
-    found = staged(signals(spark, sf_dir, *(variants or ("plain",))), "walk-signals")
+    found = staged(signals(spark, sf_dir, *(variants or ("plain",)), panel_=panel_, names=names), "walk-signals")
     return backtest.long_short(found, prices, top, "monthly", scale, "variant", "fold", "sample")
 
 

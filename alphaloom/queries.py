@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.plans import events, ingestion, panel, portfolio, streams, studies, walkforward  # noqa: F401  (they register their queries)
+from alphaloom.plans import events, fullpanel, ingestion, panel, portfolio, streams, studies, walkforward  # noqa: F401  (they register their queries)
 from alphaloom.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

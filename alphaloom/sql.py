@@ -197,6 +197,23 @@ def on_fitted_labels(text: str) -> str:
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def on_full_panel(text: str, panel: str, names: list[str], score: str) -> str:
+    """A composed query over the factors ``names`` of ``panel`` (SQL) in place of ``zs``, with composites ``score``."""
+    more = [n for n in needs(panel) if not re.search(rf"\b{n} AS \(", text)]
+    add = ",\n".join([*(f"{n} AS ({CTES[n]})" for n in more), f"fullz AS MATERIALIZED ({panel})"])
+    zs = f"zs AS ({CTES['zs']})"
+    text = text.replace(zs, f"{zs},\n{add}", 1)
+    new = {
+        "score": f"SELECT date, ticker, round({score}, 9) AS score FROM fullz",
+        "longz": "SELECT date, ticker, factor, value FROM (UNPIVOT fullz ON " + ", ".join(names) + " INTO NAME factor VALUE value)",
+        "fz": "SELECT fold, sample, fullz.* EXCLUDE (close) FROM fullz JOIN spans ON date BETWEEN a AND b",
+        "flong": "SELECT * FROM fz UNPIVOT INCLUDE NULLS (value FOR factor IN (" + ", ".join(names) + "))",
+    }
+    for n, body in new.items():
+        text = text.replace(f"{n} AS ({CTES[n]})", f"{n} AS ({body})", 1)
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def live_fit_sql(columns: str, body: str, before: list[str], days: str) -> str:
     """A query over ``livefit`` (date, ticker, pin): the fits of ``days``, which reads the expressions ``before``."""
     fits = [f"emdays AS ({days})", f"emkeys AS ({CTES['emkeys']} AND avg(b) >= 1 AND avg(s) >= 1)", *(f"{n} AS ({CTES[n]})" for n in ("em", "emfit")),

@@ -106,3 +106,13 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     assert scratch_root(session("local[4]")) == "file:/tmp/alphaloom-app-1" or scratch_root(session("local[4]")).endswith("/tmp/alphaloom-app-1")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(session("spark://head:7077"))
+
+
+def test_pin_and_sentiment_act_in_the_full_back_tests(spark, tiny):
+    from alphaloom.plans import fullpanel, panel
+
+    full, small = fullpanel.full_scores(spark, tiny), panel.scores(spark, tiny).withColumnRenamed("score", "small")
+    both = full.join(small, ["date", "ticker"])
+    assert both.count() == small.count() and both.filter("abs(score - small) > 1e-6").count() > 0
+    chosen = {r["factor"] for r in fullpanel.r28(spark, tiny).collect()}
+    assert {"pin", "news_sentiment", "filing_sentiment"} & chosen and "event_label" not in chosen
