@@ -9,7 +9,7 @@ import pytest
 from alphaloom.queries import ORACLE_SQL, QUERIES
 
 #: One of each kind; the driver checks all of them.
-CHOSEN = ["s01_bars", "s03_fundamentals", "s07_document_coverage", "w_rsi_5d", "w_amihud_20d", "j04_asof_fundamentals", "w10_cross_sectional_z", "w11_sector_neutral_z", "w12_bounded_fill", "r01_rank_ic", "r25_regime_multiplier", "w17_quantile_buckets", "b02_long_short", "b02_full_long_short", "r28_full_fold_selection", "a14_two_layer", "w15_streaks", "r07_kruskal", "r08_mann_whitney", "s16_chunks", "x02_windowed_flow"]
+CHOSEN = ["s01_bars", "s03_fundamentals", "s07_document_coverage", "w_rsi_5d", "w_amihud_20d", "j04_asof_fundamentals", "w10_cross_sectional_z", "w11_sector_neutral_z", "w12_bounded_fill", "r01_rank_ic", "r25_regime_multiplier", "w17_quantile_buckets", "b02_long_short", "b02_full_long_short", "a14_two_layer", "w15_streaks", "r07_kruskal", "r08_mann_whitney", "s16_chunks", "x02_windowed_flow"]
 
 
 def sorted_rows(pdf):
