@@ -20,6 +20,7 @@ from alphaloom.llm.common import table
 
 #: Multipliers and increments of the round functions.
 ROUND_KEYS = ((1103515245, 12345), (69069, 1), (1664525, 1013904223), (22695477, 7), (134775813, 3), (214013, 2531011))
+#: Numbers outside the table in the grid of a permutation, and so the steps of a walk, at most.
 WALK = 64
 
 
@@ -45,21 +46,23 @@ def feistel(x: Column, a: int, b: int, seed: int = 0) -> Column:
     return F.aggregate(keys, halves(F.call_function("div", x, F.lit(b)), x % F.lit(b)), step, lambda acc: acc["l"] * F.lit(b) + acc["r"])
 
 
+def grid(n: int) -> tuple[int, int]:
+    """(a, b), both about sqrt(n), such that a*b exceeds n by ``WALK`` at most.
+
+    About one in a/WALK numbers a fits; where none from sqrt(n) to its 16-fold does, a = WALK always does.
+    """
+    least = math.isqrt(max(n - 1, 0)) + 1
+    a = next((a for a in range(least, 16 * least + 1) if -n % a <= WALK), WALK)
+    return a, max(1, -(-n // a))
+
+
 def permuted(x: Column, n: int, seed: int = 0) -> Column:
     """Position of row number ``x`` among ``n`` in the shuffle.
 
-    a*b exceeds n by less than a, about sqrt(n), and a walk visits each number outside at most once, so WALK steps
-    always suffice for n below WALK**2 and fail with probability below n**-32 beyond; a failure raises, never repeats a
-    position.
+    A walk visits each of the a*b - n numbers outside at most once, so it ends within WALK steps.
     """
-    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
-    b = max(1, -(-n // a))
-    start = feistel(x, a, b, seed)
-    stay = lambda y, go: F.when(y < F.lit(n), y).otherwise(go)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)), start, lambda acc, _: stay(acc, feistel(acc, a, b, seed)),
-        lambda acc: stay(acc, F.raise_error(F.lit("cycle walk too long")).cast("long")),
-    )
+    a, b = grid(n)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), feistel(x, a, b, seed), lambda acc, _: F.when(acc < F.lit(n), acc).otherwise(feistel(acc, a, b, seed)))
 
 
 def numbered(df: DataFrame, keys: list[str], buckets: int = 4096) -> tuple[DataFrame, int]:

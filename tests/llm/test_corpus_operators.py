@@ -57,6 +57,15 @@ def test_sharding_keeps_the_type_of_ids(spark):
     assert sorted(str(r["doc_id"]) for r in out) == ["None", "a-1", "a-1", "b"] and sorted((r["shard"], r["slot"]) for r in out) == [(0, 0), (0, 1), (1, 0), (1, 1)]
 
 
+def test_every_walk_ends(spark):
+    for n in (1, 2, 63, 64, 65, 4097, 10_007, 999_983, 10**9 + 7, 10**12 + 39):
+        a, b = sharding.grid(n)
+        assert 0 <= a * b - n <= sharding.WALK and a < 20 * n**0.5 + 65
+    for n in (1, 2, 97, 4099):
+        got = spark.range(n).select(sharding.permuted(F.col("id"), n).alias("p")).collect()
+        assert sorted(r["p"] for r in got) == list(range(n))
+
+
 def test_every_operator_takes_an_empty_table(spark):
     d = docs(spark, ["x"]).limit(0)
     assert langid.train(d) is None and langid.identify(d, None).count() == 0
