@@ -43,7 +43,12 @@ _BEST = "FROM (SELECT pair, arg_max(horizon, abs(m)) AS horizon, arg_max(m, abs(
 @query("t05_best_horizon", sql("pair horizon ~diff", _BEST))
 def t05(spark, sf_dir):
     """The horizon at which two labels differ most."""
-    g = label_pairs(events.study(spark, sf_dir)).groupBy("pair", "horizon").agg(F.avg("diff").alias("m"))
+    return best_horizon(events.study(spark, sf_dir))
+
+
+def best_horizon(study: DataFrame) -> DataFrame:
+    """(pair, horizon, diff): the greatest mean difference; a pair that no ticker can compare has no row."""
+    g = label_pairs(study).filter("diff IS NOT NULL").groupBy("pair", "horizon").agg(F.avg("diff").alias("m"))
     return g.groupBy("pair").agg(F.max_by("horizon", F.abs("m")).alias("horizon"), F.max_by("m", F.abs("m")).alias("diff"))
 
 

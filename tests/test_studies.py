@@ -116,3 +116,9 @@ def test_pin_and_sentiment_act_in_the_full_back_tests(spark, tiny):
     assert both.count() == small.count() and both.filter("abs(score - small) > 1e-6").count() > 0
     chosen = {r["factor"] for r in fullpanel.r28(spark, "/root/testdata/sf0.01").collect()}  # the smallest tables have too few tickers a day
     assert {"pin", "news_sentiment", "filing_sentiment"} <= chosen and "event_label" not in chosen
+
+
+def test_best_horizon_leaves_out_pairs_that_nothing_compares(spark):
+    rows = [("T", h, v, x * h * v) for h in (1, 5) for v, x in ((1, 1.0), (1, 2.0), (-1, 1.0), (-1, 3.0), (0, 4.0))]  # one day without news
+    got = studies.best_horizon(spark.createDataFrame(rows, "ticker string, horizon int, label int, ret double")).collect()
+    assert [tuple(r) for r in got] == [("good_bad", 5, 17.5)]
