@@ -14,16 +14,20 @@ OUT = "key string, at timestamp, n int, momentum double, volatility double"
 def ring(size: int) -> Callable:
     """A stateful function that keeps the last ``size`` values of a key and reports once the buffer is full.
 
-    Events older than the newest seen are dropped, as a bar that is late cannot change a signal that was sent.
+    Events older than the newest of an earlier micro-batch are dropped, as a bar that is late cannot change a signal that was sent.
+    The rows of one micro-batch come in any order, a key's in several frames; the least of several values at one time counts.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, values = map(list, state.get) if state.exists else ([], [])
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        sent = max(held, default=None)
         for pdf in batches:
-            for at, value in sorted(zip(pdf["at"], pdf["value"], strict=True)):
-                if pd.isna(value) or (times and at.value <= times[-1]):
-                    continue
-                times, values = [*times, at.value][-size:], [*values, float(value)][-size:]
+            pdf = pdf[pdf["value"].notna() & pdf["at"].notna()]
+            for at, value in zip(pdf["at"].astype("datetime64[ns]").astype("int64").tolist(), pdf["value"].astype(float).tolist(), strict=True):
+                if sent is None or at > sent:
+                    held[at] = min(value, held.get(at, value))
+            held = {at: held[at] for at in sorted(held)[-size:]}  # no older time can come back into the last ones
+        times, values = list(held), list(held.values())
         state.update((times, values))
         if len(values) == size:
             v = pd.Series(values)

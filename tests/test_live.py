@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from alphaloom.streaming import live
@@ -97,3 +98,19 @@ def test_dates_of_the_schedule():
     assert live.next_date(at(2024, 12, 31, 5), "month") == at(2025, 1, 1) and live.next_date(at(2024, 2, 1), "month") == at(2024, 3, 1)
     assert live.next_date(at(2024, 1, 1), "week") == at(2024, 1, 8) and live.next_date(at(2024, 1, 7, 23), "week") == at(2024, 1, 8)
     assert live.next_date(at(1969, 12, 31, 1), "day") == at(1970, 1, 1)
+
+
+def test_ring_takes_the_rows_of_a_batch_in_any_order():
+    from alphaloom.streaming import bars
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    frame = lambda *rows: pd.DataFrame([(pd.Timestamp(2024, 1, d), v) for d, v in rows], columns=["at", "value"])
+    state, step = State(), bars.ring(3)
+    run = lambda *frames: [(r.at_.day, r.momentum) for d in step(("k",), iter(frames), state) for r in d.rename(columns={"at": "at_"}).itertuples()]
+    assert run(frame((5, 5.0), (4, 4.0)), frame((1, 1.0), (3, 9.0), (5, 2.0), (5, None)), frame((2, 2.0))) == [(5, -7.0)]
+    assert run(frame((5, 1.0), (7, 7.0)), frame((6, 6.0))) == [(7, 5.0)]  # the fifth was sent
