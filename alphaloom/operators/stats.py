@@ -57,16 +57,19 @@ def kruskal(df: DataFrame, value: str, label: str, *keys: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, label: str, a, b, *keys: str) -> DataFrame:
-    """(keys, na, nb, u, z): U of group a against b, and its normal deviate with tie and continuity correction."""
+    """(keys, na, nb, u, z): U of group a against b, and its normal deviate with tie and continuity correction.
+
+    Without keys always one row. A group without rows counts 0; u is NULL without group a, z wherever all rows tie or a group is missing.
+    """
     n_of = lambda v: F.count(F.when(F.col(label) == v, 1)).cast("double")
     d = df.filter(F.col(value).isNotNull() & F.col(label).isin(a, b)).groupBy(*keys, value).agg(F.count("*").alias("t"), n_of(a).alias("ca"), n_of(b).alias("cb"))
     t, d = F.col("t").cast("double"), staged(d, "values")
-    g = pooled_ranks(d, value, *keys).groupBy(*keys).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum(F.col("r") * F.col("ca")).alias("ra"), F.sum(t * (t * t - 1)).alias("ties"))
+    g = pooled_ranks(d, value, *keys).groupBy(*keys).agg(*(F.coalesce(F.sum(f"c{s}"), F.lit(0.0)).alias(f"n{s}") for s in ("a", "b")), F.sum(F.col("r") * F.col("ca")).alias("ra"), F.sum(t * (t * t - 1)).alias("ties"))
     na, nb = F.col("na"), F.col("nb")
-    n, u = na + nb, F.col("ra") - na * (na + 1) / 2
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    n, u = na + nb, F.when(na > 0, F.col("ra") - na * (na + 1) / 2)
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - ratio(F.col("ties"), n * (n - 1))))
     z = ratio(F.abs(u - na * nb / 2) - 0.5, sd) * F.signum(u - na * nb / 2)
-    return g.filter("na > 0 AND nb > 0").select(*keys, na.cast("long").alias("na"), nb.cast("long").alias("nb"), u.alias("u"), z.alias("z"))
+    return g.select(*keys, na.cast("long").alias("na"), nb.cast("long").alias("nb"), u.alias("u"), z.alias("z"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:

@@ -146,7 +146,20 @@ _MW = f"(SELECT label, {rank('ret', 'horizon')} AS r, CAST(count(*) OVER (PARTIT
 @query("r08_mann_whitney", sql("#na #nb ~u ~z", f"""FROM (SELECT na, nb, u, (abs(u - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb) * (na + nb - 1)))) * sign(u - na * nb / 2) AS z FROM
  (SELECT na, nb, ties, ra - na * (na + 1) / 2 AS u FROM (SELECT CAST(count(*) FILTER (label = 1) AS DOUBLE) AS na, CAST(count(*) FILTER (label = -1) AS DOUBLE) AS nb, sum(r) FILTER (label = 1) AS ra, sum(t * t - 1) AS ties FROM {_MW})))"""))
 def r08(spark, sf_dir):
-    return stats.mann_whitney(study(spark, sf_dir).filter("horizon = 5"), "ret", "label", 1, -1)
+    return rank_test(study(spark, sf_dir).filter("horizon = 5"), 1, -1)
+
+
+def rank_test(s, a, b):
+    """The rank test of two labels; a deviate of 0 / 0 (a missing label b, or all rows tied) is NaN here, as in its SQL."""
+    z = F.when(F.col("na") > 0, F.coalesce("z", F.lit(float("nan")))).alias("z")
+    return stats.mann_whitney(s, "ret", "label", a, b).select("na", "nb", "u", z)
+
+
+def rank_pair(s, name, a, b):
+    """(pair, na, nb, u, z, diff, r): one row, also where a label has no rows."""
+    means = s.agg((F.avg(F.when(F.col("label") == a, F.col("ret"))) - F.avg(F.when(F.col("label") == b, F.col("ret")))).alias("diff"))
+    one = rank_test(s, a, b).crossJoin(F.broadcast(means))  # one row each
+    return one.select(F.lit(name).alias("pair"), "na", "nb", "u", "z", "diff", ratio(F.abs("z"), F.sqrt(F.col("na") + F.col("nb"))).alias("r"))
 
 
 _PAIRS = (("good_bad", 1, -1), ("good_none", 1, 0), ("bad_none", -1, 0))
@@ -165,9 +178,7 @@ def r08_pairs(spark, sf_dir):
     s, out = study(spark, sf_dir).filter("horizon = 5"), None
     s = staged(s, "pair-rows")
     for name, a, b in _PAIRS:
-        means = s.agg((F.avg(F.when(F.col("label") == a, F.col("ret"))) - F.avg(F.when(F.col("label") == b, F.col("ret")))).alias("diff"))
-        one = stats.mann_whitney(s, "ret", "label", a, b).crossJoin(F.broadcast(means))  # one row each
-        one = one.select(F.lit(name).alias("pair"), "na", "nb", "u", "z", "diff", (F.abs("z") / F.sqrt(F.col("na") + F.col("nb"))).alias("r"))
+        one = rank_pair(s, name, a, b)
         out = one if out is None else out.unionAll(one)
     return out
 

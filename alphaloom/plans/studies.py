@@ -207,7 +207,7 @@ def p_values(spark, sf_dir):
     welch = stats.welch(s, "ret", "label", 1, -1).select(F.lit("welch").alias("test"), F.col("t_stat").alias("statistic"), t_pvalue("t_stat", "dof").alias("p"), F.col("cohen_d").alias("effect"))
     one = stats.paired(label_pairs(s).filter("pair = 'good_bad'"), "diff").select(F.lit("paired"), "t_stat", t_pvalue("t_stat", (F.col("n") - 1).cast("double")), "cohen_dz")
     kw = stats.kruskal(s, "ret", "label").withColumnRenamed("k", "groups").select(F.lit("kruskal"), "h", chi2_pvalue("h", (F.col("groups") - 1).cast("double")), "eta2")
-    mw = stats.mann_whitney(s, "ret", "label", 1, -1).select(F.lit("mann_whitney"), "u", (2 * (1 - normal_cdf(F.abs("z")))), (F.abs("z") / F.sqrt(F.col("na") + F.col("nb"))))
+    mw = stats.mann_whitney(s, "ret", "label", 1, -1).filter("na > 0 AND nb > 0").select(F.lit("mann_whitney"), "u", (2 * (1 - normal_cdf(F.abs("z")))), (F.abs("z") / F.sqrt(F.col("na") + F.col("nb"))))
     sp = stats.spearman(s, "label", "ret").select(F.lit("spearman"), "spearman", t_pvalue(ratio(F.col("spearman") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("spearman") * F.col("spearman"))), (F.col("n") - 2).cast("double")), F.col("spearman"))
     t = lambda r: ratio(r * F.sqrt(F.col("n") - 2), F.sqrt(1 - r * r))
     line = stats.line_fit(s.withColumn("label", F.col("label").cast("double")), "label", "ret").select(F.lit("line_fit"), "slope", t_pvalue(t(F.col("r")), (F.col("n") - 2).cast("double")), F.col("r"))

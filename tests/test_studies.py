@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions import special
 from alphaloom.operators import factors, information, micro, ranking, text
-from alphaloom.plans import studies
+from alphaloom.plans import events, studies
 from brute_information import one_group_label
 
 
@@ -122,3 +122,12 @@ def test_best_horizon_leaves_out_pairs_that_nothing_compares(spark):
     rows = [("T", h, v, x * h * v) for h in (1, 5) for v, x in ((1, 1.0), (1, 2.0), (-1, 1.0), (-1, 3.0), (0, 4.0))]  # one day without news
     got = studies.best_horizon(spark.createDataFrame(rows, "ticker string, horizon int, label int, ret double")).collect()
     assert [tuple(r) for r in got] == [("good_bad", 5, 17.5)]
+
+
+def test_rank_tests_of_a_missing_label_have_rows(spark):
+    s = spark.createDataFrame([(1, 1.0), (1, 2.0), (-1, 2.0)], "label int, ret double")
+    row = lambda d, *p: tuple(events.rank_pair(d, "p", *p).first())
+    assert row(s, 1, -1)[:4] == ("p", 2, 1, 0.5)
+    assert row(s, 1, 0)[:4] == ("p", 2, 0, 0.0) and math.isnan(row(s, 1, 0)[4]) and row(s, 1, 0)[5] is None and math.isnan(row(s, 1, 0)[6])
+    assert row(s, 0, -1) == ("p", 0, 1, None, None, None, None)
+    assert row(s.limit(0), 1, -1) == ("p", 0, 0, None, None, None, None)
