@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +152,23 @@ def test_folder_is_taken_exactly_once(spark, tmp_path):
     assert store.manifest(spark, path).agg(F.sum("rows")).first()[0] == 4
 
 
+def test_archives_hold_many_documents(spark, tmp_path):
+    folder, path, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    put = lambda *rows: ingestion.write_archives(spark.createDataFrame(rows, "path string, value string").coalesce(1), folder)
+    take = lambda: ingestion.ingest_folder(spark, folder, path, state, source=ingestion.archived)
+    text = lambda: {r["path"]: r["text"] for r in store.rows_of(spark, path, ingestion.ROWS).collect()}
+    put(*((f"page_id={i}", f"<html><p>page {i}</p>\r\n'\"\u2028</html>\n") for i in range(300)), ("plain", "<b>a\tb</b>\n"), ("none", ""))
+    assert sum(n.startswith("part-") for n in os.listdir(folder)) == 1  # not one for each document
+    take()
+    first = text()
+    assert len(first) == 302 and first["page_id=7"] == "page 7\n'\"\u2028" and first["plain"] == "<b>a\tb</b>\n" and first["none"] == ""
+    time.sleep(1.1)  # a later version
+    put(("page_id=7", "<html>new</html>"))
+    take()
+    take()
+    assert text() == {**first, "page_id=7": "new"}
+
+
 # --- the trained scorer ----------------------------------------------------------------------------------------------
 
 
