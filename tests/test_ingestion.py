@@ -187,6 +187,14 @@ def test_scorer_learns_and_scores_held_out_texts(spark):
     assert scorer.scores(d, "id", "text", scorer.fit(none, "id", "text", "y", steps=1)).agg(F.max(F.abs(F.col("positive") - 1 / 3))).first()[0] < 1e-12
 
 
+def test_scorer_is_the_same_whatever_is_broadcast(spark):
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i, rng.choice((1, -1, 0)), " ".join(rng.choices("abcdefgh", k=9)) + f" only{'x' * i}") for i in range(40)], "id int, y int, text string")
+    run = lambda *limits: {r["id"]: r["compound"] for r in scorer.scores(d, "id", "text", scorer.fit(d, "id", "text", "y", 3, 6.0, 1e-3, *limits)).collect()}
+    every, none, some = run(), run(0, 0), run(4, 0)
+    assert len(every) == 40 and none == pytest.approx(every, abs=1e-12) and some == pytest.approx(every, abs=1e-12)
+
+
 # --- models ----------------------------------------------------------------------------------------------------------
 
 
