@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alphaloom.session import staged
+
+#: The tables that the query being built has staged; None: nothing is.
+_STAGED: ContextVar = ContextVar("staged", default=None)
+
+
+def read_once(query_: Callable) -> Callable:
+    """The query ``query_``, which aggregates trades and orders once for each derived table, however many branches of its plans read it."""
+
+    @wraps(query_)
+    def run(spark, sf_dir):
+        if _STAGED.get() is not None:
+            return query_(spark, sf_dir)
+        mark = _STAGED.set({})
+        try:
+            return query_(spark, sf_dir)
+        finally:
+            _STAGED.reset(mark)
+
+    return run
+
+
+def _derived(make: Callable) -> Callable:
+    """A table of a row for each day or year; within ``read_once`` it is staged at its first use."""
+
+    @wraps(make)
+    def run(spark, sf_dir, *more):
+        held, key = _STAGED.get(), (make.__name__, sf_dir, *more)
+        if held is None:
+            return make(spark, sf_dir, *more)
+        if key not in held:
+            held[key] = staged(make(spark, sf_dir, *more), make.__name__.replace("_", "-"))
+        return held[key]
+
+    return run
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_derived
 def bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFrame:
     """(date, ticker, open, high, low, close, volume): one bar per traded day and ticker."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col(ticker).alias("ticker"))
@@ -24,12 +65,14 @@ def bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFrame
     )
 
 
+@_derived
 def index_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, spx_close, vix_close): a market index and a volatility index."""
     o = read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date"))
     return o.agg(F.avg("o_totalprice").alias("spx_close"), (F.lit(20.0) + F.count("*") % 12).alias("vix_close"))
 
 
+@_derived
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, fiscal_date, ni, equity, assets, shares): yearly statements; one ticker reports no shares, one zero."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from alphaloom.functions import special
 from alphaloom.operators import factors, information, micro, ranking, text
-from alphaloom.plans import events, studies
+from alphaloom.plans import events, fullpanel, studies
+from alphaloom.sources import tables
 from brute_information import one_group_label
 
 
@@ -131,3 +132,14 @@ def test_rank_tests_of_a_missing_label_have_rows(spark):
     assert row(s, 1, 0)[:4] == ("p", 2, 0, 0.0) and math.isnan(row(s, 1, 0)[4]) and row(s, 1, 0)[5] is None and math.isnan(row(s, 1, 0)[6])
     assert row(s, 0, -1) == ("p", 0, 1, None, None, None, None)
     assert row(s.limit(0), 1, -1) == ("p", 0, 0, None, None, None, None)
+
+
+def test_trades_are_aggregated_once_for_all_branches(spark, tiny, monkeypatch):
+    made = []
+    read = tables.read
+    monkeypatch.setattr(tables, "read", lambda s, d, name: made.append(name) or read(s, d, name))
+    assert all(q.__wrapped__ for q in (fullpanel.a07, fullpanel.b04, fullpanel.b05))
+    z = tables.read_once(lambda s, d: fullpanel.studies.panel.z_panel(s, d).join(tables.bars(s, d).select("date", "ticker", "volume"), ["date", "ticker"]))(spark, tiny)
+    assert made.count("lineitem") == 2  # bars and statements
+    assert z.count() > 0 and not any("lineitem" in f for f in z.inputFiles())
+    assert any("lineitem" in f for f in tables.bars(spark, tiny).inputFiles())  # outside nothing is held
