@@ -2,7 +2,7 @@
 
 Two stateful operators, both in the state store, so that a restart goes on where the last finished batch ended:
 
-* ``Ring`` (a group per symbol): a list of bars, of which the last ``size`` before the next date of the schedule and all later ones are
+* ``Ring`` (a group per symbol): its bars, of which the last ``size`` before the next date of the schedule and all later ones are
   held. An event-time timer at that date reports the symbol's features. Its state can start from a batch of history (warm-up),
   and dates up to ``begin`` stay silent.
 * ``Book`` (a group per book): the symbols' features of one date, ranked when event time has passed it; holdings are state, and the
@@ -15,6 +15,7 @@ features on it, and a date without any symbol that has them leaves the book as i
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 from collections.abc import Callable, Iterator
 
@@ -55,21 +56,27 @@ class Ring(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.bars = handle.getListState("bars", "at long, value double")
-        self.next = handle.getValueState("next", "at long, book string")
+        # one value, so that a symbol costs a read and a write, however many bars it has
+        self.held = handle.getValueState("held", "next long, book string, ats array<long>, vals array<double>")
 
     def _take(self, rows: Iterator[pd.DataFrame]) -> None:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf[pdf["value"].notna() & pdf["at"].notna()]
-        if not len(pdf):
+        new, book = [], None
+        for pdf in rows:
+            pdf = pdf[pdf["value"].notna() & pdf["at"].notna()]
+            if len(pdf):
+                book = str(pdf["book"].iloc[0]) if book is None else book
+                new += zip(pdf["at"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), pdf["value"].to_numpy(dtype=float).tolist(), strict=True)
+        if not new:
             return
-        micros = pdf["at"].astype("datetime64[us]").astype("int64")
-        self.bars.appendList(list(zip(micros.tolist(), pdf["value"].astype(float).tolist(), strict=True)))
-        if not self.next.exists():
-            self._wait(next_date(max(int(micros.min()), self.begin), self.period), str(pdf["book"].iloc[0]))
+        held = self.held.get() if self.held.exists() else None
+        if held is None:
+            self._wait(next_date(max(min(new)[0], self.begin), self.period), book, new)
+        else:
+            at, book, ats, values = held
+            self.held.update((at, book, [*ats, *(t for t, _ in new)], [*values, *(v for _, v in new)]))
 
-    def _wait(self, at: int, book: str) -> None:
-        self.next.update((at, book))
+    def _wait(self, at: int, book: str, bars: list[tuple[int, float]]) -> None:
+        self.held.update((at, book, [t for t, _ in bars], [v for _, v in bars]))
         self.handle.registerTimer(at // 1000)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
@@ -77,20 +84,20 @@ class Ring(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self._take(rows)
-        yield pd.DataFrame()
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, book = self.next.get()
-        bars, passed, out = sorted(self.bars.get()), timerValues.getCurrentWatermarkInMs() * 1000, []
+        at, book, ats, values = self.held.get()
+        bars, passed, out = sorted(zip(ats, values, strict=True)), timerValues.getCurrentWatermarkInMs() * 1000, []
         while at <= passed:  # a symbol that was still for long catches up at once
-            ring = [v for t, v in bars if t < at][-self.size :]
+            before = bisect.bisect_left(bars, (at,))
+            ring = [v for _, v in bars[max(before - self.size, 0) : before]]
             if len(ring) == self.size:
                 out.append((book, str(key[0]), pd.Timestamp(at, unit="us"), *features(np.array(ring))))
             at = next_date(at, self.period)
-        later = [b for b in bars if b[0] >= at]
-        self.bars.put([b for b in bars if b[0] < at][-self.size :] + later)
-        self._wait(at, book)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+        self._wait(at, book, bars[max(bisect.bisect_left(bars, (at,)) - self.size, 0) :])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
 def z_score(x: np.ndarray) -> np.ndarray:

@@ -114,3 +114,37 @@ def test_ring_takes_the_rows_of_a_batch_in_any_order():
     run = lambda *frames: [(r.at_.day, r.momentum) for d in step(("k",), iter(frames), state) for r in d.rename(columns={"at": "at_"}).itertuples()]
     assert run(frame((5, 5.0), (4, 4.0)), frame((1, 1.0), (3, 9.0), (5, 2.0), (5, None)), frame((2, 2.0))) == [(5, -7.0)]
     assert run(frame((5, 1.0), (7, 7.0)), frame((6, 6.0))) == [(7, 5.0)]  # the fifth was sent
+
+
+def test_ring_reads_and_writes_a_symbol_once():
+    class Handle:
+        value, calls, timers = None, [], []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return pd.Timestamp(2024, 1, 16).value // 1_000_000
+
+    h, ring = Handle(), live.Ring(2, "week")
+    frame = lambda *days: pd.DataFrame({"book": "b", "at": [pd.Timestamp(2024, 1, d) for d in days], "value": [float(d) for d in days]})
+    ring.init(h)
+    assert list(ring.handleInputRows(("k",), iter([frame(3, 2), frame(10, 16)]), h)) == [] and h.calls == ["update"]
+    assert list(ring.handleInputRows(("k",), iter([frame(9)]), h)) == [] and h.calls == ["update", "get", "update"]
+    out = pd.concat(ring.handleExpiredTimer(("k",), h, None))
+    assert list(zip(out["at"].dt.day, out["momentum"], strict=True)) == [(8, 1.0), (15, 1.0)] and len(h.calls) == 5
+    assert h.value[2:] == ([pd.Timestamp(2024, 1, d).value // 1000 for d in (10, 16)], [10.0, 16.0])
